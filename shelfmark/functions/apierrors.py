@@ -65,5 +65,5 @@ def permanent_label(message: Column) -> Column:
 def backoff_seconds(attempt: Column, base: int = fixed.BACKOFF_SECONDS,
                     retries: int = fixed.API_RETRIES) -> Column:
     """Wait before retry ``attempt`` (1-based); NULL once the retries are used up."""
-    doubled = F.shiftleft(F.lit(base), (attempt - 1).cast("int"))
-    return F.when((attempt >= 1) & (attempt <= retries), doubled)
+    wait = F.lit(base) * F.pow(F.lit(2), attempt - 1)
+    return F.when((attempt >= 1) & (attempt <= retries), wait.cast("bigint"))

@@ -18,7 +18,7 @@ def _truncate(c: Column, length: int) -> Column:
     """
     at_space = F.regexp_replace(c, f"(?s)^(.{{{length}}}){WS}.*$", "$1")
     at_word = F.regexp_replace(
-        at_space, rf"(?s)^(.+) [^ ]*[^ \-/][ \-/]*(?<=^.{{{length}}}).+$", "$1")
+        at_space, rf"(?s)^(.{{1,{length - 1}}}) [^ ]*[^ \-/][ \-/]*(?<=^.{{{length}}}).+$", "$1")
     hard = F.regexp_replace(at_word, f"(?s)^(.{{{length}}}).+$", "$1")
     return F.rtrim(hard, F.lit(" -/"))
 

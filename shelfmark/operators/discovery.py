@@ -39,11 +39,14 @@ def extract_links(pages: DataFrame, origin: str, *, keep: tuple[str, ...] = tupl
 def first_seen(links: DataFrame, seed: DataFrame | None = None) -> DataFrame:
     """url with the first (cat_idx, page_num) that shows it, seed URLs left out.
 
-    ``min`` over the page position combines on the map side, so a link that
-    sits on every page costs one row per task.
+    ``min`` over the packed page position is a hash aggregate that combines on
+    the map side, so a link that sits on every page costs one row per task.
     """
-    first = links.groupBy("url").agg(F.min(F.struct(*PAGE)).alias("p"))
-    first = first.select("url", *[F.col(f"p.{c}").alias(c) for c in PAGE])
+    packed = F.shiftleft(F.col("cat_idx").cast("bigint"), 32) + F.col("page_num")
+    first = links.groupBy("url").agg(F.min(packed).alias("p")).select(
+        "url", F.shiftright("p", 32).cast("int").alias("cat_idx"),
+        F.col("p").bitwiseAND(F.lit(0xFFFFFFFF)).cast(links.schema["page_num"].dataType)
+        .alias("page_num"))
     return first if seed is None else first.join(seed.select("url"), "url", "left_anti")
 
 
@@ -108,9 +111,9 @@ def discover(pages: DataFrame, links: DataFrame, *, seed: DataFrame | None = Non
                          .agg(F.min("page_num").alias("page_num")))
     pages = checkpointed(pages)
 
-    stops: dict[int, int] | None = None
+    stops: dict[int, int] = {}
     while True:
-        new_links = _new_given_stops(shown, stops or {})
+        new_links = _new_given_stops(shown, stops)
         counted = new_per_page(pages, new_links)
         found = {r["cat_idx"]: r["stop_page"] for r in stop_pages(counted, streak).collect()}
         if found == stops:

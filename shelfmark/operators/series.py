@@ -14,14 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def _on_chunk(df: DataFrame, carried: DataFrame, keys: list[str], chunk: str) -> DataFrame:
-    """Equi-join on key and chunk; NULL keys form a series of their own."""
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, chunk]]
-    condition = on[0]
-    for part in on[1:]:
-        condition = condition & part
-    extra = [F.col(f"r.{c}") for c in carried.columns if c not in (*keys, chunk)]
-    return (df.alias("l").join(carried.alias("r"), condition, "left")
-            .select("l.*", *extra))
+    # same keys as the window before it, so the large side is not shuffled again
+    return df.join(carried, [*keys, chunk], "left")
 
 
 def running(df: DataFrame, keys: list[str], chunk: str, order: list[str], *,
@@ -29,8 +23,9 @@ def running(df: DataFrame, keys: list[str], chunk: str, order: list[str], *,
             maxes: dict[str, Column] | None = None, before: bool = False) -> DataFrame:
     """Adds running sums and maxima per ``keys`` in ``order``.
 
-    ``chunk`` names a column that never decreases along ``order``. ``before``
-    leaves the current row out of the frame. Sums start at 0, maxima at NULL.
+    ``chunk`` names a column that never decreases along ``order``; keys and
+    chunk must not be NULL. ``before`` leaves the current row out of the frame.
+    Sums start at 0, maxima at NULL.
     """
     sums, maxes = sums or {}, maxes or {}
     steps = {**sums, **maxes}
