@@ -53,7 +53,7 @@ def _language(c: Column) -> Column:
 def listing_pages(t: Tables) -> DataFrame:
     """Every landed page as a listing page: its language is the category."""
     langs = F.array(*[F.lit(x) for x in LANGUAGES])
-    return t.pages.select(
+    return t.spread("pages", "page_id", "url", "html").select(
         F.array_position(langs, _language(F.col("url"))).cast("int").alias("cat_idx"),
         F.col("page_id").alias("page_num"), F.col("url").alias("page_url"), "html")
 

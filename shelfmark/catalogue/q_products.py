@@ -17,12 +17,13 @@ _H1 = ("replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&quot;', '\"
     SELECT page_id, coalesce(nullif(name, ''), 'Unknown Product') AS name
     FROM ({name_sql.normalized(f"SELECT page_id, {_H1} AS raw FROM pages", 'raw', 'page_id')})""")
 def product_name(t):
-    return p.extract_fields(t.pages, "name", keep=("page_id",)).select("page_id", "name")
+    return p.extract_fields(t.spread("pages", "page_id", "html"), "name", keep=("page_id",)).select("page_id", "name")
 
 
 @query("name_normalize", name_sql.normalized("SELECT doc_id, text FROM documents", "text", "doc_id"))
 def name_normalize(t):
-    return t.documents.select("doc_id", names.normalize_name(F.col("text")).alias("name"))
+    texts = t.spread("documents", "doc_id", "text")
+    return texts.select("doc_id", names.normalize_name(F.col("text")).alias("name"))
 
 
 @query("name_safe", f"SELECT page_id, {name_sql.safe('url')} AS safe FROM pages")

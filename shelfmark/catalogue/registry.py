@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfmark.sources.pages import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -22,6 +24,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str, *columns: str) -> DataFrame:
+        """A table for CPU-heavy work, on all cores however few files it has."""
+        return spread(getattr(self, name).select(*columns))
+
 
 def query(name: str, sql: str | None = None) -> Callable:
     def add(build: Callable[[Tables], DataFrame]) -> Callable:

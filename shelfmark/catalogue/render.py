@@ -36,7 +36,10 @@ def render_pages(t: Tables) -> DataFrame:
     """page_id, url, html. Aggregated before the join, one row per part."""
     sold = t.lineitem.groupBy("l_partkey").agg(F.min("l_extendedprice").alias("low"),
                                                F.max("l_discount").alias("off"))
-    parts = t.part.join(sold, F.col("p_partkey") == F.col("l_partkey"), "left")
+    # the narrow part rows are spread before they grow into pages
+    cores = t.spark.sparkContext.defaultParallelism
+    part = t.part.repartition(cores, "p_partkey")
+    parts = part.join(sold, F.col("p_partkey") == F.col("l_partkey"), "left")
     k = F.col("p_partkey")
 
     def to_cents(c: Column) -> Column:

@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from shelfmark import fixed_values as fixed
-from shelfmark.functions.text import WS, squeeze, strip, title_case
+from shelfmark.functions.text import squeeze, strip, title_case
 
-_DASH = f"{WS}*-{WS}*"
+# After the first squeeze the only whitespace left is the plain space.
+_DASH = " ?- ?"
+_DASHES = " ?-(?: ?-)+ ?"
+_RESERVED = '<>:"|?*'
+
+
+def _one_space(c: Column) -> Column:
+    return F.regexp_replace(c, " {2,}", " ")
 
 
 def _truncate(c: Column, length: int) -> Column:
@@ -16,7 +23,7 @@ def _truncate(c: Column, length: int) -> Column:
     Each step uses its input once, so the plan stays a straight line: keep the
     head when a space follows it; else drop the broken last word; else cut hard.
     """
-    at_space = F.regexp_replace(c, f"(?s)^(.{{{length}}}){WS}.*$", "$1")
+    at_space = F.regexp_replace(c, f"(?s)^(.{{{length}}}) .*$", "$1")
     at_word = F.regexp_replace(
         at_space, rf"(?s)^(.{{1,{length - 1}}}) [^ ]*[^ \-/][ \-/]*(?<=^.{{{length}}}).+$", "$1")
     hard = F.regexp_replace(at_word, f"(?s)^(.{{{length}}}).+$", "$1")
@@ -26,18 +33,20 @@ def _truncate(c: Column, length: int) -> Column:
 def normalize_name(c: Column, replace_with: str = "", title: bool = True,
                    length: int = fixed.NAME_LENGTH) -> Column:
     name = F.coalesce(c.cast("string"), F.lit(""))
-    name = F.translate(name, "\u00a0,", " ")                       # NBSP to space, no commas
-    name = F.regexp_replace(name, r"[\\/]+", " - ")
-    name = F.regexp_replace(name, f"(?:{_DASH}){{2,}}", " - ")
-    name = strip(F.regexp_replace(squeeze(name), _DASH, " - "))
+    name = squeeze(F.regexp_replace(name, r"[\\/]+", " - "))
+    name = F.regexp_replace(name, _DASHES, " - ")
+    name = _one_space(F.translate(name, ",", ""))
+    name = F.trim(F.regexp_replace(name, _DASH, " - "))
     if title:
         name = title_case(name)
-    name = F.regexp_replace(name, r'[<>:"|?*]', replace_with.replace("\\", "\\\\"))
-    name = F.regexp_replace(squeeze(name), _DASH, " - ")
-    name = F.rtrim(strip(name), F.lit("-/"))
-    name = _truncate(name, length)
-    name = squeeze(F.regexp_replace(name, f"(?:{_DASH}){{2,}}", " - "))
-    return F.rtrim(strip(name), F.lit("-/"))
+    if len(replace_with) < 2 and not replace_with.isspace():
+        name = F.translate(name, _RESERVED, replace_with * len(_RESERVED))
+    else:
+        name = squeeze(F.regexp_replace(name, f"[{_RESERVED}]", replace_with.replace("\\", "\\\\")))
+    name = F.regexp_replace(_one_space(name), _DASH, " - ")
+    name = _truncate(F.rtrim(F.trim(name), F.lit("-/")), length)
+    name = _one_space(F.regexp_replace(name, _DASHES, " - "))
+    return F.rtrim(F.trim(name), F.lit("-/"))
 
 
 def safe_name(c: Column, length: int = fixed.NAME_LENGTH) -> Column:

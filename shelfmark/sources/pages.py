@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet pages; only the columns a job selects are read."""
-    return spark.read.parquet(path)
+def read_pages(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """Parquet pages; only the columns a job selects are read.
+
+    Parsing is CPU work, so an input of fewer splits than cores is spread over
+    the cores. A large input has more splits than that and is never moved.
+    """
+    return spread(spark.read.parquet(path).select(*columns or ["*"]))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Repartition a file scan that would leave cores idle; else unchanged."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:
