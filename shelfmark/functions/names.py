@@ -45,7 +45,7 @@ def normalize_name(c: Column, replace_with: str = "", title: bool = True,
         name = squeeze(F.regexp_replace(name, f"[{_RESERVED}]", replace_with.replace("\\", "\\\\")))
     name = F.regexp_replace(_one_space(name), _DASH, " - ")
     name = _truncate(F.rtrim(F.trim(name), F.lit("-/")), length)
-    name = _one_space(F.regexp_replace(name, _DASHES, " - "))
+    name = F.regexp_replace(_one_space(name), _DASHES, " - ")
     return F.rtrim(F.trim(name), F.lit("-/"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shelfmark import fixed_values as fixed
 from shelfmark.functions import triage, urls
 from shelfmark.operators.markup import ExtractConfig, parse_pages
-from shelfmark.operators.series import range_chunk, running
+from shelfmark.operators.series import range_chunk, running, since_last
 from shelfmark.session import checkpointed
 
 PAGE = ["cat_idx", "page_num"]
@@ -60,16 +60,15 @@ def new_per_page(pages: DataFrame, new_links: DataFrame) -> DataFrame:
 def stop_pages(counted: DataFrame, streak: int = fixed.EMPTY_PAGE_STREAK) -> DataFrame:
     """cat_idx, stop_page: where ``streak`` pages in a row had no news.
 
-    Blocked pages neither count nor reset. The streak of a page is the number
-    of open pages so far minus that number at the last page with news. Only
-    categories that reach the streak appear.
+    Blocked pages neither count nor reset. Only categories that reach the
+    streak appear.
     """
-    pages = counted.where(~F.col("blocked")).withColumn("_chunk", range_chunk("page_num"))
-    pages = running(pages, ["cat_idx"], "_chunk", ["page_num"], sums={"_n": F.lit(1)})
-    pages = running(pages, ["cat_idx"], "_chunk", ["page_num"],
-                    maxes={"_news": F.when(F.col("new_urls") > 0, F.col("_n"))})
-    full = F.col("_n") - F.coalesce("_news", F.lit(0)) >= streak
-    return pages.where(full).groupBy("cat_idx").agg(F.min("page_num").alias("stop_page"))
+    pages = (counted.where(~F.col("blocked"))
+             .select("cat_idx", "page_num", "new_urls", range_chunk("page_num").alias("_chunk")))
+    pages = since_last(pages, ["cat_idx"], "_chunk", ["page_num"],
+                       reset=F.col("new_urls") > 0, name="_empty")
+    return (pages.where(F.col("_empty") >= streak)
+            .groupBy("cat_idx").agg(F.min("page_num").alias("stop_page")))
 
 
 def visited_pages(counted: DataFrame, streak: int = fixed.EMPTY_PAGE_STREAK) -> DataFrame:

@@ -82,6 +82,7 @@ class PageNodes(HTMLParser):
         self.shown: list[bool] = []         # part of the page text?
         self.joinable = False
         self.by_tag: dict[str, list[int]] = {}
+        self.tokens: dict[int, list[str]] = {}
         self.feed(html)
         self.close()
         while self.open:
@@ -89,6 +90,9 @@ class PageNodes(HTMLParser):
         self.trimmed = [s.strip() if ok else "" for s, ok in zip(self.raw, self.shown)]
 
     # -- building ---------------------------------------------------------
+    def updatepos(self, i, j):
+        return j        # line numbers are of no use here
+
     def _row(self, tag, attr) -> int:
         n = len(self.tag)
         self.tag.append(tag)
@@ -161,19 +165,25 @@ class PageNodes(HTMLParser):
         return glue.join(filter(None, self.trimmed[span]))
 
     def classes(self, n: int) -> list[str]:
-        return self.attr[n].get("class", "").split()
+        tokens = self.tokens.get(n)
+        if tokens is None:
+            tokens = self.tokens[n] = self.attr[n].get("class", "").split()
+        return tokens
 
     def select(self, selector) -> Iterator[int]:
         tag, name, test, value = selector
-        for n in self.by_tag.get(tag, []):
-            if name is None:
-                yield n
-            elif name in self.attr[n]:
-                whole = " ".join(self.classes(n)) if name == "class" else self.attr[n][name]
-                if test == "like":
-                    if re.search(value, whole, re.IGNORECASE):
+        rows = self.by_tag.get(tag, [])
+        if name is None:
+            yield from rows
+            return
+        search = re.compile(value, re.IGNORECASE).search if test == "like" else None
+        for n in rows:
+            if name in self.attr[n]:
+                tokens = self.classes(n) if name == "class" else [self.attr[n][name]]
+                if search is not None:
+                    if search(" ".join(tokens)):
                         yield n
-                elif whole == value or (name == "class" and value in self.classes(n)):
+                elif value in tokens or " ".join(tokens) == value:
                     yield n
 
     def first_texts(self, selectors, glue: str) -> list[str | None]:

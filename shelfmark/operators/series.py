@@ -55,6 +55,28 @@ def running(df: DataFrame, keys: list[str], chunk: str, order: list[str], *,
     return out.drop(*[f"_{kind}_{n}" for n in steps for kind in "vlc"])
 
 
+def since_last(df: DataFrame, keys: list[str], chunk: str, order: list[str], *,
+               reset: Column, name: str) -> DataFrame:
+    """Adds the number of rows since the last ``reset`` row (0 on that row).
+
+    Before the first reset it counts from the start of the series. The chunk
+    summaries come from the windowed rows, so both branches share one shuffle.
+    """
+    inside = Window.partitionBy(*keys, chunk).orderBy(*order)
+    local = df.withColumn("_rn", F.row_number().over(inside))
+    local = local.withColumn("_reset", F.max(F.when(reset, F.col("_rn"))).over(
+        inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = local.groupBy(*keys, chunk).agg(F.max("_rn").alias("_rows"), F.max("_reset").alias("_last"))
+    earlier = (Window.partitionBy(*keys).orderBy(chunk)
+               .rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    carried = carried.withColumn("_last_before", F.max(F.col("_before") + F.col("_last")).over(earlier))
+    out = _on_chunk(local, carried.select(*keys, chunk, "_before", "_last_before"), keys, chunk)
+    last = F.coalesce(F.col("_before") + F.col("_reset"), F.col("_last_before"), F.lit(0))
+    return (out.withColumn(name, F.col("_before") + F.col("_rn") - last)
+            .drop("_rn", "_reset", "_before", "_last_before"))
+
+
 def neighbours(df: DataFrame, keys: list[str], chunk: str, order: list[str], *,
                previous: dict[str, str] | None = None,
                following: dict[str, str] | None = None) -> DataFrame:
