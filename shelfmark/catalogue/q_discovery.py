@@ -129,7 +129,7 @@ _DIM = "(VALUES " + ", ".join(
 def category_dim_query(t):
     per = t.events.groupBy((F.col("user_id") % 26 + 1).cast("int").alias("category_id")).agg(
         F.count("*").alias("events"))
-    return F.broadcast(category_dim(t.spark, i.ORIGIN)).join(per, "category_id")
+    return per.join(category_dim(t.spark, i.ORIGIN), "category_id").select("category_id", "name", "url", "events")
 
 
 _CHOICE = "' ' || (page_id % 30) || ', ' || (page_id % 7 + 1) || CASE WHEN page_id % 11 = 0 THEN ',x' ELSE '' END"

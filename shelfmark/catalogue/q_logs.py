@@ -90,6 +90,15 @@ def status_available(t):
     return oplog.in_state(oplog.snapshot(i.states(t)))
 
 
+@query("pool_totals", """
+    SELECT count(DISTINCT user_id) AS workers, count(*) FILTER (event_type = 'signup') AS submitted,
+           count(*) FILTER (event_type = 'purchase') AS processed,
+           count(*) FILTER (event_type = 'signup') - count(*) FILTER (event_type = 'purchase') AS queued
+    FROM events""")
+def pool_totals(t):
+    return oplog.pool_totals(i.states(t), F.col("status") == "STOPPED", F.col("status") == "DONE")
+
+
 @query("status_counts", f"SELECT status, count(*) AS n FROM ({_SNAPPED}) GROUP BY status")
 def status_counts(t):
     return oplog.status_counts(oplog.snapshot(i.states(t)))

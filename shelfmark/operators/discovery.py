@@ -7,7 +7,7 @@ without news; a cap ends the whole run, checked before each page.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark import fixed_values as fixed
 from shelfmark.functions import triage, urls
@@ -105,9 +105,11 @@ def discover(pages: DataFrame, links: DataFrame, *, seed: DataFrame | None = Non
     open_links = links.join(pages.where("blocked"), PAGE, "left_anti")
     if seed is not None:
         open_links = open_links.join(seed.select("url").distinct(), "url", "left_anti")
-    # one row per link and category, however often the category shows it
-    shown = checkpointed(open_links.groupBy("url", "cat_idx")
-                         .agg(F.min("page_num").alias("page_num")))
+    # one entry per link and category, however often the category shows it, and
+    # one row per link: the rounds need no further shuffle of the links
+    shown = open_links.groupBy("url", "cat_idx").agg(F.min("page_num").alias("page_num"))
+    shown = checkpointed(shown.groupBy("url").agg(
+        F.sort_array(F.collect_list(F.struct(*PAGE))).alias("shown")))
     pages = checkpointed(pages)
 
     stops: dict[int, int] = {}
@@ -119,31 +121,31 @@ def discover(pages: DataFrame, links: DataFrame, *, seed: DataFrame | None = Non
             break
         stops = found
 
-    visited = counted.where(_reached(stops))
+    reached = _reached(stops, F.col("cat_idx"), F.col("page_num"))
+    visited = counted.where(reached)
     if max_urls is not None:
         seeded = 0 if seed is None else seed.select("url").distinct().count()
         visited = cap_pages(visited, max_urls, seeded)
-    return new_links.where(_reached(stops)).join(visited.select(*PAGE), PAGE, "left_semi")
+    return new_links.where(reached).join(visited.select(*PAGE), PAGE, "left_semi")
 
 
-def _reached(stops: dict[int, int]) -> Column:
+def _reached(stops: dict[int, int], cat_idx: Column, page_num: Column) -> Column:
     """Is the page at or before the stop of its category?"""
     if not stops:
         return F.lit(True)
     table = F.create_map(*[F.lit(x) for pair in stops.items() for x in pair])
-    return F.coalesce(F.col("page_num") <= F.try_element_at(table, F.col("cat_idx")), F.lit(True))
+    return F.coalesce(page_num <= F.try_element_at(table, cat_idx), F.lit(True))
 
 
 def _new_given_stops(shown: DataFrame, stops: dict[int, int]) -> DataFrame:
-    """Links that no earlier category shows on a visited page.
+    """Link and page where no earlier category shows the link on a visited page."""
+    def visited(e: Column) -> Column:
+        return _reached(stops, e["cat_idx"], e["page_num"])
 
-    A link has at most one row per category here, so the window stays small.
-    """
-    earlier = (Window.partitionBy("url").orderBy("cat_idx")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    taken = F.max(_reached(stops).cast("int")).over(earlier)
-    return (shown.withColumn("_taken", F.coalesce(taken, F.lit(0)))
-            .where(F.col("_taken") == 0).drop("_taken"))
+    def is_new(_: Column, n: Column) -> Column:
+        return ~F.exists(F.slice("shown", F.lit(1), n), visited)
+
+    return shown.select("url", F.inline(F.filter("shown", is_new)))
 
 
 def select_categories(choices: DataFrame, dim: DataFrame, choice: str = "choice",
@@ -155,10 +157,9 @@ def select_categories(choices: DataFrame, dim: DataFrame, choice: str = "choice"
     """
     text = F.col(choice)
     if all_word:
-        # the dimension is the fixed list of categories, a few dozen rows
-        every = ",".join(str(r[0]) for r in dim.select("category_id").orderBy("category_id").collect())
-        text = F.when(F.lower(F.trim(text)) == "all", F.lit(every)).otherwise(text)
+        every = dim.agg(F.array_join(F.sort_array(F.collect_list("category_id")), ",")).scalar()
+        text = F.when(F.lower(F.trim(text)) == "all", every).otherwise(text)
     ids = F.transform(F.split(text, ","), lambda t: F.trim(t).try_cast("int"))
     valid = choices.withColumn("_ids", ids).where(~F.exists("_ids", lambda i: i.isNull()))
     numbered = valid.select(*choices.columns, F.posexplode("_ids").alias("pos", "category_id"))
-    return numbered.join(F.broadcast(dim), "category_id")
+    return numbered.join(dim, "category_id")

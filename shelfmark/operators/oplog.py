@@ -69,7 +69,7 @@ def micros(ts: Column) -> Column:
     return ((days * DAY_SECONDS + whole) * 1000000 + (seconds * 1000000).cast("bigint")).cast("bigint")
 
 
-def transitions(states: DataFrame, unit: str = "day") -> DataFrame:
+def transitions(states: DataFrame, unit: str = "hour") -> DataFrame:
     """old_status -> status per worker; the first state comes from ``?``.
 
     ``states`` has worker, ts, id, status; ``unit`` sets the length of the
@@ -81,7 +81,7 @@ def transitions(states: DataFrame, unit: str = "day") -> DataFrame:
             .withColumnRenamed("status", "new_status").drop("_chunk"))
 
 
-def with_next(states: DataFrame, unit: str = "day") -> DataFrame:
+def with_next(states: DataFrame, unit: str = "hour") -> DataFrame:
     """Adds next_us, the start of the worker's following state."""
     cut = (states.withColumn("_chunk", F.date_trunc(unit, F.col("ts")))
            .withColumn("us", micros(F.col("ts"))))
@@ -89,7 +89,7 @@ def with_next(states: DataFrame, unit: str = "day") -> DataFrame:
                       following={"next_us": "us"}).drop("_chunk")
 
 
-def dwell(states: DataFrame, unit: str = "day") -> DataFrame:
+def dwell(states: DataFrame, unit: str = "hour") -> DataFrame:
     """Time spent per status; a worker's last, open state has no length yet."""
     timed = with_next(states, unit)
     return timed.groupBy("status").agg(
@@ -119,6 +119,14 @@ def snapshot(states: DataFrame, blocked: str = "BLOCKED",
     return last.select("worker", "status", left.cast("bigint").alias("cooldown_s"))
 
 
+def pool_totals(states: DataFrame, submitted: Column, processed: Column) -> DataFrame:
+    """One row: workers seen, URLs submitted, processed and still queued."""
+    return states.agg(
+        F.count_distinct("worker").alias("workers"), F.count_if(submitted).alias("submitted"),
+        F.count_if(processed).alias("processed"),
+        (F.count_if(submitted) - F.count_if(processed)).alias("queued"))
+
+
 def in_state(snap: DataFrame, status: str = "AVAILABLE") -> DataFrame:
     return snap.where(F.col("status") == status).select("worker")
 

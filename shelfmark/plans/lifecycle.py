@@ -33,14 +33,16 @@ def scrape(work: DataFrame, pages: DataFrame, stored: DataFrame, *, seq: str = "
     """Products to append for a work list (url, line).
 
     Everything that makes less work comes first: done URLs are removed, the
-    target is cut, pages are joined and triaged, and only then is HTML parsed.
+    target is cut, pages are picked and triaged, and only then is HTML parsed.
+    Page text is read once; duplicates are settled on the narrow records, so
+    the first page of a URL that yields a valid product wins.
     """
     todo = store.limit_work(store.remaining(work, stored), target)
-    mine = pages.join(todo.select("url").distinct(), "url", "left_semi")
+    mine = store.keep_listed(pages, todo)
     if triage_pages:
         low = mine.withColumn("_low", F.lower("html"))
         kind = triage.page_kind(F.col("url"), F.col("_low"))
         mine = low.where(kind == "product").drop("_low")
-    first = store.first_landed(mine, stored, seq)
-    products = extract_products(first, config=config)
-    return gate.valid_products(products.where(F.col("_error").isNull())).drop("_error")
+    made = extract_products(mine, keep=(seq,), config=config)
+    good = gate.valid_products(made.where(F.col("_error").isNull())).drop("_error")
+    return store.absent(good, stored, seq).drop(seq)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from shelfmark import fixed_values as fixed
 
@@ -17,5 +18,8 @@ def category_dim(spark: SparkSession, origin: str, path: str | None = None) -> D
     """category_id, name, url; the built-in list on ``origin`` or a CSV of one's own."""
     if path is not None:
         return spark.read.schema(CATEGORY).csv(path, header=True)
-    built_in = spark.createDataFrame(fixed.CATEGORIES, "category_id int, name string, path string")
-    return built_in.select("category_id", "name", F.concat(F.lit(origin), "path").alias("url"))
+    # an Arrow table becomes a local relation, whose size the planner knows
+    ids, names, paths = zip(*fixed.CATEGORIES)
+    table = pa.table({"category_id": pa.array(ids, pa.int32()), "name": list(names),
+                      "url": [origin + path for path in paths]})
+    return spark.createDataFrame(table)

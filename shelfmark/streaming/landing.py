@@ -40,12 +40,13 @@ def start_extract(pages: DataFrame, store_path: str, checkpoint: str, *,
     """
     def save(batch: DataFrame, batch_id: int) -> None:
         stored = read_store(batch.sparkSession, store_path)
-        todo = store.first_landed(batch, stored, seq)
-        good = gate.valid_products(extract_products(todo, keep=(seq,), config=config))
-        good = good.where(F.col("_error").isNull()).drop("_error")
+        todo = store.drop_stored(batch, stored)
+        made = extract_products(todo, keep=(seq,), config=config)
+        good = gate.valid_products(made.where(F.col("_error").isNull())).drop("_error")
+        fresh = store.absent(good, stored, seq).drop(seq)
         if on_saved is not None:
-            on_saved(good, batch_id)
-        good.drop(seq).write.mode("append").parquet(store_path)
+            on_saved(fresh, batch_id)
+        fresh.write.mode("append").parquet(store_path)
 
     return (pages.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
@@ -73,19 +74,26 @@ _OUTCOME = T.StructType([
 def retry_outcomes(attempts: DataFrame, retries: int = fixed.MAX_RETRIES) -> DataFrame:
     """Failed attempts with their outcome; the state of a URL is one counter.
 
-    Attempts of a micro-batch are taken in (ts, attempt_id) order.
+    Attempts of a micro-batch are taken in (ts, attempt_id) order. A group
+    comes in parts; between parts only the earliest few rows are held back,
+    so a URL with very many failures does not have to fit in memory.
     """
+    def outcome(url: str, rows: pd.DataFrame, numbers: list) -> pd.DataFrame:
+        numbers = pd.array(numbers, dtype="Int32")
+        return pd.DataFrame({"url": url, "attempt_id": rows["attempt_id"].to_numpy(),
+                             "retry_no": numbers,
+                             "outcome": ["discard" if n is pd.NA else "requeue" for n in numbers]})
+
     def step(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         used = state.get[0] if state.exists else 0
-        failed = pd.concat(list(parts)).sort_values(["ts", "attempt_id"])
-        number = pd.Series(range(used + 1, used + 1 + len(failed)), index=failed.index)
-        state.update((min(used + len(failed), retries),))
-        yield pd.DataFrame({
-            "url": key[0],
-            "attempt_id": failed["attempt_id"],
-            "retry_no": number.where(number <= retries).astype("Int32"),
-            "outcome": number.le(retries).map({True: "requeue", False: "discard"}),
-        })
+        early = None
+        for part in parts:
+            rows = part if early is None else pd.concat([early, part])
+            rows = rows.sort_values(["ts", "attempt_id"])
+            early, late = rows.iloc[:retries - used], rows.iloc[retries - used:]
+            yield outcome(key[0], late, [None] * len(late))
+        state.update((used + len(early),))
+        yield outcome(key[0], early, list(range(used + 1, used + 1 + len(early))))
 
     return (attempts.where(~F.col("ok")).select("url", "ts", "attempt_id").groupBy("url")
             .applyInPandasWithState(step, _OUTCOME, "used int", "append",
