@@ -156,10 +156,10 @@ def select_categories(choices: DataFrame, dim: DataFrame, choice: str = "choice"
     selection. ``all_word`` lets the word ``all`` stand for every category.
     """
     text = F.col(choice)
-    if all_word:
-        every = dim.agg(F.array_join(F.sort_array(F.collect_list("category_id")), ",")).scalar()
-        text = F.when(F.lower(F.trim(text)) == "all", every).otherwise(text)
     ids = F.transform(F.split(text, ","), lambda t: F.trim(t).try_cast("int"))
+    if all_word:
+        every = dim.agg(F.sort_array(F.collect_list("category_id"))).scalar()
+        ids = F.when(F.lower(F.trim(text)) == "all", every).otherwise(ids)
     valid = choices.withColumn("_ids", ids).where(~F.exists("_ids", lambda i: i.isNull()))
     numbered = valid.select(*choices.columns, F.posexplode("_ids").alias("pos", "category_id"))
     return numbered.join(dim, "category_id")
