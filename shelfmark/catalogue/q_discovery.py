@@ -132,9 +132,6 @@ def category_dim_query(t):
     return per.join(category_dim(t.spark, i.ORIGIN), "category_id").select("category_id", "name", "url", "events")
 
 
-_CHOICE = "' ' || (page_id % 30) || ', ' || (page_id % 7 + 1) || CASE WHEN page_id % 11 = 0 THEN ',x' ELSE '' END"
-
-
 @query("category_select", f"""
     SELECT s.page_id, s.pos, c.category_id::INTEGER AS category_id, c.url
     FROM (SELECT page_id, unnest([0, 1]) AS pos,
@@ -181,7 +178,7 @@ def triage_text(t):
 
 @query("triage_text_alt", f"SELECT doc_id, {_any('text', ALT_WORDS)} AS blocked FROM documents")
 def triage_text_alt(t):
-    low = t.documents.select("doc_id", F.lower("text").alias("low"))
+    low = t.spread("documents", "doc_id", "text").select("doc_id", F.lower("text").alias("low"))
     return low.select("doc_id", triage.text_blocked(F.col("low"), ALT_WORDS).alias("blocked"))
 
 

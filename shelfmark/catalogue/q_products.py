@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark.catalogue import name_sql, render as r
-from shelfmark.catalogue.inputs import ORIGIN  # noqa: F401  (documents the site used)
 from shelfmark.catalogue.registry import query
 from shelfmark.functions import money, names
 from shelfmark.operators import products as p
+from shelfmark.operators.markup import parse_pages
 
 _H1 = ("replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&quot;', '\"'), '&amp;', '&')")
 
@@ -40,14 +40,10 @@ _MONEY = "regexp_extract(translate(text, 'R$€£¥', ''), '([0-9.]+)[,.]([0-9]{
     FROM documents""")
 def money_parse(t):
     text = F.col("text")
-    return t.documents.select("doc_id", money.price_integer(text).alias("integer_part"),
+    return t.spread("documents", "doc_id", "text").select("doc_id", money.price_integer(text).alias("integer_part"),
                               money.price_decimal(text).alias("decimal_part"))
 
 
-def _cents(c):
-    return (F.col(c) * 100).cast("bigint").alias(f"{c}_cents")
-
-
 @query("price_current", f"""
     SELECT url, cur_i AS current_price_integer, cur_d AS current_price_decimal FROM ({r.PRICES_SQL})""")
 def price_current(t):
@@ -94,7 +90,6 @@ def description_struct(t):
                unnest([p_brand, p_type, p_size::VARCHAR, 'no. ' || (k % 7)]) AS value
         FROM ({r.SOURCE_SQL}) WHERE k % 3 <> 2)""")
 def attr_pairs(t):
-    from shelfmark.operators.markup import parse_pages
     raw = parse_pages(r.render_pages(t), ("description",))
     return raw.select("url", F.posexplode("attrs").alias("pos", "a")).select("url", "pos", "a.key", "a.value")
 
@@ -113,14 +108,12 @@ def attr_explode(t):
 @query("spec_lines", f"""
     SELECT url, 'Fabric: Cotton ' || p_type AS spec FROM ({r.SOURCE_SQL}) WHERE k % 4 = 1""")
 def spec_lines(t):
-    from shelfmark.operators.markup import parse_pages
     raw = parse_pages(r.render_pages(t), ("description",))
     return raw.select("url", F.explode("specs").alias("spec"))
 
 
 @query("goods_desc", f"SELECT url, 'Nice ' || p_type AS goods FROM ({r.SOURCE_SQL}) WHERE k % 4 = 2")
 def goods_desc(t):
-    from shelfmark.operators.markup import parse_pages
     raw = parse_pages(r.render_pages(t), ("description",))
     return raw.select("url", F.explode(p.goods_text(F.col("goods_desc"))).alias("goods"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from shelfmark.functions.text import blank_to_null
 
-_AMOUNT = "([0-9.]+)[,.]([0-9]{2})"
+_AMOUNT = "[0-9.]+[,.][0-9]{2}"
 DECIMAL = "decimal(18,2)"
 
 
@@ -14,26 +14,33 @@ def _bare(c: Column) -> Column:
     return F.translate(c, "R$€£¥", "")
 
 
-def price_integer(c: Column) -> Column:
-    """Digits before the cents, NULL when the text holds no amount."""
-    whole = F.regexp_extract(_bare(c), _AMOUNT, 1)
-    return blank_to_null(F.replace(whole, F.lit("."), F.lit("")))
+def amount_text(c: Column) -> Column:
+    """The first ``digits, point, two digits`` in the text; empty without one."""
+    return F.regexp_extract(_bare(c), _AMOUNT, 0)
 
 
-def price_decimal(c: Column) -> Column:
-    """The two cent digits, NULL when the text holds no amount."""
-    return F.when(price_integer(c).isNotNull(), F.regexp_extract(_bare(c), _AMOUNT, 2))
+def whole_part(found: Column) -> Column:
+    """Digits before the cents of an ``amount_text``; NULL when there are none."""
+    head = F.left(found, F.length(found) - 3)
+    return blank_to_null(F.replace(head, F.lit("."), F.lit("")))
+
+
+def cents_part(found: Column) -> Column:
+    return F.when(whole_part(found).isNotNull(), F.right(found, F.lit(2)))
 
 
-def price_parts(c: Column) -> Column:
-    return F.struct(c.alias("text"), price_integer(c).alias("integer"),
-                    price_decimal(c).alias("decimal"))
+def price_integer(c: Column) -> Column:
+    return whole_part(amount_text(c))
+
+
+def price_decimal(c: Column) -> Column:
+    return cents_part(amount_text(c))
 
 
 def first_price(texts: Column) -> Column:
-    """The first text of an array that holds an amount, taken apart; else NULL."""
-    parsed = F.transform(texts, price_parts)
-    return F.get(F.filter(parsed, lambda p: p["integer"].isNotNull()), F.lit(0))
+    """The first text that holds an amount, as struct (text, found); else NULL."""
+    pairs = F.transform(texts, lambda t: F.struct(t.alias("text"), amount_text(t).alias("found")))
+    return F.get(F.filter(pairs, lambda p: whole_part(p["found"]).isNotNull()), F.lit(0))
 
 
 def amount(c: Column, locale: str = "us") -> Column:

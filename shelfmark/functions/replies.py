@@ -12,8 +12,13 @@ def without_fences(reply: Column) -> Column:
     return strip(bare)
 
 
+# How any JSON text starts; a cheap test that spares most failing parses.
+_STARTS = r"^(?:[\[{\"]|-?[0-9]|true$|false$|null$)"
+
+
 def salvage_json(reply: Column) -> Column:
     """The reply as VARIANT; failing that its first flat ``{...}``; else NULL."""
     text = without_fences(reply)
     flat = F.regexp_extract(text, r"\{[^{}]*\}", 0)
-    return F.coalesce(F.try_parse_json(text), F.try_parse_json(flat))
+    return F.coalesce(F.when(F.rlike(text, F.lit(_STARTS)), F.try_parse_json(text)),
+                      F.when(flat != "", F.try_parse_json(flat)))

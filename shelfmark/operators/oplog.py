@@ -27,18 +27,27 @@ def colour_level(c: Column) -> Column:
     return level
 
 
+def _groups(c: Column, pattern: str, count: int) -> Column:
+    """The groups of one match as an array; a single element without a match."""
+    marks = "\x01".join(f"${n}" for n in range(1, count + 1))
+    return F.split(F.regexp_replace(c, pattern, marks), "\x01")
+
+
 def parse_lines(df: DataFrame, line: str = "line") -> DataFrame:
-    """time, worker, status, level, message and, for moves, old / new / url."""
-    def part(source: str, pattern: str, group: int) -> Column:
-        return blank_to_null(F.regexp_extract(source, pattern, group))
-    df = df.withColumn("level", colour_level(F.col(line))).withColumn("_clean", strip_ansi(F.col(line)))
-    df = (df.withColumn("log_time", part("_clean", _LINE, 1))
-          .withColumn("worker", part("_clean", _LINE, 2))
-          .withColumn("status", part("_clean", _LINE, 3))
-          .withColumn("message", part("_clean", _LINE, 4)).drop("_clean"))
-    return (df.withColumn("old_status", part("message", _MOVE, 1))
-            .withColumn("new_status", part("message", _MOVE, 2))
-            .withColumn("url", part("message", _MOVE, 3)))
+    """time, worker, status, level, message and, for moves, old / new / url.
+
+    Each pattern runs once per line and yields all its groups.
+    """
+    def part(groups: str, n: int, count: int) -> Column:
+        return F.when(F.size(groups) == count, blank_to_null(F.get(groups, F.lit(n))))
+    df = (df.withColumn("level", colour_level(F.col(line)))
+          .withColumn("_line", _groups(strip_ansi(F.col(line)), _LINE, 4)))
+    for n, name in enumerate(("log_time", "worker", "status", "message")):
+        df = df.withColumn(name, part("_line", n, 4))
+    df = df.withColumn("_move", _groups(F.col("message"), _MOVE, 3))
+    for n, name in enumerate(("old_status", "new_status", "url")):
+        df = df.withColumn(name, part("_move", n, 3))
+    return df.drop("_line", "_move")
 
 
 def seconds_of_day(log_time: Column) -> Column:

@@ -31,13 +31,14 @@ def with_prices(df: DataFrame, locale: str = "us") -> DataFrame:
     df = (df.withColumn("_cur", money.first_price(F.concat("cur_json", "cur_c")))
           .withColumn("_old", money.first_price(F.concat("old_json", "old_c")))
           .withColumn("_shown", _first(F.transform("disc_c", money.percent_text))))
-    cur_int = F.coalesce(F.col("_cur.integer"), F.lit(fixed.NO_PRICE[0]))
-    cur_dec = F.coalesce(F.col("_cur.decimal"), F.lit(fixed.NO_PRICE[1]))
+    old_int, old_dec = money.whole_part(F.col("_old.found")), money.cents_part(F.col("_old.found"))
+    cur_int = F.coalesce(money.whole_part(F.col("_cur.found")), F.lit(fixed.NO_PRICE[0]))
+    cur_dec = F.coalesce(money.cents_part(F.col("_cur.found")), F.lit(fixed.NO_PRICE[1]))
     df = (df.withColumn("current_price_integer", cur_int)
           .withColumn("current_price_decimal", cur_dec)
           .withColumn("_now", F.when(cur_int != fixed.NO_PRICE[0],
                                      money.joined_amount(cur_int, cur_dec)))
-          .withColumn("_was", money.joined_amount(F.col("_old.integer"), F.col("_old.decimal"))))
+          .withColumn("_was", money.joined_amount(old_int, old_dec)))
     df = df.withColumn("_computed", F.when(F.col("_was") > 0, money.percent_off(
         F.col("_was"), F.col("_now"))))
     df = df.withColumn("discount_percentage", F.coalesce(
@@ -51,10 +52,10 @@ def with_prices(df: DataFrame, locale: str = "us") -> DataFrame:
         _first(F.transform("disc_c", lambda t: F.regexp_extract(t, r"(\d+(?:[.,]\d+)?)%", 1))))
     return (df
             .withColumn("old_price_integer", F.coalesce(
-                F.col("_old.integer"), money.cents_integer(F.col("_before")),
+                old_int, money.cents_integer(F.col("_before")),
                 F.lit(fixed.MISSING)))
             .withColumn("old_price_decimal", F.coalesce(
-                F.col("_old.decimal"), money.cents_decimal(F.col("_before")),
+                old_dec, money.cents_decimal(F.col("_before")),
                 F.lit(fixed.MISSING)))
             .withColumn("current_price", money.amount(F.col("_cur.text"), locale))
             .withColumn("old_price", F.coalesce(
