@@ -78,11 +78,11 @@ def retry_outcomes(attempts: DataFrame, retries: int = fixed.MAX_RETRIES) -> Dat
     comes in parts; between parts only the earliest few rows are held back,
     so a URL with very many failures does not have to fit in memory.
     """
-    def outcome(url: str, rows: pd.DataFrame, numbers: list) -> pd.DataFrame:
-        numbers = pd.array(numbers, dtype="Int32")
+    def outcome(url: str, rows: pd.DataFrame, first: int) -> pd.DataFrame:
+        """Numbered from ``first``; 0 marks an attempt past the last retry."""
+        numbers = range(first, first + len(rows)) if first else 0
         return pd.DataFrame({"url": url, "attempt_id": rows["attempt_id"].to_numpy(),
-                             "retry_no": numbers,
-                             "outcome": ["discard" if n is pd.NA else "requeue" for n in numbers]})
+                             "retry_no": numbers, "outcome": "requeue" if first else "discard"})
 
     def step(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         used = state.get[0] if state.exists else 0
@@ -91,13 +91,16 @@ def retry_outcomes(attempts: DataFrame, retries: int = fixed.MAX_RETRIES) -> Dat
             rows = part if early is None else pd.concat([early, part])
             rows = rows.sort_values(["ts", "attempt_id"])
             early, late = rows.iloc[:retries - used], rows.iloc[retries - used:]
-            yield outcome(key[0], late, [None] * len(late))
+            if len(late):
+                yield outcome(key[0], late, 0)
         state.update((used + len(early),))
-        yield outcome(key[0], early, list(range(used + 1, used + 1 + len(early))))
+        if len(early):
+            yield outcome(key[0], early, used + 1)
 
     return (attempts.where(~F.col("ok")).select("url", "ts", "attempt_id").groupBy("url")
             .applyInPandasWithState(step, _OUTCOME, "used int", "append",
-                                    GroupStateTimeout.NoTimeout))
+                                    GroupStateTimeout.NoTimeout)
+            .withColumn("retry_no", F.nullif("retry_no", F.lit(0))))
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
