@@ -199,6 +199,24 @@ class PageNodes(HTMLParser):
                     yield n, self.raw[i]
 
 
+class LinkScan(HTMLParser):
+    """Only the ``href`` of every ``<a>``; no nodes are kept."""
+
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.hrefs: list[str] = []
+        self.feed(html)
+        self.close()
+
+    def updatepos(self, i, j):
+        return j
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            found = [v or "" for k, v in attrs if k == "href"]
+            self.hrefs += found[-1:]
+
+
 # -- embedded JSON ------------------------------------------------------------
 def _load(text: str):
     try:
@@ -357,8 +375,12 @@ def _sibling_review(page: PageNodes, sku: int | None) -> str | None:
 
 
 def candidates(html: str, fields: tuple[str, ...], config: ExtractConfig) -> dict:
-    page = PageNodes(html or "")
     row: dict = {}
+    if "links" in fields:
+        row["links"] = [h for h in LinkScan(html or "").hrefs if config.link_pattern in h]
+        if fields == ("links",):
+            return row
+    page = PageNodes(html or "")
     if "name" in fields:
         row["name_c"] = page.first_texts(config.name, " ")
     if "price" in fields:
@@ -399,10 +421,6 @@ def candidates(html: str, fields: tuple[str, ...], config: ExtractConfig) -> dic
         rated = next(page.select(("div", "class", "like", "reviews|rate")), None)
         row["review_c"] = None if rated is None else page.text(rated)
         row["review_sib"] = _sibling_review(page, sku)
-    if "links" in fields:
-        row["links"] = [h for n in page.by_tag.get("a", [])
-                        if (h := page.attr[n].get("href")) is not None
-                        and config.link_pattern in h]
     return row
 
 

@@ -184,3 +184,12 @@ def test_summary_and_card(spark):
     got = products.extract_products(df).select(products.summary().alias("s"), products.card().alias("c")).first()
     assert got["s"] == ("Nice Shirt | N/A | N/A |  | R$2,20 | R$2,00 | 9% | No description available...")
     assert got["c"].startswith("Product Name: Nice Shirt\n\nPrice: From R$2,00 to R$2,20 (9%)\n\n")
+
+
+def test_links_of_odd_markup():
+    html = ('<a href="/x-p-1.html">1</a><A HREF=/x-p-2.html>2<a href="/y">no</a><a href>none</a><a name="n">'
+            '<a href="/first-p-0" href="/x&amp;y-p-3?a=1&b=2"/><!-- <a href="/c-p-4"> -->'
+            '<script>"<a href=\'/s-p-5\'>"</script><p><a href=\'/q-p-6')
+    row = candidates(html, ("links",), ExtractConfig())
+    assert row["links"] == ["/x-p-1.html", "/x-p-2.html", "/x&y-p-3?a=1&b=2"]
+    assert candidates(html, ("links", "name"), ExtractConfig())["links"] == row["links"]
