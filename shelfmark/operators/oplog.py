@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfmark import fixed_values as fixed
 from shelfmark.functions.text import blank_to_null
-from shelfmark.operators.series import neighbours, range_chunk, running
+from shelfmark.operators.series import HOT_ROWS, neighbours, range_chunk, running
 
 _ANSI = r"\x1B\[[0-9;]*[a-zA-Z]"
 _LINE = r"^(\d{2}:\d{2}:\d{2}) \[([^\]]+)\](?: \[([A-Z_]+)\])? (.*)$"
@@ -61,9 +61,10 @@ def with_dates(df: DataFrame, first_day: str, position: str = "pos") -> DataFram
     df = (df.where(F.col("log_time").isNotNull())
           .withColumn("_second", seconds_of_day(F.col("log_time")))
           .withColumn("_chunk", range_chunk(position)).withColumn("_all", F.lit(0)))
-    df = neighbours(df, ["_all"], "_chunk", [position], previous={"_before": "_second"})
+    df = neighbours(df, ["_all"], "_chunk", [position], previous={"_before": "_second"}, hot_rows=None)
     df = running(df, ["_all"], "_chunk", [position],
-                 sums={"_day": F.coalesce(F.col("_second") < F.col("_before"), F.lit(False)).cast("int")})
+                 sums={"_day": F.coalesce(F.col("_second") < F.col("_before"), F.lit(False)).cast("int")},
+                 hot_rows=None)
     start = F.lit(first_day).cast("date")
     day = F.date_add(start, F.col("_day").cast("int")).cast("timestamp_ntz")
     return (df.withColumn("ts", day + F.make_dt_interval(secs=F.col("_second").cast("decimal(18,6)")))
@@ -78,29 +79,30 @@ def micros(ts: Column) -> Column:
     return ((days * DAY_SECONDS + whole) * 1000000 + (seconds * 1000000).cast("bigint")).cast("bigint")
 
 
-def transitions(states: DataFrame, unit: str = "hour") -> DataFrame:
+def transitions(states: DataFrame, unit: str = "hour", hot_rows: int = HOT_ROWS) -> DataFrame:
     """old_status -> status per worker; the first state comes from ``?``.
 
-    ``states`` has worker, ts, id, status; ``unit`` sets the length of the
-    chunks a long series is cut into.
+    ``states`` has worker, ts, id, status. A worker with more than ``hot_rows``
+    states is cut into chunks of one time ``unit``.
     """
     cut = states.withColumn("_chunk", F.date_trunc(unit, F.col("ts")))
-    out = neighbours(cut, ["worker"], "_chunk", ["ts", "id"], previous={"old_status": "status"})
+    out = neighbours(cut, ["worker"], "_chunk", ["ts", "id"], previous={"old_status": "status"},
+                     hot_rows=hot_rows)
     return (out.withColumn("old_status", F.coalesce("old_status", F.lit("?")))
             .withColumnRenamed("status", "new_status").drop("_chunk"))
 
 
-def with_next(states: DataFrame, unit: str = "hour") -> DataFrame:
+def with_next(states: DataFrame, unit: str = "hour", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds next_us, the start of the worker's following state."""
     cut = (states.withColumn("_chunk", F.date_trunc(unit, F.col("ts")))
            .withColumn("us", micros(F.col("ts"))))
     return neighbours(cut, ["worker"], "_chunk", ["ts", "id"],
-                      following={"next_us": "us"}).drop("_chunk")
+                      following={"next_us": "us"}, hot_rows=hot_rows).drop("_chunk")
 
 
-def dwell(states: DataFrame, unit: str = "hour") -> DataFrame:
+def dwell(states: DataFrame, unit: str = "hour", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Time spent per status; a worker's last, open state has no length yet."""
-    timed = with_next(states, unit)
+    timed = with_next(states, unit, hot_rows)
     return timed.groupBy("status").agg(
         F.count("*").alias("visits"),
         F.coalesce(F.sum(F.col("next_us") - F.col("us")), F.lit(0)).cast("bigint").alias("micros"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark import fixed_values as fixed
 from shelfmark.functions.text import strip
+from shelfmark.operators.sizing import BROADCAST_ROWS, join_counted
 from shelfmark.session import checkpointed
 from shelfmark.sources import products as source
 
@@ -51,28 +52,18 @@ def absent(new: DataFrame, store: DataFrame, seq: str, url: str = "url") -> Data
     return first_per_url(new, seq, url).join(store.select(url), url, "left_anti")
 
 
-def _keyed(pages: DataFrame, keys: DataFrame, how: str, url: str, broadcast_rows: int) -> DataFrame:
-    """Join wide pages to URLs that are already written out and counted.
-
-    Counted first, a short list is sent to the pages; a long one is joined by
-    shuffle. Leaving the choice to run-time statistics would shuffle the page
-    text before they are known.
-    """
-    short = keys.count() <= broadcast_rows
-    return pages.join(F.broadcast(keys) if short else keys, url, how)
-
-
 def drop_stored(pages: DataFrame, store: DataFrame, url: str = "url",
-                broadcast_rows: int = 200_000) -> DataFrame:
+                broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Pages whose URL the store lacks, found through the narrow URL column."""
     known = checkpointed(store.select(url).join(pages.select(url), url, "left_semi").distinct())
-    return _keyed(pages, known, "left_anti", url, broadcast_rows)
+    return join_counted(pages, known, [url], "left_anti", broadcast_rows=broadcast_rows)
 
 
 def keep_listed(pages: DataFrame, listed: DataFrame, url: str = "url",
-                broadcast_rows: int = 200_000) -> DataFrame:
+                broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Pages whose URL is on the list."""
-    return _keyed(pages, checkpointed(listed.select(url).distinct()), "left_semi", url, broadcast_rows)
+    wanted = checkpointed(listed.select(url).distinct())
+    return join_counted(pages, wanted, [url], "left_semi", broadcast_rows=broadcast_rows)
 
 
 def insert_if_absent(new: DataFrame, path: str, seq: str) -> None:

@@ -7,6 +7,8 @@ import random
 from pyspark.sql import Window, functions as F
 
 import __spark_entry__ as entry
+from shelfmark.catalogue import inputs
+from shelfmark.catalogue.registry import Tables
 from shelfmark.operators import oplog, series
 
 FOLDER = "/root/testdata/sf0.001"
@@ -32,10 +34,11 @@ def same(a, b):
 def test_running_equals_window(spark):
     df = hot_rows(spark)
     w = Window.partitionBy("k").orderBy("pos", "id")
-    for before, end in ((False, 0), (True, -1)):
+    for before, end, hot in ((False, 0, 1000), (True, -1, 1000), (True, -1, None), (False, 0, 10**6)):
         frame = w.rowsBetween(Window.unboundedPreceding, end)
         got = series.running(df, ["k"], "c", ["pos", "id"], sums={"s": F.col("v")},
-                             maxes={"m": F.when(F.col("v") == 4, F.col("pos"))}, before=before)
+                             maxes={"m": F.when(F.col("v") == 4, F.col("pos"))},
+                             before=before, hot_rows=hot)
         want = df.withColumn("s", F.coalesce(F.sum("v").over(frame), F.lit(0))).withColumn(
             "m", F.max(F.when(F.col("v") == 4, F.col("pos"))).over(frame))
         same(got.select("k", "id", "s", "m"), want.select("k", "id", "s", "m"))
@@ -51,9 +54,11 @@ def test_running_without_keys(spark):
 def test_neighbours_equal_lag_and_lead(spark):
     df = hot_rows(spark).withColumn("x", F.nullif("v", F.lit(2)))
     w = Window.partitionBy("k").orderBy("pos", "id")
-    got = series.neighbours(df, ["k"], "c", ["pos", "id"], previous={"p": "x"}, following={"n": "x"})
     want = df.withColumn("p", F.lag("x").over(w)).withColumn("n", F.lead("x").over(w))
-    same(got.select("k", "id", "p", "n"), want.select("k", "id", "p", "n"))
+    for hot in (1000, None, 10**6):
+        got = series.neighbours(df, ["k"], "c", ["pos", "id"], previous={"p": "x"},
+                                following={"n": "x"}, hot_rows=hot)
+        same(got.select("k", "id", "p", "n"), want.select("k", "id", "p", "n"))
 
 
 def test_since_last_equals_walk(spark):
@@ -66,6 +71,12 @@ def test_since_last_equals_walk(spark):
         assert got[r["id"]] == count[r["k"]]
 
 
+def test_hot_workers_give_the_same_states(spark):
+    states = inputs.states(Tables(spark, FOLDER))
+    for make in (oplog.transitions, oplog.dwell):
+        same(make(states, hot_rows=5), make(states))
+
+
 LOG = "\x1b[92m12:00:01 [Browser-1] [SCRAPING] [AVAILABLE→SCRAPING] https://s.example/a-p-1.html\x1b[0m"
 
 
