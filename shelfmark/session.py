@@ -14,6 +14,8 @@ RUNTIME = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Joins on a URL that holds a large share of the rows are split at run time.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A key that a JSON reply repeats keeps its last value.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Pages are wide rows: keep one Arrow batch small whatever the row count.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }

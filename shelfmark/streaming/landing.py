@@ -43,7 +43,7 @@ def start_extract(pages: DataFrame, store_path: str, checkpoint: str, *,
         todo = store.drop_stored(batch, stored)
         made = extract_products(todo, keep=(seq,), config=config)
         good = gate.valid_products(made.where(F.col("_error").isNull())).drop("_error")
-        fresh = store.absent(good, stored, seq).drop(seq)
+        fresh = store.first_per_url(good, seq).drop(seq)
         if on_saved is not None:
             on_saved(fresh, batch_id)
         fresh.write.mode("append").parquet(store_path)

@@ -141,7 +141,8 @@ def test_backoff(spark):
 
 @pytest.mark.parametrize("reply, value", [
     ('```json\n{"a": 1}\n```', '{"a":1}'), ('well {"b": 2} or {"c": 3}', '{"b":2}'),
-    ('[1, 2]', '[1,2]'), ("none", None), ('{"a": {"b": 1} oops', '{"b":1}'), ("{x}", None)])
+    ('[1, 2]', '[1,2]'), ("none", None), ('{"a": {"b": 1} oops', '{"b":1}'), ("{x}", None),
+    ('{"a": 1, "b": 2, "a": 3}', '{"a":3,"b":2}')])
 def test_json_replies(spark, reply, value):
     df = spark.createDataFrame([(reply,)], "r string")
     assert df.select(replies.salvage_json(F.col("r")).cast("string")).first()[0] == value
