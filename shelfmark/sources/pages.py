@@ -24,3 +24,13 @@ def read_html_files(spark: SparkSession, path: str) -> DataFrame:
     """path, html: one row per HTML file below ``path``."""
     return (spark.read.text(path, wholetext=True, recursiveFileLookup=True)
             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html")))
+
+
+def land_bucketed(pages: DataFrame, table: str, buckets: int, path: str) -> None:
+    """Write pages as a table bucketed by URL.
+
+    Joins of such a table with a long URL list move the list, not the pages:
+    choose at least as many buckets as shuffle partitions.
+    """
+    (pages.repartition(buckets, "url").write.mode("errorifexists").option("path", path)
+     .bucketBy(buckets, "url").sortBy("url").saveAsTable(table))

@@ -200,3 +200,21 @@ def test_scrape_plan(spark):
     stored = spark.createDataFrame([("u1", "Done")], "url string, name string")
     rows = lifecycle.scrape(work, pages, stored).collect()
     assert [(r["url"], r["name"], r["current_price_integer"]) for r in rows] == [("u2", "Two", "5")]
+
+
+def test_bucketed_pages_are_not_shuffled(spark, tmp_path):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    page_files.land_bucketed(pages, "landed_pages", 8, str(tmp_path / "pages"))
+    landed = spark.table("landed_pages")
+    listed = pages.where("page_id < 20").select("url")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")     # as if the list were long
+    try:
+        for keep in (store.keep_listed, store.drop_stored):
+            joined = keep(landed, listed, broadcast_rows=0)
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "Broadcast" not in plan and "Bucketed: true" in plan
+            assert plan.count("Exchange hashpartitioning") == 1
+            assert joined.count() == (20 if keep is store.keep_listed else 30)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE landed_pages")

@@ -65,7 +65,9 @@ def test_retry_state_equals_batch(spark, tmp_path):
     files = spark.read.parquet(landed)
     stream = landing.read_landing(spark, landed, files.schema, max_files=1)
     out = str(tmp_path / "out")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")     # groups in several parts
     landing.run_to_table(landing.retry_outcomes(stream), out, out + "-cp")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     columns = ["attempt_id", "retry_no", "outcome"]
     got = {tuple(r) for r in spark.read.parquet(out).select(columns).collect()}
     assert got == {tuple(r) for r in oplog.retry_outcomes(files).select(columns).collect()}, schema
