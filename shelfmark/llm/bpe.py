@@ -1,7 +1,9 @@
 """Byte-level BPE encoding and decoding by a local rank file.
 
 ``encode`` turns texts into ids exactly as the tiktoken library does without special tokens, and
-``decode`` turns ids back into raw bytes. Both are one Arrow pass without a shuffle.
+``decode`` turns ids back into raw bytes. Both are one Arrow pass without a shuffle. Two Python passes
+that follow each other in one stage can block each other in Spark 4.1, so a round trip is one pass
+(``encode(..., decoded=...)``) and ``decode`` is for stored ids.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded
 each for itself; an empty table stays empty; only the columns named in ``keep`` come along, so
@@ -70,9 +72,12 @@ def _kept(df: DataFrame, keep: Sequence[str], added: StructField) -> StructType:
 
 
 def encode(df: DataFrame, path: str, pattern: str, *, text: str = "text",
-           keep: Sequence[str] = ("doc_id",), into: str = "ids",
+           keep: Sequence[str] = ("doc_id",), into: str = "ids", decoded: str | None = None,
            chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """The columns of ``keep`` and an array of ids for every row."""
+    """The columns of ``keep`` and an array of ids for every row.
+
+    With ``decoded`` the ids are decoded again in the same pass, into a binary column of that name.
+    """
     keep = list(keep)
 
     def run(batches):
@@ -80,10 +85,15 @@ def encode(df: DataFrame, path: str, pattern: str, *, text: str = "text",
         for batch in batches:
             ids = [encode_text(encoding, t, chunk_chars) if t else []
                    for t in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(keep)], pa.array(ids, pa.list_(pa.int32()))], [*keep, into])
+            columns = [*batch.columns[:len(keep)], pa.array(ids, pa.list_(pa.int32()))]
+            if decoded:
+                columns.append(pa.array(map(encoding.decode_bytes, ids), pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = _kept(df, keep, StructField(into, ArrayType(IntegerType())))
+    if decoded:
+        schema = schema.add(decoded, BinaryType())
+    names = schema.names
     return df.select(*keep, df[text].alias("text to encode")).mapInArrow(run, schema)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import bpe, simhash, topk
+from shelfmark.llm import bpe, mixing, quality, repeats, simhash, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,8 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op1_bpe")
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern)
-    both = bpe.decode(ids, ranks, pattern, keep=("doc_id", "ids"))
+    both = bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern, decoded="decoded")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -46,6 +45,27 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+MIX_WEIGHTS = [3, 1, 2]
+
+
+@query("op5_mix", mixing.mix_sql(MIX_WEIGHTS))
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, model)
+
+
+@query("op9_repeats")
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.kept_words(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op10_top_k", """
     WITH v AS (
       SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings

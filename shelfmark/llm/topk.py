@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from shelfmark.session import checkpointed
+
 #: Components of one shard and of one query block: bounds the memory of a tile.
 SHARD_VALUES = 1 << 20
 BLOCK_VALUES = 1 << 16
@@ -47,8 +49,9 @@ def _packed(df: DataFrame, part: Column) -> DataFrame:
             "dim": pa.array([dim], pa.int32()), "part": pa.array([key[1].as_py()], pa.int64()),
             "ids": pa.array([rows.column("id").to_numpy().astype("<i8").tobytes()], pa.binary()),
             "matrix": pa.array([flat.astype("<f8").tobytes()], pa.binary())})
-    return (df.withColumn("part", part).groupBy("dim", "part")
-            .applyInArrow(pack, "dim int, part long, ids binary, matrix binary"))
+    # Kept in the shared folder: two Python passes in one stage could block each other.
+    return checkpointed(df.withColumn("part", part).groupBy("dim", "part")
+                        .applyInArrow(pack, "dim int, part long, ids binary, matrix binary"))
 
 
 def scores(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
