@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import bpe, mixing, quality, repeats, simhash, topk
+from shelfmark.llm import bpe, iblt, mixing, quality, repeats, simhash, token_files, topk, warc
+from shelfmark.session import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +38,19 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op3_warc")
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = work_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), archives)
+    read = warc.read_archives(spark, archives)
+    stored = F.col("record_type") == "response"
+    return read.select(
+        warc.page_number(F.col("record_id")).alias("page_id"),
+        F.when(stored, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(stored, F.sha1("payload")).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
+        "record_type", warc.page_number(F.col("refers_to")).alias("refers_to"))
+
+
 @query("op4_simhash")
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = simhash.fingerprints(table(spark, sf_dir, "documents"), shingle=4)
@@ -53,6 +67,20 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
 
 
+@query("op6_token_files")
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_path(spark, "token-ids")
+    files = token_files.write_files(table(spark, sf_dir, "documents"), folder,
+                                    public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return (token_files.read_files(spark, folder, files)
+            .select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")))
+
+
+@query("op7_iblt")
+def op7_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 @query("op8_quality")
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
