@@ -23,21 +23,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shelfmark.llm.common import word_count
-from shelfmark.session import checkpointed, work_path
+from shelfmark.llm.common import word_count, written
 
 BLOCK = 64
 SHARD_DOCS = 1000
 SEED = 7
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Through a table in the shared folder, so that the planner knows its size in joins."""
-    path = work_path(df.sparkSession, "mix")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def apportion(parties: DataFrame, group: str, party: str, votes: str, seats: str) -> DataFrame:
     """(group, party, seats) by highest quotients votes / (2k + 1); ties go to the smaller party.
 
@@ -92,13 +84,13 @@ def mix(docs: DataFrame, weights: Sequence[int], *, volume: float = 1.5, passes:
         shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
     """(id, size, source_size, target, taken) of every document."""
     key = F.coalesce(docs[id].cast("string"), F.lit("null"))
-    sized = checkpointed(docs.select(
+    sized = written(docs.select(
         docs[id].alias("id"), docs[source].alias("source"), word_count(docs[text]).alias("size"),
-        F.md5(F.concat(F.lit(f"mix:{seed}:"), key)).alias("h")))
-    sources = _written(source_targets(sized, weights, volume, passes))
+        F.md5(F.concat(F.lit(f"mix:{seed}:"), key)).alias("h")), "mix-sizes")
+    sources = written(source_targets(sized, weights, volume, passes), "mix-sources")
     total = F.floor(F.sum("target").over(Window.partitionBy("all")) / block + 0.5).cast("long")
     quotas = apportion(sources.withColumn("seats", total), "all", "k", "target", "seats")
-    sources = _written(sources.join(quotas, ["all", "k"]))
+    sources = written(sources.join(quotas, ["all", "k"]), "mix-quotas")
 
     # Small written tables: the planner sends them along if their size allows.
     named = sized.withColumnRenamed("source", "own")
@@ -106,7 +98,7 @@ def mix(docs: DataFrame, weights: Sequence[int], *, volume: float = 1.5, passes:
               .withColumn("shard", _digits(F.reverse("h")) % F.ceil(F.col("docs") / shard_docs)))
     shards = placed.groupBy("k", "shard").agg(F.sum("size").alias("words"), F.first("blocks").alias("blocks"))
     won = apportion(shards, "k", "shard", "words", "blocks").withColumnRenamed("blocks", "quota")
-    shards = _written(shards.join(won, ["k", "shard"]).select("k", "shard", "words", "quota"))
+    shards = written(shards.join(won, ["k", "shard"]).select("k", "shard", "words", "quota"), "mix-shards")
 
     line = Window.partitionBy("k", "shard").orderBy("h", F.col("id").asc_nulls_first(), "size")
     start = F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import bpe, iblt, mixing, quality, repeats, simhash, token_files, topk, warc
+from shelfmark.llm import bpe, html_crf, iblt, mixing, quality, repeats, simhash, token_files, topk, warc
 from shelfmark.session import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op2_main_text")
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = html_crf.fit(html_crf.labelled_pages())
+    return html_crf.extract(table(spark, sf_dir, "pages"), model)
+
+
 @query("op3_warc")
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = work_path(spark, "warc")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from shelfmark.session import checkpointed
+from shelfmark.llm.common import written
 
 LENGTH = 20
 SEED_WORDS = 6
@@ -200,10 +200,10 @@ def repeat_windows(docs: DataFrame, *, id: str = "doc_id", text: str = "text", l
     """(doc, mark, first, last): every window start from first to last is a repeat."""
     texts = _texts(docs, id, text)
     table = _bit_table(_repeated_slots(texts, length, seed, bits), bits)
-    runs = checkpointed(_run_rows(texts, table, length, seed, bits, False))
+    runs = written(_run_rows(texts, table, length, seed, bits, False), "runs")
     place = F.struct("doc", "mark", "first")
-    classes = checkpointed(runs.groupBy("anchor", "whole")
-                           .agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")))
+    classes = written(runs.groupBy("anchor", "whole")
+                      .agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")), "run-classes")
 
     # Runs that agree as a whole with an earlier one.
     whole = (runs.join(classes.where("n > 1").select("anchor", "whole", "earliest"), ["anchor", "whole"])
@@ -217,7 +217,7 @@ def repeat_windows(docs: DataFrame, *, id: str = "doc_id", text: str = "text", l
     firsts = (edges.groupBy("anchor", "whole")
               .agg(F.min(F.struct("doc", "mark", "first", "windows")).alias("run"))
               .select("anchor", "run.*"))
-    windows = checkpointed(_window_rows(firsts))
+    windows = written(_window_rows(firsts), "edge-windows")
     at = F.struct("doc", "mark", "start")
     earliest = (windows.groupBy("anchor", "window")
                 .agg(F.min(at).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
