@@ -6,14 +6,15 @@ id, or same document and earlier start). Every word that a repeat covers is remo
 * Seed. A window's anchor is the smallest hash among its ``seed``-word grams, so equal windows have
   equal anchors and equal passages share all anchors inside. Consecutive windows with one anchor
   form a run; a run with its anchor stands for the passage around it.
-* Join. Only anchors that occur twice can lie in a repeat. A bit table of fixed size drops most
-  others before anything is shuffled; what passes it by chance costs work, not correctness.
+* Join. Only anchors that occur twice can lie in a repeat. Bit tables of fixed size drop most others
+  before anything is shuffled; what passes them by chance costs work, not correctness.
 * Extend. Runs whose whole words agree repeat as a whole. Where one anchor stands in different
   surroundings, at the ends of repeated passages, each window around it, left and right, is looked
   up. Adjacent windows merge into the maximal repeat.
 
 All grouping is a minimum with map-side combine, and all joins are plain equi-joins, so an anchor
-that holds a third of all rows is split like any other. Texts are shuffled once, at the end.
+that holds a third of all rows is split like any other. Texts of documents with repeats are shuffled
+once, at the end; the others are not.
 
 Defined cases: null and blank texts have no words; rows with a null id come before all others; rows
 that repeat an id are ordered by a hash of their text, and rows equal in both stand at one place,
@@ -22,6 +23,8 @@ so none repeats the other; empty tables stay empty; other columns are not read,
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -115,20 +118,21 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 
 
-def _texts(docs: DataFrame, id: str, text: str) -> DataFrame:
-    return docs.select(docs[id].cast("long").alias("doc"), F.xxhash64(docs[text]).alias("mark"),
-                       docs[text].alias("text"))
+def _mark(docs: DataFrame, id: str, text: str) -> Column:
+    """Tells rows with equal ids apart: a hash of the text, or nothing if no id is repeated."""
+    repeated = docs.groupBy(docs[id].cast("long").alias("doc")).count().where("count > 1").head(1)
+    return F.xxhash64(docs[text]) if repeated else F.lit(0).cast("long")
 
 
-def _repeated_slots(texts: DataFrame, length: int, seed: int, bits: int) -> DataFrame:
-    """Slots of the bit table that more than one anchor occurrence falls into."""
+def _repeated_slots(rows: DataFrame, hashes, bits: int) -> DataFrame:
+    """Slots of a bit table that more than one of ``hashes(value)``, over all rows, fall into."""
     def run(batches):
         for batch in batches:
-            anchors = [Runs(t, length, seed).anchor for t in batch.column(0).to_pylist()]
-            slot, n = np.unique(np.concatenate(anchors) >> np.uint64(64 - bits), return_counts=True)
+            found = np.concatenate([np.empty(0, np.uint64), *map(hashes, batch.column(0).to_pylist())])
+            slot, n = np.unique(found >> np.uint64(64 - bits), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)),
                                               pa.array(np.minimum(n, 2).astype(np.int32))], ["slot", "n"])
-    return (texts.select("text").mapInArrow(run, "slot int, n int")
+    return (rows.mapInArrow(run, "slot int, n int")
             .groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").select("slot"))
 
 
@@ -179,27 +183,37 @@ def _run_rows(texts: DataFrame, table, length: int, seed: int, bits: int, window
     return texts.mapInArrow(run, schema)
 
 
-def _window_rows(firsts: DataFrame) -> DataFrame:
+def _windows_of(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
+
+
+def _window_rows(firsts: DataFrame, table, bits: int) -> DataFrame:
+    """A row for each window of the given runs that passes the table."""
     def run(batches):
+        held = table.value
         for batch in batches:
             raw = batch.column(4).to_pylist()
             size = np.fromiter((len(w) // 8 for w in raw), np.int64, len(raw))
-            at = pa.array(np.repeat(np.arange(len(raw)), size))
-            inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            start = batch.column(3).to_numpy()[at.to_numpy()] + inside
+            at = np.repeat(np.arange(len(raw)), size)
+            start = batch.column(3).to_numpy()[at] + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            windows = _windows_of(b"".join(raw))
+            some = _passes(held, windows, bits)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n).take(at) for n in range(3)), pa.array(start.astype(np.int32)),
-                 pa.array(np.frombuffer(b"".join(raw), np.int64))],
+                [*(batch.column(n).take(pa.array(at[some])) for n in range(3)),
+                 pa.array(start[some].astype(np.int32)), _signed(windows[some])],
                 ["anchor", "doc", "mark", "start", "window"])
     return (firsts.select("anchor", "doc", "mark", "first", "windows")
             .mapInArrow(run, "anchor long, doc long, mark long, start int, window long"))
 
 
-def repeat_windows(docs: DataFrame, *, id: str = "doc_id", text: str = "text", length: int = LENGTH,
+def repeat_windows(docs: DataFrame, mark: Column, *, id: str = "doc_id", text: str = "text", length: int = LENGTH,
                    seed: int = SEED_WORDS, bits: int = TABLE_BITS) -> DataFrame:
-    """(doc, mark, first, last): every window start from first to last is a repeat."""
-    texts = _texts(docs, id, text)
-    table = _bit_table(_repeated_slots(texts, length, seed, bits), bits)
+    """(doc, mark, first, last): every window start from first to last is a repeat.
+
+    ``mark`` tells rows with equal ids apart.
+    """
+    texts = docs.select(docs[id].cast("long").alias("doc"), mark.alias("mark"), docs[text].alias("text"))
+    table = _bit_table(_repeated_slots(texts.select("text"), lambda t: Runs(t, length, seed).anchor, bits), bits)
     runs = written(_run_rows(texts, table, length, seed, bits, False), "runs")
     place = F.struct("doc", "mark", "first")
     classes = written(runs.groupBy("anchor", "whole")
@@ -214,10 +228,10 @@ def repeat_windows(docs: DataFrame, *, id: str = "doc_id", text: str = "text", l
              .where("a <> b").select(F.expr(f"cast(shiftrightunsigned(anchor, {64 - bits}) as int)").alias("slot"))
              .distinct())
     edges = _run_rows(texts, _bit_table(mixed, bits), length, seed, bits, True)
-    firsts = (edges.groupBy("anchor", "whole")
-              .agg(F.min(F.struct("doc", "mark", "first", "windows")).alias("run"))
-              .select("anchor", "run.*"))
-    windows = written(_window_rows(firsts), "edge-windows")
+    firsts = written(edges.groupBy("anchor", "whole")
+                     .agg(F.min(F.struct("doc", "mark", "first", "windows")).alias("run"))
+                     .select("anchor", "run.*"), "edge-runs")
+    windows = _window_rows(firsts, _bit_table(_repeated_slots(firsts.select("windows"), _windows_of, bits), bits), bits)
     at = F.struct("doc", "mark", "start")
     earliest = (windows.groupBy("anchor", "window")
                 .agg(F.min(at).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
@@ -226,13 +240,46 @@ def repeat_windows(docs: DataFrame, *, id: str = "doc_id", text: str = "text", l
     return whole.union(single)
 
 
-def with_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", into: str,
-                 **options) -> DataFrame:
-    """All rows and columns, and an array of repeated window starts (first, last), null if none."""
-    found = (repeat_windows(docs, id=id, text=text, **options).groupBy("doc", "mark")
-             .agg(F.collect_list(F.struct("first", "last")).alias(into)))
-    same = docs[id].cast("long").eqNullSafe(found.doc) & (F.xxhash64(docs[text]) == found.mark)
-    return docs.join(found, same, "left").select(*(docs[c] for c in docs.columns), found[into])
+def _finish(docs: DataFrame, finish, schema: StructType, *, id: str, text: str, bits: int = TABLE_BITS,
+            **options) -> DataFrame:
+    """``finish(columns, repeats)`` of all rows; repeats is null or a list of window starts (first, last).
+
+    A bit table of documents with repeats lets the others pass without a shuffle.
+    """
+    names = docs.columns
+    mark = _mark(docs, id, text)
+    key = F.xxhash64("doc", "mark")
+    found = written(repeat_windows(docs, mark, id=id, text=text, bits=bits, **options).groupBy("doc", "mark")
+                    .agg(F.collect_list(F.struct("first", "last")).alias("repeats")), "repeats")
+    table = _bit_table(found.select(F.expr(f"cast(shiftrightunsigned(xxhash64(doc, mark), {64 - bits}) as int)")
+                                    .alias("slot")).distinct(), bits)
+    keyed = docs.select(*(docs[c].alias(f"column {n}") for n, c in enumerate(names)),
+                        docs[id].cast("long").alias("doc"), mark.alias("mark"))
+    keyed = keyed.withColumn("key", key)
+    width = len(names)
+
+    def hit(batch):
+        some = np.zeros(batch.num_rows, bool)
+        some[_passes(table.value, batch.column(width + 2).to_numpy().view(np.uint64), bits)] = True
+        return some
+
+    def concerned(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(hit(batch)))
+
+    def others(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(~hit(batch)))
+            yield finish(batch.columns[:width], [None] * batch.num_rows)
+
+    def joined(batches):
+        for batch in batches:
+            yield finish(batch.columns[:width], batch.column(width).to_pylist())
+
+    some = keyed.mapInArrow(concerned, keyed.schema)
+    some = (some.join(found, some.doc.eqNullSafe(found.doc) & (some.mark == found.mark), "left")
+            .select(*some.columns[:width], found.repeats))
+    return some.mapInArrow(joined, schema).union(keyed.mapInArrow(others, schema))
 
 
 def covered(n: int, repeats: list | None, length: int) -> np.ndarray:
@@ -247,23 +294,20 @@ def covered(n: int, repeats: list | None, length: int) -> np.ndarray:
 def kept_words(docs: DataFrame, *, id: str = "doc_id", text: str = "text", length: int = LENGTH,
                **options) -> DataFrame:
     """(id, n_words, n_removed, kept): kept words joined by one space."""
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for t, repeats in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = t.encode().split() if t else []
-                gone = covered(len(words), repeats, length)
-                kept = [w for w, x in zip(words, gone.tolist()) if not x] if repeats else words
-                rows.append((len(words), int(gone.sum()), b" ".join(kept).decode()))
-            columns = zip(*rows) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string())))],
-                [id, "n_words", "n_removed", "kept"])
+    def finish(columns, repeats):
+        rows = []
+        for t, some in zip(columns[1].to_pylist(), repeats):
+            words = t.encode().split() if t else []
+            gone = covered(len(words), some, length)
+            kept = [w for w, x in zip(words, gone.tolist()) if not x] if some else words
+            rows.append((len(words), int(gone.sum()), b" ".join(kept).decode()))
+        found = zip(*rows) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays(
+            [columns[0], *(pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.string())))], schema.names)
 
     schema = StructType([docs.schema[id], StructField("n_words", LongType()),
                          StructField("n_removed", LongType()), StructField("kept", StringType())])
-    marked = with_repeats(docs.select(id, text), id=id, text=text, length=length, into="repeats", **options)
-    return marked.mapInArrow(run, schema)
+    return _finish(docs.select(id, text), finish, schema, id=id, text=text, length=length, **options)
 
 
 def cut_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", length: int = LENGTH,
@@ -274,25 +318,18 @@ def cut_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", leng
     """
     names = docs.columns
     at = names.index(text)
-
-    def run(batches):
-        import re
-        word = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
-        for batch in batches:
-            texts, keep = [], []
-            for t, repeats in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
-                if repeats:
-                    raw = t.encode()
-                    cuts = [m.span() for m in word.finditer(raw)]
-                    gone = covered(len(cuts), repeats, length).tolist()
-                    t = b"".join(raw[a:b] for (a, b), x in zip(cuts, gone) if not x).decode().rstrip()
-                    keep.append(bool(t))
-                else:
-                    keep.append(True)
-                texts.append(t)
-            columns = batch.columns[:len(names)]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
-
-    return with_repeats(docs, id=id, text=text, length=length, into="repeats of this text",
-                        **options).mapInArrow(run, docs.schema)
+    word = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+
+    def finish(columns, repeats):
+        texts, keep = columns[at].to_pylist(), [True] * len(repeats)
+        for n, some in enumerate(repeats):
+            if some:
+                raw = texts[n].encode()
+                cuts = [m.span() for m in word.finditer(raw)]
+                gone = covered(len(cuts), some, length).tolist()
+                texts[n] = b"".join(raw[a:b] for (a, b), x in zip(cuts, gone) if not x).decode().rstrip()
+                keep[n] = bool(texts[n])
+        columns[at] = pa.array(texts, pa.string())
+        return pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
+
+    return _finish(docs, finish, docs.schema, id=id, text=text, length=length, **options)
