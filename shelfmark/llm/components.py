@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from shelfmark.session import checkpointed
+from shelfmark.llm.common import written
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def components(links: DataFrame) -> DataFrame:
     links = links.where("a <> b")
     state = None
     while True:
-        links = checkpointed(_small_star(_large_star(links)))
+        links = written(_small_star(_large_star(links)), "links")
         now = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).head()
         if now == state:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -120,6 +120,28 @@ def mix(docs: DataFrame, weights: Sequence[int], *, volume: float = 1.5, passes:
                        F.when(whole, passes * F.col("size")).otherwise(taken).cast("long").alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, weights: Sequence[int], *, id: str = "doc_id", text: str = "text",
+                    source: str = "source", **options) -> DataFrame:
+    """The documents of the mix, whole: a row for each time half of a document or more is taken.
+
+    Only the two documents at the ends of a shard's quota are taken in part, so rounding moves a source
+    from its target by a document a shard at most. Copies of a row with equal id, source and size are
+    told apart by nothing, so they are dealt out in any order. A document without words stays once.
+    """
+    taken = mix(docs.withColumn(f"{id} of row", F.xxhash64(docs[id], docs[text])), weights,
+                id=f"{id} of row", text=text, source=source, **options)
+    copies = written(taken.where("size > 0").select(
+        F.col(f"{id} of row").alias("row of the mix"),
+        F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times"))
+        .groupBy("row of the mix").agg(F.avg("times").alias("times")), "mix-copies")
+    words = word_count(docs[text])
+    times = F.when(words == 0, F.lit(1)).otherwise(F.coalesce(copies.times, F.lit(0))).cast("int")
+    some = (docs.join(copies, F.xxhash64(docs[id], docs[text]) == copies["row of the mix"], "left")
+            .select(*(docs[c] for c in docs.columns), times.alias("times in the mix")).where(F.col("times in the mix") > 0))
+    return (some.withColumn("times in the mix", F.explode(F.sequence(F.lit(1), F.col("times in the mix"))))
+            .drop("times in the mix"))
+
+
 def mix_sql(weights: Sequence[int], volume: float = 1.5, passes: int = 2, block: int = BLOCK,
             shard_docs: int = SHARD_DOCS, seed: int = SEED, table: str = "documents") -> str:
     """The same rows in DuckDB SQL, from a table with doc_id, source and text."""

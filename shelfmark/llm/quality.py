@@ -196,3 +196,13 @@ def judge(docs: DataFrame, model: dict, *, text: str = "text", host: str = "sour
                         & F.col("judged path").eqNullSafe(F.col("group path")), "left")
             .select(*keep, "evidence", "site_prior", (1 / (1 + F.exp(-odds))).alias("posterior"),
                     (1 / (1 + F.exp(-odds)) >= threshold).alias("keep")))
+
+
+def good(docs: DataFrame, model: dict, *, text: str = "text", host: str = "source", path: str = "lang",
+         threshold: float = 0.5) -> DataFrame:
+    """The documents whose posterior is at the threshold or above, with the same columns."""
+    names = [f"column {n}" for n in range(len(docs.columns))]
+    inner = docs.toDF(*names)
+    at = dict(zip(docs.columns, names))
+    judged = judge(inner, model, text=at[text], host=at[host], path=at[path], keep=names, threshold=threshold)
+    return judged.where("keep").select(*names).toDF(*docs.columns)

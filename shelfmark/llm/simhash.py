@@ -24,10 +24,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfmark.llm.common import written
 from shelfmark.llm.components import components
-from shelfmark.session import checkpointed
 
 SEED = 42
 #: Members of a bucket that one task compares; a larger bucket is cut into chunks of about this size.
@@ -37,27 +37,33 @@ PIVOTS = 16
 _BLOCK = 1 << 14
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """The SimHash of one text as a signed 64-bit number."""
+def _shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of every shingle, words joined by a space; of the whole text if it is shorter."""
     import xxhash
-    lower = text.encode().lower().split() if text else []  # bytes: ASCII letters only
-    if not lower:
-        return 0
-    joined = b" ".join(lower)
-    sizes = np.fromiter(map(len, lower), np.int64, len(lower))
+    joined = b" ".join(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
-    shingle = min(shingle, len(lower))
-    pairs = zip(starts[:len(lower) - shingle + 1].tolist(), ends[shingle - 1:].tolist())
+    shingle = min(shingle, len(words))
+    total = len(words) - shingle + 1
+    pairs = zip(starts[:total].tolist(), ends[shingle - 1:].tolist())
     digest = xxhash.xxh64_intdigest
-    total = len(lower) - shingle + 1
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in pairs), np.uint64, total)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in pairs), np.uint64, total)
+
+
+def _votes(hashes: np.ndarray) -> int:
+    """A signed 64-bit number whose bits are set where over half of the hashes have them set."""
     votes = np.zeros(64, np.int64)
-    for at in range(0, total, _BLOCK):
+    for at in range(0, len(hashes), _BLOCK):
         part = hashes[at:at + _BLOCK].view(np.uint8).reshape(-1, 8)
         votes += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(votes * 2 > total, bitorder="little")
-    return int(bits.view("<i8")[0])
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """The SimHash of one text; bytes are lowered, so ASCII letters only."""
+    lower = text.encode().lower().split() if text else []
+    return _votes(_shingle_hashes(lower, shingle)) if lower else 0
 
 
 def fingerprints(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int) -> DataFrame:
@@ -98,78 +104,104 @@ def _linked(fps, table, at: int, others: np.ndarray, max_bits: int) -> np.ndarra
     return others[np.bitwise_count(fps[others] ^ fps[at]) <= max_bits]
 
 
-def spanning_links(fps: np.ndarray, references: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Links (root, member) that join all fingerprints reachable from each other in one bucket."""
+def spanning_links(fps: np.ndarray, references: np.ndarray, max_bits: int, verify=None) -> list[tuple[int, int]]:
+    """Links that join all fingerprints reachable from each other in one group.
+
+    ``verify(at, others)`` can drop further pairs.
+    """
     table = pivot_table(fps, references)
     rest, out = np.arange(len(fps)), []
     while len(rest):
-        root, rest = rest[0], rest[1:]
-        queue = [root]
+        queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
-            near = _linked(fps, table, queue.pop(), rest, max_bits)
+            at = queue.pop()
+            near = _linked(fps, table, at, rest, max_bits)
+            if verify is not None and len(near):
+                near = near[verify(at, near)]
             if len(near):
-                out += [(root, member) for member in near]
+                out += [(at, member) for member in near]
                 rest = np.setdiff1d(rest, near, assume_unique=True)
                 queue.extend(near)
     return out
 
 
+def _group_runs(batches):
+    """Columns of sorted batches, cut so that a group (first column) is never split."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        group = table.column(0).to_numpy()
+        done = int(np.searchsorted(group, group[-1])) if len(group) else 0  # the last group may go on
+        if done:
+            yield table.slice(0, done)
+        held = table.slice(done)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _packed(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+
+def _edges(group: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
+
+
 def _bucket_links(max_bits: int):
     def run(batches):
         references = pivots()
-        held_bucket, held_fp = np.empty(0, np.int64), np.empty(0, np.uint64)
-        for batch in batches:
-            bucket = np.concatenate([held_bucket, batch.column(0).to_numpy()])
-            fp = np.concatenate([held_fp, batch.column(1).to_numpy().view(np.uint64)])
-            done = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
-            yield from links(bucket[:done], fp[:done], references)
-            held_bucket, held_fp = bucket[done:], fp[done:]
-        if len(held_fp):
-            yield from links(held_bucket, held_fp, references)
-
-    def links(bucket, fp, references):
-        edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, int)
-        size = np.diff(edges)
-        two = edges[:-1][size == 2]
-        if len(two):  # most buckets by far: all at once
-            left, right = fp[two], fp[two + 1]
-            near = np.abs(pivot_table(left, references) - pivot_table(right, references)).max(axis=1) <= max_bits
-            left, right = left[near], right[near]
-            near = np.bitwise_count(left ^ right) <= max_bits
-            yield pack(left[near], right[near])
-        for start, length in zip(edges[:-1][size > 2], size[size > 2]):
-            members = np.unique(fp[start:start + length])
-            found = spanning_links(members, references, max_bits)
-            if found:
-                pairs = np.array(found)
-                yield pack(members[pairs[:, 0]], members[pairs[:, 1]])
-
-    def pack(a, b):
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        for table in _group_runs(batches):
+            fp = table.column(1).to_numpy().view(np.uint64)
+            edges = _edges(table.column(0).to_numpy())
+            size = np.diff(edges)
+            two = edges[:-1][size == 2]
+            if len(two):  # most buckets by far: all at once
+                left, right = fp[two], fp[two + 1]
+                near = np.abs(pivot_table(left, references) - pivot_table(right, references)).max(axis=1) <= max_bits
+                left, right = left[near], right[near]
+                near = np.bitwise_count(left ^ right) <= max_bits
+                yield _packed(left[near], right[near])
+            for start, length in zip(edges[:-1][size > 2], size[size > 2]):
+                members = np.unique(fp[start:start + length])
+                found = spanning_links(members, references, max_bits)
+                if found:
+                    pairs = np.array(found)
+                    yield _packed(members[pairs[:, 0]], members[pairs[:, 1]])
 
     return run
 
 
+def _tiled(rows: DataFrame, group: str, tile: int) -> DataFrame:
+    """Rows of groups over ``tile`` members go to one group per pair of chunks, the others to their own.
+
+    Needs a long column ``member`` to deal the rows of a group into chunks by.
+    """
+    large = written(rows.groupBy(group).count().where(F.col("count") > tile)
+                    .select(group, F.ceil(F.col("count") / tile).alias("chunks")), "large-groups")
+    last = F.coalesce("chunks", F.lit(1)) - 1
+    return (rows.join(large, group, "left")
+            .withColumn("own", F.pmod(F.xxhash64("member"), last + 1))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+            .withColumn(group, F.when(F.col("chunks").isNull(), F.col(group)).otherwise(
+                F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other"))))
+            .drop("chunks", "own", "other"))
+
+
 def near_links(classes: DataFrame, max_bits: int, *, tile: int = TILE) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``classes(fp)`` that span all pairs in reach."""
     masks = [_signed(mask) for mask in block_masks(max_bits)]
-    rows = classes.select("fp", F.explode(F.array(*[
+    rows = classes.select(F.col("fp").alias("member"), F.explode(F.array(*[
         F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(mask))) for n, mask in enumerate(masks)])).alias("bucket"))
-    large = checkpointed(rows.groupBy("bucket").count().where(F.col("count") > tile)
-                         .select("bucket", F.ceil(F.col("count") / tile).alias("chunks")))
-    tiled = (rows.join(large, "bucket", "left")
-             .withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("chunks", F.lit(1))))
-             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1)) - 1)))
-             .select(F.when(F.col("chunks").isNull(), F.col("bucket")).otherwise(
-                 F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).alias("bucket"), "fp"))
-    return (tiled.repartition("bucket").sortWithinPartitions("bucket")
+    return (_tiled(rows, "bucket", tile).select("bucket", "member")
+            .repartition("bucket").sortWithinPartitions("bucket")
             .mapInArrow(_bucket_links(max_bits), "a long, b long").distinct())
 
 
 def near_duplicates(marks: DataFrame, max_bits: int, *, tile: int = TILE) -> DataFrame:
     """(id, fp, component_id) for rows (id, fp); component_id is the smallest id in reach."""
-    marks = checkpointed(marks)
-    classes = checkpointed(marks.groupBy("fp").agg(F.min("id").alias("rep")))
+    marks = written(marks, "marks")
+    classes = written(marks.groupBy("fp").agg(F.min("id").alias("rep")), "mark-classes")
     roots = components(near_links(classes, max_bits, tile=tile))
     rooted = (classes.join(roots, classes.fp == roots.node, "left")
               .select("fp", "rep", F.coalesce("root", "fp").alias("root")))
@@ -178,15 +210,109 @@ def near_duplicates(marks: DataFrame, max_bits: int, *, tile: int = TILE) -> Dat
     return marks.join(named, "fp").select("id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int,
-                    max_bits: int) -> DataFrame:
-    """One document of each component: that with the smallest id, whole and once.
+# Near copies by similarity of shingle sets. A text with a few changed words keeps most of its words, so
+# the fingerprint of its distinct words moves little, and it only has to find the candidates: pairs are
+# verified by the similarity of their shingle sets.
+
+#: Bits that the word fingerprints of similar texts may differ in.
+NEAR_BITS = 8
+#: Minima (16 bits each) that a set of shingles is compared by.
+MINIMA = 256
+SIMILARITY = 0.8
+
+
+def word_mark(text: str | None, shingle: int) -> tuple[int, bytes]:
+    """SimHash of the distinct words, and the least hash of the shingles in each of ``MINIMA`` classes."""
+    import xxhash
+    lower = text.encode().lower().split() if text else []
+    least = np.full(MINIMA, 0xFFFF, np.uint16)
+    if not lower:
+        return 0, least.tobytes()
+    votes = _votes(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in set(lower)), np.uint64))
+    hashes = _shingle_hashes(lower, shingle)
+    value = np.minimum((hashes >> np.uint64(16)) & np.uint64(0xFFFF), np.uint64(0xFFFE)).astype(np.uint16)
+    np.minimum.at(least, (hashes % np.uint64(MINIMA)).astype(np.int64), value)
+    return votes, least.tobytes()
+
+
+def similarity(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity: equal minima among the classes that either set has."""
+    some = (one != 0xFFFF) | (others != 0xFFFF)
+    return ((one == others) & some).sum(axis=1) / np.maximum(1, some.sum(axis=1))
 
-    Rows with equal id and equal text count as one row. Rows that repeat an id with other texts stay
-    or go together. Rows without an id cannot be named and stay.
+
+def _similar_links(max_bits: int, least: float):
+    def run(batches):
+        references = pivots()
+        for table in _group_runs(batches):
+            member = table.column(1).to_numpy()
+            fp = table.column(2).to_numpy().view(np.uint64)
+            minima = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint16).reshape(len(fp), MINIMA)
+            edges = _edges(table.column(0).to_numpy())
+            for a, b in zip(edges, edges[1:]):
+                if b - a > 1:
+                    own = minima[a:b]
+                    found = spanning_links(fp[a:b], references, max_bits,
+                                           lambda at, others, own=own: similarity(own[at], own[others]) >= least)
+                    if found:
+                        pairs = np.array(found) + a
+                        yield _packed(member[pairs[:, 0]], member[pairs[:, 1]])
+
+    return run
+
+
+def similar_texts(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = 5,
+                  max_bits: int = NEAR_BITS, least: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """(id, text_key, component_id): texts in one chain of similar texts share the smallest id.
+
+    Equal texts are one member. Word fingerprints within ``max_bits`` of each other give loose groups;
+    in a loose group, pairs within ``max_bits`` whose shingle sets are ``least`` alike are linked.
+    """
+    def run(batches):
+        for batch in batches:
+            marks = [word_mark(t, shingle) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array([m[0] for m in marks], pa.int64()),
+                 pa.array([m[1] for m in marks], pa.binary())], ["id", "member", "fp", "minima"])
+
+    rows = written(docs.select(docs[id].cast("long").alias("id"), _text_key(docs[text]).alias("member"),
+                               F.coalesce(docs[text], F.lit("")).alias("text"))
+                   .mapInArrow(run, "id long, member long, fp long, minima binary"), "text-marks")
+    members = written(rows.groupBy("member").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"),
+                                                 F.first("minima").alias("minima")), "texts")
+    prints = members.groupBy("fp").agg(F.count(F.lit(1)).alias("texts"))
+    loose = components(near_links(prints, max_bits, tile=tile))
+    busy = (prints.join(loose, prints.fp == loose.node, "left")
+            .select("fp", F.coalesce("root", "fp").alias("root"), "texts"))
+    sizes = busy.groupBy("root").agg(F.sum("texts").alias("n")).where("n > 1").select("root")
+    grouped = members.join(busy.join(sizes, "root").select("fp", "root"), "fp").select("root", "member", "fp", "minima")
+    links = (_tiled(grouped, "root", tile).select("root", "member", "fp", "minima")
+             .repartition("root").sortWithinPartitions("root")
+             .mapInArrow(_similar_links(max_bits, least), "a long, b long"))
+    roots = components(links)
+    rooted = (members.join(roots, members.member == roots.node, "left")
+              .select("member", "rep", F.coalesce("root", "member").alias("root")))
+    named = (rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root")
+             .select(F.col("member").alias("text_key"), "component_id"))
+    return rows.join(named, rows.member == named.text_key).select("id", "text_key", "component_id")
+
+
+def _text_key(text) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def representatives(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One document of each chain of similar texts: that with the smallest id, whole and once.
+
+    Rows with equal id and equal text count as one row. Rows without an id cannot be named and stay.
     """
-    found = near_duplicates(fingerprints(docs, id=id, text=text, shingle=shingle), max_bits)
-    stays = found.where("id = component_id").select(F.col("id").alias("id that stays")).distinct()
-    named = (docs.join(stays, docs[id] == stays["id that stays"], "left_semi")
-             .dropDuplicates([id, text]))
+    found = similar_texts(docs, id=id, text=text, **options)
+    stays = written(found.where("id = component_id")
+                    .select(F.col("id").alias("id that stays"), F.col("text_key").alias("its text")).distinct(), "stays")
+    same = (docs[id].cast("long") == stays["id that stays"]) & (_text_key(docs[text]) == stays["its text"])
+    named = docs.join(stays, same, "left_semi")
+    repeated = stays.groupBy("id that stays").count().where("count > 1").head(1) or (
+        docs.groupBy(id).count().where(F.col(id).isNotNull() & (F.col("count") > 1)).head(1))
+    if repeated:
+        named = named.dropDuplicates([id, text])
     return named.unionByName(docs.where(F.col(id).isNull()))
