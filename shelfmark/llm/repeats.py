@@ -24,6 +24,7 @@ so none repeats the other; empty tables stay empty; other columns are not read,
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -142,7 +143,11 @@ def _bit_table(slots: DataFrame, bits: int):
              .agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("word"))).toArrow()
     table = np.zeros(1 << (bits - 6), np.uint64)
     table[words.column("at").to_numpy()] = words.column("word").to_numpy().view(np.uint64)
-    return slots.sparkSession.sparkContext.broadcast(table)
+    return slots.sparkSession.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
+
+
+def _held(table) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(table.value), np.uint64)
 
 
 def _passes(table: np.ndarray, anchors: np.ndarray, bits: int) -> np.ndarray:
@@ -153,7 +158,7 @@ def _passes(table: np.ndarray, anchors: np.ndarray, bits: int) -> np.ndarray:
 def _run_rows(texts: DataFrame, table, length: int, seed: int, bits: int, windows: bool) -> DataFrame:
     """A row for each run whose anchor passes the table, on demand with the hashes of its windows."""
     def run(batches):
-        held = table.value
+        held = _held(table)
         for batch in batches:
             parts = []
             docs, marks = batch.column(0), batch.column(1)
@@ -190,7 +195,7 @@ def _windows_of(raw: bytes) -> np.ndarray:
 def _window_rows(firsts: DataFrame, table, bits: int) -> DataFrame:
     """A row for each window of the given runs that passes the table."""
     def run(batches):
-        held = table.value
+        held = _held(table)
         for batch in batches:
             raw = batch.column(4).to_pylist()
             size = np.fromiter((len(w) // 8 for w in raw), np.int64, len(raw))
@@ -215,6 +220,7 @@ def repeat_windows(docs: DataFrame, mark: Column, *, id: str = "doc_id", text: s
     texts = docs.select(docs[id].cast("long").alias("doc"), mark.alias("mark"), docs[text].alias("text"))
     table = _bit_table(_repeated_slots(texts.select("text"), lambda t: Runs(t, length, seed).anchor, bits), bits)
     runs = written(_run_rows(texts, table, length, seed, bits, False), "runs")
+    table.destroy()
     place = F.struct("doc", "mark", "first")
     classes = written(runs.groupBy("anchor", "whole")
                       .agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")), "run-classes")
@@ -227,17 +233,22 @@ def repeat_windows(docs: DataFrame, mark: Column, *, id: str = "doc_id", text: s
     mixed = (classes.groupBy("anchor").agg(F.min("whole").alias("a"), F.max("whole").alias("b"))
              .where("a <> b").select(F.expr(f"cast(shiftrightunsigned(anchor, {64 - bits}) as int)").alias("slot"))
              .distinct())
-    edges = _run_rows(texts, _bit_table(mixed, bits), length, seed, bits, True)
+    table = _bit_table(mixed, bits)
+    edges = _run_rows(texts, table, length, seed, bits, True)
     firsts = written(edges.groupBy("anchor", "whole")
                      .agg(F.min(F.struct("doc", "mark", "first", "windows")).alias("run"))
                      .select("anchor", "run.*"), "edge-runs")
-    windows = _window_rows(firsts, _bit_table(_repeated_slots(firsts.select("windows"), _windows_of, bits), bits), bits)
+    table.destroy()
+    table = _bit_table(_repeated_slots(firsts.select("windows"), _windows_of, bits), bits)
+    windows = _window_rows(firsts, table, bits)
     at = F.struct("doc", "mark", "start")
     earliest = (windows.groupBy("anchor", "window")
                 .agg(F.min(at).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     single = (windows.join(earliest, ["anchor", "window"]).where(F.col("earliest") < at)
               .select("doc", "mark", F.col("start").alias("first"), F.col("start").alias("last")))
-    return whole.union(single)
+    found = written(whole.union(single), "repeat-windows")
+    table.destroy()
+    return found
 
 
 def _finish(docs: DataFrame, finish, schema: StructType, *, id: str, text: str, bits: int = TABLE_BITS,
@@ -258,18 +269,20 @@ def _finish(docs: DataFrame, finish, schema: StructType, *, id: str, text: str,
     keyed = keyed.withColumn("key", key)
     width = len(names)
 
-    def hit(batch):
+    def hit(held, batch):
         some = np.zeros(batch.num_rows, bool)
-        some[_passes(table.value, batch.column(width + 2).to_numpy().view(np.uint64), bits)] = True
+        some[_passes(held, batch.column(width + 2).to_numpy().view(np.uint64), bits)] = True
         return some
 
     def concerned(batches):
+        held = _held(table)
         for batch in batches:
-            yield batch.filter(pa.array(hit(batch)))
+            yield batch.filter(pa.array(hit(held, batch)))
 
     def others(batches):
+        held = _held(table)
         for batch in batches:
-            batch = batch.filter(pa.array(~hit(batch)))
+            batch = batch.filter(pa.array(~hit(held, batch)))
             yield finish(batch.columns[:width], [None] * batch.num_rows)
 
     def joined(batches):
