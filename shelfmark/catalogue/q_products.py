@@ -31,6 +31,10 @@ def name_safe(t):
     return t.pages.select("page_id", names.safe_name(F.col("url")).alias("safe"))
 
 
+def _cents(column: str):
+    return (F.col(column) * 100).cast("bigint")
+
+
 _MONEY = "regexp_extract(translate(text, 'R$€£¥', ''), '([0-9.]+)[,.]([0-9]{2})', "
 
 
@@ -45,20 +49,51 @@ def money_parse(t):
 
 
 @query("price_current", f"""
-    SELECT url, cur_i AS current_price_integer, cur_d AS current_price_decimal FROM ({r.PRICES_SQL})""")
+    SELECT url, cur_i AS current_price_integer, cur_d AS current_price_decimal,
+           CASE WHEN v <> 5 THEN pc END AS current_price_cents FROM ({r.PRICES_SQL})""")
 def price_current(t):
     out = p.extract_fields(r.render_pages(t), "price")
-    return out.select("url", "current_price_integer", "current_price_decimal")
+    return out.select("url", "current_price_integer", "current_price_decimal",
+                      _cents("current_price").alias("current_price_cents"))
 
 
 @query("price_old", f"""
-    SELECT url, old_i AS old_price_integer, old_d AS old_price_decimal, CASE WHEN v <> 2 THEN old_cents END
-           AS old_price_cents FROM ({r.PRICES_SQL})""")
+    SELECT url, old_i AS old_price_integer, old_d AS old_price_decimal, typed_old AS old_price_cents
+    FROM ({r.PRICES_SQL})""")
 def price_old(t):
-    # the dollar reading of old_price leaves Brazilian text (variant 2) to its own locale
-    out = p.extract_fields(r.render_pages(t), "price", keep=("url", "page_id"))
-    dollars = F.when(F.col("page_id") % 8 != 2, (F.col("old_price") * 100).cast("bigint"))
-    return out.select("url", "old_price_integer", "old_price_decimal", dollars.alias("old_price_cents"))
+    out = p.extract_fields(r.render_pages(t), "price")
+    return out.select("url", "old_price_integer", "old_price_decimal",
+                      _cents("old_price").alias("old_price_cents"))
+
+
+@query("price_typed", """
+    SELECT page_id, cents AS current_cents, CASE k WHEN 0 THEN 2 * cents WHEN 1 THEN cents + 12345
+             WHEN 2 THEN (cents * 200 + 80) // 160 WHEN 3 THEN (cents * 2000 + 875) // 1750 ELSE (cents * 2000 + 925) // 1850 END AS old_cents,
+           CASE k WHEN 0 THEN 50 WHEN 1 THEN round_even(12345.0::DOUBLE / 100 / ((cents + 12345)::DOUBLE / 100) * 100.0::DOUBLE, 0)::INTEGER
+             WHEN 2 THEN 20 WHEN 3 THEN 12 ELSE 8 END AS discount_pct
+    FROM (SELECT l_orderkey * 10 + l_linenumber AS page_id, round(l_extendedprice * 100)::BIGINT AS cents,
+                 (l_orderkey + l_linenumber) % 5 AS k FROM lineitem)""")
+def price_typed(t):
+    k, cents = F.col("k"), F.col("cents")
+
+    def shown(c, group, point):
+        whole = F.translate(F.format_number(F.floor(c / 100), 0), ",", group)
+        return F.concat(whole, F.lit(point), F.format_string("%02d", c % 100))
+    br, us = (lambda c: F.concat(F.lit("R$"), shown(c, ".", ","))), (lambda c: F.concat(F.lit("$"), shown(c, ",", ".")))
+    plain = F.concat(F.lit("R$"), shown(cents, "", ","))
+    now, old, off = '<div id="productMainPriceId">%s</div>', "<del>%s</del>", '<span class="x-discount">-%s%%</span>'
+    html = (F.when(k == 0, F.format_string(now + old, br(cents), br(2 * cents)))
+            .when(k == 1, F.format_string(now + old, us(cents), us(cents + 12345)))
+            .when(k == 2, F.format_string(now + off, br(cents), F.lit("20")))
+            .when(k == 3, F.format_string(now + off, us(cents), F.lit("12.5")))
+            .otherwise(F.format_string(now + off, plain, F.lit("7,5"))))
+    pages = t.spread("lineitem", "l_orderkey", "l_linenumber", "l_extendedprice").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("page_id"),
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
+        ((F.col("l_orderkey") + F.col("l_linenumber")) % 5).alias("k")).select("page_id", html.alias("html"))
+    out = p.extract_fields(pages, "price", keep=("page_id",))
+    return out.select("page_id", _cents("current_price").alias("current_cents"),
+                      _cents("old_price").alias("old_cents"), "discount_pct")
 
 
 @query("discount_pct", f"""
@@ -157,17 +192,20 @@ RECORDS_SQL = f"""
            cur_i AS current_price_integer, cur_d AS current_price_decimal,
            old_i AS old_price_integer, old_d AS old_price_decimal,
            coalesce(dnum || '%', 'N/A') AS discount_percentage, d.description,
-           x.k % 5 = 2 AS is_international, {r.SHIPPING_SQL} AS shipping_status
+           x.k % 5 = 2 AS is_international, {r.SHIPPING_SQL} AS shipping_status,
+           CASE WHEN x.v <> 5 THEN x.pc END AS current_price_cents, typed_old AS old_price_cents, dnum AS discount_pct
     FROM ({r.PRICES_SQL}) x JOIN ({_NAMES}) n ON n.url = x.url
     JOIN (SELECT url, description FROM ({r.DESCRIPTION_SQL})) d ON d.url = x.url"""
 RECORD_COLUMNS = ["url", "name", "product_name_safe", "sku", "reviews", "sizes",
                   "current_price_integer", "current_price_decimal", "old_price_integer",
                   "old_price_decimal", "discount_percentage", "description", "is_international",
-                  "shipping_status"]
+                  "shipping_status", "current_price_cents", "old_price_cents", "discount_pct"]
 
 
 def _records(t):
-    return p.extract_products(r.render_pages(t)).withColumn("sizes", F.array_join("available_sizes", ","))
+    made = p.extract_products(r.render_pages(t)).withColumn("sizes", F.array_join("available_sizes", ","))
+    return (made.withColumn("current_price_cents", _cents("current_price"))
+            .withColumn("old_price_cents", _cents("old_price")))
 
 
 @query("products_extract", RECORDS_SQL)

@@ -129,7 +129,8 @@ PRICES_SQL = f"""
                 WHEN v IN (1, 3)
                 THEN lpad(trunc(((bc / 100.0::DOUBLE) % 1.0::DOUBLE) * 100.0::DOUBLE)::INTEGER::VARCHAR, 2, '0')
                 ELSE 'N/A' END AS old_d,
-           CASE WHEN v IN (0, 2, 6, 7) THEN oc WHEN v IN (1, 3) THEN bc END AS old_cents,
+           CASE WHEN v IN (0, 2, 6, 7) THEN oc WHEN v IN (1, 3)
+                THEN (pc * 200 + 100 - pct) // (200 - 2 * pct) END AS typed_old,
            CASE WHEN v IN (1, 3) THEN pct WHEN v IN (0, 2, 6, 7) THEN dpct END AS dnum
     FROM (SELECT *, round_even((oc / 100.0::DOUBLE - pc / 100.0::DOUBLE) / (oc / 100.0::DOUBLE)
                                * 100.0::DOUBLE, 0)::INTEGER AS dpct,

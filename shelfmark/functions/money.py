@@ -43,16 +43,39 @@ def first_price(texts: Column) -> Column:
     return F.get(F.filter(pairs, lambda p: whole_part(p["found"]).isNotNull()), F.lit(0))
 
 
-def amount(c: Column, locale: str = "us") -> Column:
-    """The exact amount: ``us`` reads 1,234.56 and ``br`` reads 1.234,56."""
+def amount(c: Column, locale: str | None = None) -> Column:
+    """The exact amount of the first number with cents, or else of the first number.
+
+    Each text settles its own separators: the last point or comma before one or
+    two final digits is the decimal mark, all others group. ``locale`` overrides
+    that: ``us`` reads 1,234.56 and ``br`` reads 1.234,56.
+    """
+    bare = _bare(c)
+    digits = F.coalesce(blank_to_null(F.regexp_extract(bare, "[0-9][0-9.,]*[.,][0-9]{2}(?![0-9.,]*[0-9])", 0)),
+                        F.regexp_extract(bare, "[0-9](?:[0-9.,]*[0-9])?", 0))
+    if locale is None:
+        whole = F.regexp_extract(digits, "^(.*?)(?:[.,][0-9]{1,2})?$", 1)
+        plain = F.concat(F.translate(whole, ".,", ""), F.lit("."),
+                         F.regexp_extract(digits, "[.,]([0-9]{1,2})$", 1))
+        return F.when(whole != "", plain).try_cast(DECIMAL)
     if locale not in ("us", "br"):
         raise ValueError(f"unknown locale {locale!r}")
     group, point = (",", ".") if locale == "us" else (".", ",")
-    digits = F.regexp_extract(_bare(c), "[0-9][0-9.,]*", 0)
     plain = F.replace(F.replace(digits, F.lit(group), F.lit("")), F.lit(point), F.lit("."))
     return plain.try_cast(DECIMAL)
 
 
+def exact_percent(c: Column) -> Column:
+    """``-12,5%`` as 12.5; NULL without one."""
+    shown = F.regexp_extract(c, r"([0-9]+(?:[.,][0-9]+)?)%", 1)
+    return F.replace(shown, F.lit(","), F.lit(".")).try_cast("decimal(9,4)")
+
+
+def amount_before(current: Column, percent: Column) -> Column:
+    """The exact amount that a discount of ``percent`` brought down to ``current``."""
+    return F.when(percent < 100, F.round(current * 100 / (100 - percent), 2)).cast(DECIMAL)
+
+
 def joined_amount(integer: Column, decimal: Column) -> Column:
     """Two text parts as a double; NULL for sentinels."""
     return F.concat_ws(".", integer, decimal).try_cast("double")

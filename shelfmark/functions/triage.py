@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark import fixed_values as fixed
 from shelfmark.functions.text import contains_any, count_found
@@ -39,3 +39,9 @@ def page_kind(url: Column, low: Column, *,
             .when(blocked_text, F.lit("blocked"))
             .when(looks_like_product(low, markers, minimum), F.lit("product"))
             .otherwise(F.lit("other")))
+
+
+def product_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """The pages whose kind is ``product``, with the same columns."""
+    low = pages.withColumn("_low", F.lower(html))
+    return low.where(page_kind(F.col(url), F.col("_low")) == "product").drop("_low")

@@ -24,6 +24,12 @@ def valid_products(df: DataFrame) -> DataFrame:
     return df.where(reject_reason().isNull())
 
 
+def failed_pages(made: DataFrame, seq: str) -> DataFrame:
+    """(url, seq, error) of the pages that could not be parsed."""
+    return made.where(F.col("_error").isNotNull()).select("url", F.col(seq).alias("seq"),
+                                                          F.col("_error").alias("error"))
+
+
 def reason_counts(df: DataFrame) -> DataFrame:
     reason = F.coalesce(reject_reason(), F.lit("ok")).alias("reason")
     return df.groupBy(reason).agg(F.count("*").alias("products"))

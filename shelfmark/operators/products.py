@@ -22,9 +22,13 @@ def with_name(df: DataFrame) -> DataFrame:
     return df.withColumn("product_name_safe", names.safe_name(F.col("name")))
 
 
-def with_prices(df: DataFrame, locale: str = "us") -> DataFrame:
+def with_prices(df: DataFrame, locale: str | None = None) -> DataFrame:
     """Current price, discount and old price, each with its own fallbacks.
 
+    The text columns keep the contract to the letter; ``current_price``,
+    ``old_price`` and ``discount_pct`` come from whole texts and exact percents
+    alone. ``locale`` fixes their separators, else each text settles its own.
+
     Order matters: the discount may be computed from both prices, but an old
     price that is itself computed from the discount never feeds back into it.
     """
@@ -48,23 +52,26 @@ def with_prices(df: DataFrame, locale: str = "us") -> DataFrame:
     df = df.withColumn("_prior", F.when(F.col("_old").isNull(),
                                         money.price_before(F.col("_now"), percent)))
     df = df.withColumn("_before", money.cents(F.col("_prior")))
-    shown_exact = F.coalesce(
-        _first(F.transform("disc_c", lambda t: F.regexp_extract(t, r"(\d+(?:[.,]\d+)?)%", 1))))
+    shown = _first_known(F.transform("disc_c", money.exact_percent))
+    df = (df
+          .withColumn("old_price_integer", F.coalesce(
+              old_int, money.cents_integer(F.col("_before")),
+              F.lit(fixed.MISSING)))
+          .withColumn("old_price_decimal", F.coalesce(
+              old_dec, money.cents_decimal(F.col("_before")),
+              F.lit(fixed.MISSING)))
+          .withColumn("current_price", money.amount(F.col("_cur.text"), locale))
+          .withColumn("_typed", money.amount(F.col("_old.text"), locale)))
+    off = F.when(F.col("_typed") > 0, money.percent_off(F.col("_typed").cast("double"),
+                                                        F.col("current_price").cast("double")))
     return (df
-            .withColumn("old_price_integer", F.coalesce(
-                old_int, money.cents_integer(F.col("_before")),
-                F.lit(fixed.MISSING)))
-            .withColumn("old_price_decimal", F.coalesce(
-                old_dec, money.cents_decimal(F.col("_before")),
-                F.lit(fixed.MISSING)))
-            .withColumn("current_price", money.amount(F.col("_cur.text"), locale))
-            .withColumn("old_price", F.coalesce(
-                money.amount(F.col("_old.text"), locale),
-                (F.col("_before").cast("decimal(20,0)") / 100).cast(money.DECIMAL)))
-            .withColumn("discount_pct", F.coalesce(
-                F.rint(F.replace(shown_exact, F.lit(","), F.lit(".")).try_cast("double")).cast("int"),
-                F.col("_computed")))
-            .drop("_cur", "_old", "_shown", "_computed", "_now", "_was", "_prior", "_before"))
+            .withColumn("old_price", F.coalesce("_typed", money.amount_before(F.col("current_price"), shown)))
+            .withColumn("discount_pct", F.coalesce(F.rint(shown.cast("double")).cast("int"), off))
+            .drop("_cur", "_old", "_shown", "_computed", "_now", "_was", "_prior", "_before", "_typed"))
+
+
+def _first_known(values: Column) -> Column:
+    return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
 
 
 def goods_text(raw: Column) -> Column:
@@ -162,7 +169,7 @@ def extract_fields(pages: DataFrame, *fields: str, keep: tuple[str, ...] = ("url
 
 
 def extract_products(pages: DataFrame, *, keep: tuple[str, ...] = (),
-                     config: ExtractConfig | None = None, locale: str = "us",
+                     config: ExtractConfig | None = None, locale: str | None = None,
                      strict_tokens: bool = False, exclude_shipping: bool = False) -> DataFrame:
     """Product records in contract order, typed companions, ``_error``.
 

@@ -29,20 +29,22 @@ def discover_urls(pages: DataFrame, origin: str, *, seed: DataFrame | None = Non
 
 def scrape(work: DataFrame, pages: DataFrame, stored: DataFrame, *, seq: str = "page_id",
            target: int = 0, triage_pages: bool = True,
-           config: ExtractConfig | None = None) -> DataFrame:
+           config: ExtractConfig | None = None, locale: str | None = None,
+           failed_path: str | None = None) -> DataFrame:
     """Products to append for a work list (url, line).
 
     Everything that makes less work comes first: done URLs are removed, the
     target is cut, pages are picked and triaged, and only then is HTML parsed.
     Page text is read once; duplicates are settled on the narrow records, so
-    the first page of a URL that yields a valid product wins.
+    the first page of a URL that yields a valid product wins. Pages that could
+    not be parsed are appended to ``failed_path`` as (url, seq, error).
     """
     todo = store.limit_work(store.remaining(work, stored), target)
     mine = store.keep_listed(pages, todo)
     if triage_pages:
-        low = mine.withColumn("_low", F.lower("html"))
-        kind = triage.page_kind(F.col("url"), F.col("_low"))
-        mine = low.where(kind == "product").drop("_low")
-    made = extract_products(mine, keep=(seq,), config=config)
+        mine = triage.product_pages(mine)
+    made = extract_products(mine, keep=(seq,), config=config, locale=locale)
+    if failed_path is not None:
+        gate.failed_pages(made, seq).write.mode("append").parquet(failed_path)
     good = gate.valid_products(made.where(F.col("_error").isNull())).drop("_error")
     return store.absent(good, stored, seq).drop(seq)

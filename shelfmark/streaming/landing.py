@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shelfmark import fixed_values as fixed
+from shelfmark.functions import triage
 from shelfmark.operators import gate, store
 from shelfmark.operators.markup import ExtractConfig
 from shelfmark.operators.products import extract_products
@@ -30,6 +31,8 @@ def read_landing(spark: SparkSession, path: str, schema: T.StructType = PAGES,
 
 def start_extract(pages: DataFrame, store_path: str, checkpoint: str, *,
                   seq: str = "page_id", config: ExtractConfig | None = None,
+                  locale: str | None = None, triage_pages: bool = True,
+                  failed_path: str | None = None,
                   on_saved: Callable[[DataFrame, int], None] | None = None,
                   **trigger) -> StreamingQuery:
     """Landed pages -> valid products -> store, once per URL, resumable.
@@ -37,16 +40,29 @@ def start_extract(pages: DataFrame, store_path: str, checkpoint: str, *,
     Pages whose URL is stored already are dropped before they are parsed. A
     batch that is run again after a failure finds its rows in the store and
     adds none. ``on_saved`` sees the rows of each batch before they are written.
+    Pages are triaged as in the batch job; pages that could not be parsed are
+    appended to ``failed_path`` as (url, seq, error).
     """
     def save(batch: DataFrame, batch_id: int) -> None:
         stored = read_store(batch.sparkSession, store_path)
         todo = store.drop_stored(batch, stored)
-        made = extract_products(todo, keep=(seq,), config=config)
-        good = gate.valid_products(made.where(F.col("_error").isNull())).drop("_error")
-        fresh = store.first_per_url(good, seq).drop(seq)
-        if on_saved is not None:
-            on_saved(fresh, batch_id)
-        fresh.write.mode("append").parquet(store_path)
+        if triage_pages:
+            todo = triage.product_pages(todo)
+        made = extract_products(todo, keep=(seq,), config=config, locale=locale)
+        several = on_saved is not None or failed_path is not None
+        if several:  # the batch is parsed once, whoever looks at it
+            made = made.persist()
+        try:
+            if failed_path is not None:
+                gate.failed_pages(made, seq).write.mode("append").parquet(failed_path)
+            good = gate.valid_products(made.where(F.col("_error").isNull())).drop("_error")
+            fresh = store.first_per_url(good, seq).drop(seq)
+            if on_saved is not None:
+                on_saved(fresh, batch_id)
+            fresh.write.mode("append").parquet(store_path)
+        finally:
+            if several:
+                made.unpersist()
 
     return (pages.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

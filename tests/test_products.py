@@ -87,9 +87,7 @@ PAGES = {
 @pytest.fixture(scope="module")
 def extracted(spark):
     df = spark.createDataFrame([(k, v[0]) for k, v in PAGES.items()], "url string, html string")
-    plain = products.extract_products(df)
-    brazil = products.extract_products(df.where("url = 'markup prices'"), locale="br")
-    rows = plain.where("url <> 'markup prices'").union(brazil).collect()
+    rows = products.extract_products(df).collect()
     return {r["url"]: r.asDict() for r in rows}
 
 
@@ -193,3 +191,26 @@ def test_links_of_odd_markup():
     row = candidates(html, ("links",), ExtractConfig())
     assert row["links"] == ["/x-p-1.html", "/x-p-2.html", "/x&y-p-3?a=1&b=2"]
     assert candidates(html, ("links", "name"), ExtractConfig())["links"] == row["links"]
+
+
+TYPED = {
+    ("R$2.299,08", "R$2.999,00", ""): ("2299.08", "2999.00", 23),
+    ("R$49,90", "R$59,90", ""): ("49.90", "59.90", 17),
+    ("R$1.299,00", "", "20%"): ("1299.00", "1623.75", 20),
+    ("$1,234.56", "", "-20%"): ("1234.56", "1543.20", 20),
+    ("$70.00", "", "-12.5%"): ("70.00", "80.00", 12),
+    ("$999.00", "$1,234.56", ""): ("999.00", "1234.56", 19),
+    ("$1,234,567.89", "", ""): ("1234567.89", None, None),
+}
+
+
+def test_typed_prices_settle_their_own_separators(spark):
+    from decimal import Decimal
+    page = '<div id="productMainPriceId">%s</div><del>%s</del><span class="x-discount">%s</span>'
+    df = spark.createDataFrame([(str(n), page % k) for n, k in enumerate(TYPED)], "url string, html string")
+    got = {r["url"]: r for r in products.extract_products(df).collect()}
+    for n, (current, old, off) in enumerate(TYPED.values()):
+        row = got[str(n)]
+        assert row["current_price"] == Decimal(current)
+        assert row["old_price"] == (Decimal(old) if old else None)
+        assert row["discount_pct"] == off
