@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfmark import fixed_values as fixed
 from shelfmark.functions.text import blank_to_null
-from shelfmark.operators.series import HOT_ROWS, neighbours, range_chunk, running
+from shelfmark.operators.series import neighbours, range_chunk, running
 
 _ANSI = r"\x1B\[[0-9;]*[a-zA-Z]"
 _LINE = r"^(\d{2}:\d{2}:\d{2}) \[([^\]]+)\](?: \[([A-Z_]+)\])? (.*)$"
@@ -56,19 +56,25 @@ def seconds_of_day(log_time: Column) -> Column:
             + F.get(parts, F.lit(2)).cast("bigint"))
 
 
-def with_dates(df: DataFrame, first_day: str, position: str = "pos") -> DataFrame:
-    """Adds ``ts`` to parsed lines: the time of day starts over at each new day."""
+def with_dates(df: DataFrame, first_day: str | Column, position: str | list[str] = "pos",
+               by: list[str] | None = None) -> DataFrame:
+    """Adds ``ts`` to parsed lines: the time of day starts over at each new day.
+
+    Lines are taken in the order of ``position`` within each value of ``by``, for
+    files as ``read_log`` gives them ``["block", "row"]`` and ``["file"]``.
+    ``first_day`` is a date, or a column of dates if the files start on different days.
+    """
+    order, keys = [position] if isinstance(position, str) else position, by or []
+    chunk = F.struct(*order[:-1], range_chunk(order[-1]).alias("range"))
     df = (df.where(F.col("log_time").isNotNull())
-          .withColumn("_second", seconds_of_day(F.col("log_time")))
-          .withColumn("_chunk", range_chunk(position)).withColumn("_all", F.lit(0)))
-    df = neighbours(df, ["_all"], "_chunk", [position], previous={"_before": "_second"}, hot_rows=None)
-    df = running(df, ["_all"], "_chunk", [position],
-                 sums={"_day": F.coalesce(F.col("_second") < F.col("_before"), F.lit(False)).cast("int")},
-                 hot_rows=None)
-    start = F.lit(first_day).cast("date")
+          .withColumn("_second", seconds_of_day(F.col("log_time"))).withColumn("_chunk", chunk))
+    df = neighbours(df, keys, "_chunk", order, previous={"_earlier": "_second"})
+    df = running(df, keys, "_chunk", order,
+                 sums={"_day": F.coalesce(F.col("_second") < F.col("_earlier"), F.lit(False)).cast("int")})
+    start = (F.lit(first_day) if isinstance(first_day, str) else first_day).cast("date")
     day = F.date_add(start, F.col("_day").cast("int")).cast("timestamp_ntz")
     return (df.withColumn("ts", day + F.make_dt_interval(secs=F.col("_second").cast("decimal(18,6)")))
-            .drop("_second", "_before", "_day", "_chunk", "_all"))
+            .drop("_second", "_earlier", "_day", "_chunk"))
 
 
 def micros(ts: Column) -> Column:
@@ -79,30 +85,29 @@ def micros(ts: Column) -> Column:
     return ((days * DAY_SECONDS + whole) * 1000000 + (seconds * 1000000).cast("bigint")).cast("bigint")
 
 
-def transitions(states: DataFrame, unit: str = "hour", hot_rows: int = HOT_ROWS) -> DataFrame:
+def transitions(states: DataFrame, unit: str = "hour") -> DataFrame:
     """old_status -> status per worker; the first state comes from ``?``.
 
-    ``states`` has worker, ts, id, status. A worker with more than ``hot_rows``
-    states is cut into chunks of one time ``unit``.
+    ``states`` has worker, ts, id, status. Workers are cut into chunks of one
+    time ``unit``.
     """
     cut = states.withColumn("_chunk", F.date_trunc(unit, F.col("ts")))
-    out = neighbours(cut, ["worker"], "_chunk", ["ts", "id"], previous={"old_status": "status"},
-                     hot_rows=hot_rows)
+    out = neighbours(cut, ["worker"], "_chunk", ["ts", "id"], previous={"old_status": "status"})
     return (out.withColumn("old_status", F.coalesce("old_status", F.lit("?")))
             .withColumnRenamed("status", "new_status").drop("_chunk"))
 
 
-def with_next(states: DataFrame, unit: str = "hour", hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_next(states: DataFrame, unit: str = "hour") -> DataFrame:
     """Adds next_us, the start of the worker's following state."""
     cut = (states.withColumn("_chunk", F.date_trunc(unit, F.col("ts")))
            .withColumn("us", micros(F.col("ts"))))
     return neighbours(cut, ["worker"], "_chunk", ["ts", "id"],
-                      following={"next_us": "us"}, hot_rows=hot_rows).drop("_chunk")
+                      following={"next_us": "us"}).drop("_chunk")
 
 
-def dwell(states: DataFrame, unit: str = "hour", hot_rows: int = HOT_ROWS) -> DataFrame:
+def dwell(states: DataFrame, unit: str = "hour") -> DataFrame:
     """Time spent per status; a worker's last, open state has no length yet."""
-    timed = with_next(states, unit, hot_rows)
+    timed = with_next(states, unit)
     return timed.groupBy("status").agg(
         F.count("*").alias("visits"),
         F.coalesce(F.sum(F.col("next_us") - F.col("us")), F.lit(0)).cast("bigint").alias("micros"))
@@ -115,18 +120,20 @@ def cooldown_remaining(blocked_us: Column, now_us: Column,
     return F.greatest(F.lit(0), left.cast("bigint"))
 
 
-def snapshot(states: DataFrame, blocked: str = "BLOCKED",
-             seconds: int = fixed.COOLDOWN_SECONDS) -> DataFrame:
+def snapshot(states: DataFrame, blocked: str = "BLOCKED", seconds: int = fixed.COOLDOWN_SECONDS,
+             now: Column | None = None) -> DataFrame:
     """The latest state of each worker and what is left of its cooldown.
 
-    ``now`` is the newest time in the table.
+    Only states up to ``now`` count; without it that is the newest time in the table.
     """
     timed = states.withColumn("us", micros(F.col("ts")))
-    now = timed.agg(F.max("us").alias("now_us"))
+    if now is not None:
+        timed = timed.where(F.col("us") <= micros(now))
     last = timed.groupBy("worker").agg(
         F.max_by("status", F.struct("ts", "id")).alias("status"), F.max("us").alias("us"))
+    latest = micros(now) if now is not None else timed.agg(F.max("us").alias("now_us")).scalar()
     left = F.when(F.col("status") == blocked,
-                  cooldown_remaining(F.col("us"), now.scalar(), seconds)).otherwise(F.lit(0))
+                  cooldown_remaining(F.col("us"), latest, seconds)).otherwise(F.lit(0))
     return last.select("worker", "status", left.cast("bigint").alias("cooldown_s"))
 
 
@@ -157,8 +164,8 @@ def retry_outcomes(attempts: DataFrame, retries: int = fixed.MAX_RETRIES) -> Dat
     order = Window.partitionBy("url").orderBy("ts", "attempt_id")
     early = (failed.select("url", "ts", "attempt_id")
              .withColumn("retry_no", F.row_number().over(order))
-             .where(F.col("retry_no") <= retries).select("attempt_id", "retry_no"))
-    return (failed.join(early, "attempt_id", "left")
+             .where(F.col("retry_no") <= retries).select("url", "attempt_id", "retry_no"))
+    return (failed.join(early, ["url", "attempt_id"], "left")
             .withColumn("outcome", F.when(F.col("retry_no").isNotNull(), F.lit("requeue"))
                         .otherwise(F.lit("discard"))))
 

@@ -1,81 +1,61 @@
 """Running values and neighbours over long ordered series.
 
 A window over one key puts all rows of that key into one task, which fails
-when a worker or category holds a third of the table. Here such a hot series
-is cut into chunks (a time bucket, a page range): the window runs per key
-*and* chunk, each chunk is also summed up into one row with map-side combine,
-and a second window over those few summary rows carries values across the
-borders. The result equals the plain window, row by row. Keys that are not
-hot keep one chunk and have no summary rows.
+when a worker or category holds a third of the table. Here every series is cut
+into chunks (a time bucket, a page range): the window runs per key *and*
+chunk, each chunk is also summed up into one row with map-side combine, and a
+second window over those few summary rows carries values across the borders.
+The result equals the plain window, row by row, whatever the size of a key;
+NULL keys are a series of their own and a NULL chunk comes first.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shelfmark.operators.sizing import join_counted
-from shelfmark.session import checkpointed
 
-HOT_ROWS = 1_000_000
+def _keyed(df: DataFrame, keys: list[str], chunk: str) -> DataFrame:
+    """Adds ``_series`` and ``_part``: structs, so that NULLs compare as values."""
+    series = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    return df.withColumn("_series", series).withColumn("_part", F.struct(F.col(chunk).alias("c")))
 
 
-def _cut_hot(df: DataFrame, keys: list[str], chunk: str,
-             hot_rows: int | None) -> tuple[DataFrame, DataFrame | None]:
-    """The rows with ``chunk`` set to NULL unless their key is hot, and the hot rows.
+def _inside(order: list[str]):
+    return Window.partitionBy("_series", "_part").orderBy(*order)
 
-    Keys are counted with a map-side combine; at most (all rows / hot_rows) of
-    them are hot. Without ``hot_rows`` or keys the whole table is one series.
-    """
-    if hot_rows is None or not keys:
-        return df, df
-    counted = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot = checkpointed(counted.where(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot")))
-    length = hot.count()
-    if not length:
-        return df.withColumn(chunk, F.lit(None).cast(df.schema[chunk].dataType)), None
-    cut = join_counted(df, hot, keys, "left", length=length)
-    cut = cut.withColumn(chunk, F.when(F.col("_hot"), F.col(chunk))).drop("_hot")
-    return cut, cut.where(F.col(chunk).isNotNull())
-
-
-def _carry(local: DataFrame, carried: DataFrame, keys: list[str], chunk: str) -> DataFrame:
+
+def _across():
+    return Window.partitionBy("_series").orderBy("_part")
+
+
+def _carry(local: DataFrame, carried: DataFrame) -> DataFrame:
     # same keys as the window before it, so the large side is not shuffled again
-    return local.join(carried, [*keys, chunk], "left")
+    return local.join(carried, ["_series", "_part"], "left")
 
 
 def running(df: DataFrame, keys: list[str], chunk: str, order: list[str], *,
             sums: dict[str, Column] | None = None,
-            maxes: dict[str, Column] | None = None, before: bool = False,
-            hot_rows: int | None = HOT_ROWS) -> DataFrame:
+            maxes: dict[str, Column] | None = None, before: bool = False) -> DataFrame:
     """Adds running sums and maxima per ``keys`` in ``order``.
 
-    ``chunk`` names a column that never decreases along ``order``; keys and
-    chunk must not be NULL. ``before`` leaves the current row out of the frame.
-    Sums start at 0, maxima at NULL. ``hot_rows=None`` cuts every series.
+    ``chunk`` names a column that never decreases along ``order``, where NULL
+    is the least value. ``before`` leaves the current row out of the frame.
+    Sums start at 0, maxima at NULL.
     """
     sums, maxes = sums or {}, maxes or {}
     steps = {**sums, **maxes}
     folds = {name: (F.sum if name in sums else F.max) for name in steps}
 
-    named = df
+    out = _keyed(df, keys, chunk)
     for name, value in steps.items():
-        named = named.withColumn(f"_v_{name}", value)
-    local, hot = _cut_hot(named, keys, chunk, hot_rows)
-    inside = (Window.partitionBy(*keys, chunk).orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, -1 if before else 0))
-    out = local
+        out = out.withColumn(f"_v_{name}", value)
+    totals = out.groupBy("_series", "_part").agg(*[folds[n](f"_v_{n}").alias(f"_t_{n}") for n in steps])
+    inside = _inside(order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     for n in steps:
         out = out.withColumn(f"_l_{n}", folds[n](f"_v_{n}").over(inside))
-    if hot is None:
-        for n in steps:
-            out = out.withColumn(f"_c_{n}", F.lit(None))
-    else:
-        totals = hot.groupBy(*keys, chunk).agg(
-            *[folds[n](f"_v_{n}").alias(f"_t_{n}") for n in steps])
-        earlier = (Window.partitionBy(*keys).orderBy(chunk)
-                   .rowsBetween(Window.unboundedPreceding, -1))
-        out = _carry(out, totals.select(*keys, chunk, *[
-            folds[n](f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in steps]), keys, chunk)
+    earlier = _across().rowsBetween(Window.unboundedPreceding, -1)
+    out = _carry(out, totals.select("_series", "_part", *[
+        folds[n](f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in steps]))
     for n in sums:
         zero = F.lit(0)
         out = out.withColumn(n, F.coalesce(f"_c_{n}", zero) + F.coalesce(f"_l_{n}", zero))
@@ -86,34 +66,31 @@ def running(df: DataFrame, keys: list[str], chunk: str, order: list[str], *,
 
 def neighbours(df: DataFrame, keys: list[str], chunk: str, order: list[str], *,
                previous: dict[str, str] | None = None,
-               following: dict[str, str] | None = None,
-               hot_rows: int | None = HOT_ROWS) -> DataFrame:
+               following: dict[str, str] | None = None) -> DataFrame:
     """Adds values of the row before / after per ``keys`` in ``order``.
 
     ``previous`` and ``following`` map new column names to source columns.
     """
     previous, following = previous or {}, following or {}
     names = (*previous, *following)
-    local, hot = _cut_hot(df, keys, chunk, hot_rows)
-    inside = Window.partitionBy(*keys, chunk).orderBy(*order)
+    local = _keyed(df, keys, chunk)
+    inside = _inside(order)
+    at = F.struct(*order)
+
+    def value(c: str) -> Column:  # a struct, so that a NULL value is a neighbour too
+        return F.struct(F.col(c).alias("v"))
+    ends = local.groupBy("_series", "_part").agg(
+        *[F.max_by(value(c), at).alias(f"_e_{n}") for n, c in previous.items()],
+        *[F.min_by(value(c), at).alias(f"_e_{n}") for n, c in following.items()])
     out = local
     for n, c in previous.items():
-        out = out.withColumn(f"_l_{n}", F.lag(F.struct(F.col(c).alias("v"))).over(inside))
+        out = out.withColumn(f"_l_{n}", F.lag(value(c)).over(inside))
     for n, c in following.items():
-        out = out.withColumn(f"_l_{n}", F.lead(F.struct(F.col(c).alias("v"))).over(inside))
-    if hot is None:
-        for n in names:
-            out = out.withColumn(n, F.col(f"_l_{n}.v"))
-        return out.select(*df.columns, *names)
-    at = F.struct(*order)
-    ends = hot.groupBy(*keys, chunk).agg(
-        *[F.max_by(F.struct(F.col(c).alias("v")), at).alias(f"_e_{n}") for n, c in previous.items()],
-        *[F.min_by(F.struct(F.col(c).alias("v")), at).alias(f"_e_{n}") for n, c in following.items()])
-    across = Window.partitionBy(*keys).orderBy(chunk)
+        out = out.withColumn(f"_l_{n}", F.lead(value(c)).over(inside))
     out = _carry(out, ends.select(
-        *keys, chunk,
-        *[F.lag(f"_e_{n}").over(across).alias(f"_c_{n}") for n in previous],
-        *[F.lead(f"_e_{n}").over(across).alias(f"_c_{n}") for n in following]), keys, chunk)
+        "_series", "_part",
+        *[F.lag(f"_e_{n}").over(_across()).alias(f"_c_{n}") for n in previous],
+        *[F.lead(f"_e_{n}").over(_across()).alias(f"_c_{n}") for n in following]))
     for n in names:
         out = out.withColumn(n, F.coalesce(f"_l_{n}", f"_c_{n}")["v"])
     return out.select(*df.columns, *names)
@@ -126,16 +103,15 @@ def since_last(df: DataFrame, keys: list[str], chunk: str, order: list[str], *,
     Before the first reset it counts from the start of the series. The chunk
     summaries come from the windowed rows, so both branches share one shuffle.
     """
-    inside = Window.partitionBy(*keys, chunk).orderBy(*order)
-    local = df.withColumn("_rn", F.row_number().over(inside))
+    inside = _inside(order)
+    local = _keyed(df, keys, chunk).withColumn("_rn", F.row_number().over(inside))
     local = local.withColumn("_reset", F.max(F.when(reset, F.col("_rn"))).over(
         inside.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = local.groupBy(*keys, chunk).agg(F.max("_rn").alias("_rows"), F.max("_reset").alias("_last"))
-    earlier = (Window.partitionBy(*keys).orderBy(chunk)
-               .rowsBetween(Window.unboundedPreceding, -1))
+    ends = local.groupBy("_series", "_part").agg(F.max("_rn").alias("_rows"), F.max("_reset").alias("_last"))
+    earlier = _across().rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
     carried = carried.withColumn("_last_before", F.max(F.col("_before") + F.col("_last")).over(earlier))
-    out = _carry(local, carried.select(*keys, chunk, "_before", "_last_before"), keys, chunk)
+    out = _carry(local, carried.select("_series", "_part", "_before", "_last_before"))
     last = F.coalesce(F.col("_before") + F.col("_reset"), F.col("_last_before"), F.lit(0))
     return out.withColumn(name, F.col("_before") + F.col("_rn") - last).select(*df.columns, name)
 
