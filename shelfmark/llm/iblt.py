@@ -77,11 +77,10 @@ def _placed(key: Column, n: Column, cells: int) -> Column:
     return F.struct(n.alias("n"), key.alias("k"), _check(key).alias("c"), *_places(key, cells))
 
 
-def _added(cell: Column, at: Column, entries: Column, sign: int) -> Column:
-    """A cell after adding (or taking out) the entries that have a place in it."""
+def _added(cell: Column, at: Column, entries: Column, third: int, sign: int) -> Column:
+    """A cell after adding (or taking out) the entries that have their place of this third in it."""
     def step(s, e):
-        here = (e["p0"] == at) | (e["p1"] == at) | (e["p2"] == at)
-        return F.when(here, F.struct((s["n"] + sign * e["n"]).alias("n"), s["k"].bitwiseXOR(e["k"]).alias("k"),
+        return F.when(e[f"p{third}"] == at, F.struct((s["n"] + sign * e["n"]).alias("n"), s["k"].bitwiseXOR(e["k"]).alias("k"),
                                      s["c"].bitwiseXOR(e["c"]).alias("c"))).otherwise(s)
     return F.aggregate(entries, cell, step)
 
@@ -90,8 +89,12 @@ def sketch(keys: Column, cells: int) -> Column:
     """``cells`` structs (n, k, c)."""
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
     entries = F.transform(keys, lambda k: _placed(k, F.lit(1), cells))
-    return _let(entries, lambda some: F.transform(F.sequence(F.lit(0), F.lit(cells - 1)),
-                                                  lambda at: _added(zero, at, some, 1)))
+    size = cells // 3
+
+    def third(some: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(n * size), F.lit((n + 1) * size - 1)), lambda at: _added(zero, at, some, n, 1))
+
+    return _let(entries, lambda some: F.concat(*(third(some, n) for n in range(3))))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -110,9 +113,13 @@ def peel(cells: Column, size: int) -> Column:
         single = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (_check(c["k"]) == c["c"]))
         found = F.array_distinct(F.transform(single, lambda c: _placed(c["k"], c["n"], size)))
         return _let(found, lambda some: F.when(F.size(some) == 0, state).otherwise(F.struct(
-            F.transform(state["cells"], lambda c, at: _added(c, at, some, -1)).alias("cells"),
+            F.concat(*(third(state["cells"], some, n) for n in range(3))).alias("cells"),
             F.concat(state["found"], some).alias("found"))))
 
+    def third(cells: Column, some: Column, n: int) -> Column:
+        part = size // 3
+        return F.transform(F.slice(cells, n * part + 1, part), lambda c, at: _added(c, at + n * part, some, n, -1))
+
     start = F.struct(cells.alias("cells"), F.array().cast(kinds).alias("found"))
     return F.aggregate(
         F.sequence(F.lit(1), F.lit(PEEL_ROUNDS)), start, round_,
