@@ -6,6 +6,7 @@ import pytest
 
 import oracle
 import __spark_entry__ as entry
+from shelfmark import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
 # At this scale no order, worker or seed makes these results non-empty.
@@ -17,7 +18,7 @@ def con():
     return oracle.connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query_matches_sql(spark, con, name):
     sql = entry.oracle_sql().get(name)
     assert sql is not None
