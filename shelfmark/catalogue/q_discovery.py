@@ -12,7 +12,9 @@ from shelfmark.functions.text import words_found
 from shelfmark.operators import discovery as d
 from shelfmark.sources.categories import category_dim
 
-MAX_URLS = 250
+# Caps that fall inside the data from scale 0.01 on; the second counts the seed.
+MAX_NEW = 60
+MAX_URLS = 175
 
 
 def _pages(t):
@@ -52,7 +54,7 @@ _CAPPED = f"""
     FROM (SELECT *, (coalesce(sum(new_urls) OVER (ORDER BY cat_idx, page_num
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS collected_before
           FROM ({_COUNTED}))
-    WHERE collected_before < {MAX_URLS}"""
+    WHERE collected_before < {MAX_NEW}"""
 
 
 def _counted(t):
@@ -81,7 +83,7 @@ def links_stop_page(t):
 
 @query("links_capped", _CAPPED)
 def links_capped(t):
-    return d.cap_pages(_counted(t), MAX_URLS)
+    return d.cap_pages(_counted(t), MAX_NEW)
 
 
 # The whole rule as one walk over the pages in order, a list of URLs in hand.

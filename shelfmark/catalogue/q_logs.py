@@ -34,6 +34,22 @@ def log_dates(t):
     return dated.select("pos", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
+@query("log_to_dwell", f"""
+    SELECT status, count(*) AS visits, coalesce(sum(nxt - us), 0)::BIGINT AS micros
+    FROM (SELECT status, epoch_us(date_trunc('second', ts)) AS us, lead(epoch_us(date_trunc('second', ts)))
+                 OVER (PARTITION BY worker ORDER BY date_trunc('second', ts), id) AS nxt
+          FROM ({i.STATES_SQL})) GROUP BY status""")
+def log_to_dwell(t):
+    """Written log files, a folder per day, to the time spent in each state."""
+    path = work_path(t.spark, "logs")
+    lines = i.log_lines(t).join(t.events.select(F.col("event_id").alias("pos"), F.to_date("ts").alias("day")), "pos")
+    (lines.repartition("day").sortWithinPartitions("day", "pos").select("day", "line")
+     .write.partitionBy("day").text(path))
+    dated = oplog.with_dates(logs.read_log(t.spark, path), F.col("day"), ["block", "row"], ["file"])
+    number = F.regexp_extract("url", "p-([0-9]+)", 1).cast("bigint")
+    return oplog.dwell(dated.select(number.alias("id"), "ts", "worker", "status"))
+
+
 @query("status_transitions", f"""
     SELECT id, worker, coalesce(lag(status) OVER (PARTITION BY worker ORDER BY ts, id), '?') AS old_status,
            status AS new_status FROM ({i.STATES_SQL})""")

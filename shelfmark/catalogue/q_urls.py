@@ -146,8 +146,8 @@ def url_shortlink(t):
 def url_html_join(t):
     lines = urllists.split_lines(urllists.preprocess(i.url_lines(t)))
     pages = t.pages.select(F.format_string("local/%d.html", "page_id").alias("path"), "html")
-    return urllists.with_local_html(lines, pages).select(
-        "pos", "url", "local_path", F.length("html").cast("bigint").alias("html_chars"))
+    return urllists.with_local_html(lines, pages, {"html_chars": F.length("html").cast("bigint")}).select(
+        "pos", "url", "local_path", "html_chars")
 
 
 @query("pages_scan", "SELECT page_id, url, length(html) AS html_chars FROM pages")

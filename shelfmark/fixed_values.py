@@ -19,7 +19,6 @@ NOT_DONE_NAMES = ["", "none", "null", "n/a", "na"]
 NAME_LENGTH = 80
 REVIEW_LENGTH = 50
 SUMMARY_LENGTH = 100
-JSON_DEPTH = 15
 EMPTY_PAGE_STREAK = 3
 COOLDOWN_SECONDS = 180
 MAX_RETRIES = 2

@@ -22,9 +22,9 @@ def mark_blocked(pages: DataFrame, patterns: list[str] = fixed.LISTING_BLOCK_PAT
     return pages.withColumn("blocked", triage.url_blocked(F.col("page_url"), patterns))
 
 
-def extract_links(pages: DataFrame, origin: str, *, keep: tuple[str, ...] = tuple(PAGE),
-                  pattern: str = fixed.PRODUCT_LINK, resolve: bool = False) -> DataFrame:
-    """``keep`` + url: canonical absolute product links, distinct per page."""
+def parse_links(pages: DataFrame, origin: str, *, keep: tuple[str, ...] = tuple(PAGE),
+                pattern: str = fixed.PRODUCT_LINK, resolve: bool = False) -> DataFrame:
+    """``keep``, links and error: one row per page, links NULL where it could not be parsed."""
     found = parse_pages(pages, ("links",), keep=keep,
                         config=ExtractConfig(link_pattern=pattern))
 
@@ -33,7 +33,21 @@ def extract_links(pages: DataFrame, origin: str, *, keep: tuple[str, ...] = tupl
 
     # one page is one row here, so array_distinct replaces a shuffle
     links = F.array_distinct(F.transform("links", clean))
-    return found.select(*keep, F.explode(links).alias("url"))
+    return found.select(*keep, links.alias("links"), F.col("_error").alias("error"))
+
+
+def extract_links(pages: DataFrame, origin: str, *, keep: tuple[str, ...] = tuple(PAGE),
+                  pattern: str = fixed.PRODUCT_LINK, resolve: bool = False) -> DataFrame:
+    """``keep`` + url: canonical absolute product links, distinct per page."""
+    found = parse_links(pages, origin, keep=keep, pattern=pattern, resolve=resolve)
+    return found.select(*keep, F.explode("links").alias("url"))
+
+
+def mark_failed(marked: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Pages that could not be parsed count as blocked: neither empty nor new."""
+    failed = parsed.where(F.col("error").isNotNull()).select(*PAGE, F.lit(True).alias("_failed"))
+    return (marked.join(failed, PAGE, "left")
+            .withColumn("blocked", F.col("blocked") | F.coalesce("_failed", F.lit(False))).drop("_failed"))
 
 
 def first_seen(links: DataFrame, seed: DataFrame | None = None) -> DataFrame:
@@ -142,10 +156,10 @@ def _new_given_stops(shown: DataFrame, stops: dict[int, int]) -> DataFrame:
     def visited(e: Column) -> Column:
         return _reached(stops, e["cat_idx"], e["page_num"])
 
-    def is_new(_: Column, n: Column) -> Column:
-        return ~F.exists(F.slice("shown", F.lit(1), n), visited)
-
-    return shown.select("url", F.inline(F.filter("shown", is_new)))
+    # Up to the first visited page, that one included; one pass over a link's pages.
+    first = F.array_position(F.transform("shown", visited), F.lit(True))
+    new = F.when(first > 0, F.slice("shown", F.lit(1), first.cast("int"))).otherwise(F.col("shown"))
+    return shown.select("url", F.inline(new))
 
 
 def select_categories(choices: DataFrame, dim: DataFrame, choice: str = "choice",

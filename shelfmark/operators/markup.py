@@ -225,19 +225,19 @@ def _load(text: str):
         return None
 
 
-def _walk(data, depth: int | None = None) -> Iterator[dict]:
+def _walk(data) -> Iterator[dict]:
     """Objects in source order, parents first; ``.send(True)`` skips the children."""
-    todo = [(data, 0)]
+    todo = [data]
     while todo:
-        item, level = todo.pop()
+        item = todo.pop()
         skip = False
         if isinstance(item, dict):
             skip = yield item
             if skip:
                 yield {}
-        if not skip and (depth is None or level < depth):
+        if not skip:
             inner = item.values() if isinstance(item, dict) else item if isinstance(item, list) else ()
-            todo += [(child, level + 1) for child in reversed(list(inner))]
+            todo += reversed(list(inner))
 
 
 def _current_amount(data) -> str | None:
@@ -251,7 +251,7 @@ def _current_amount(data) -> str | None:
 
 
 def _original_amount(data) -> str | None:
-    for item in _walk(data, fixed.JSON_DEPTH):
+    for item in _walk(data):
         price = item.get("originalPrice")
         amount = price.get("amountWithSymbol") if isinstance(price, dict) else None
         if isinstance(amount, str) and amount:

@@ -1,19 +1,22 @@
-"""Joins to key lists whose length is counted before the join is planned."""
+"""Joins to key lists whose size is known before the join is planned."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
+# What a row takes besides its keys in a hashed relation.
+_ROW_BYTES = 64
 
 
-def join_counted(wide: DataFrame, keys: DataFrame, on: list[str], how: str, *,
-                 length: int | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def join_sized(wide: DataFrame, keys: DataFrame, on: list[str], how: str, *,
+               broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Join wide rows to a list of keys that is already written out.
 
-    A short list is sent to the rows; a long one is joined by shuffle. Leaving
-    the choice to run-time statistics would shuffle the wide side before they
-    are known.
+    A small list, by its bytes, is sent to the rows; a large one is joined by
+    shuffle. Leaving the choice to run-time statistics would shuffle the wide
+    side before they are known.
     """
-    length = keys.count() if length is None else length
-    return wide.join(F.broadcast(keys) if length <= broadcast_rows else keys, on, how)
+    row = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in on), F.lit(_ROW_BYTES))
+    size = keys.agg(F.coalesce(F.sum(row.cast("bigint")), F.lit(0))).head()[0]
+    return wide.join(F.broadcast(keys) if size <= broadcast_bytes else keys, on, how)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark import fixed_values as fixed
 from shelfmark.functions.text import strip
-from shelfmark.operators.sizing import BROADCAST_ROWS, join_counted
+from shelfmark.operators.sizing import BROADCAST_BYTES, join_sized
 from shelfmark.session import checkpointed
 from shelfmark.sources import products as source
 
@@ -53,17 +53,17 @@ def absent(new: DataFrame, store: DataFrame, seq: str, url: str = "url") -> Data
 
 
 def drop_stored(pages: DataFrame, store: DataFrame, url: str = "url",
-                broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Pages whose URL the store lacks, found through the narrow URL column."""
     known = checkpointed(store.select(url).join(pages.select(url), url, "left_semi").distinct())
-    return join_counted(pages, known, [url], "left_anti", broadcast_rows=broadcast_rows)
+    return join_sized(pages, known, [url], "left_anti", broadcast_bytes=broadcast_bytes)
 
 
 def keep_listed(pages: DataFrame, listed: DataFrame, url: str = "url",
-                broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Pages whose URL is on the list."""
     wanted = checkpointed(listed.select(url).distinct())
-    return join_counted(pages, wanted, [url], "left_semi", broadcast_rows=broadcast_rows)
+    return join_sized(pages, wanted, [url], "left_semi", broadcast_bytes=broadcast_bytes)
 
 
 def insert_if_absent(new: DataFrame, path: str, seq: str) -> None:

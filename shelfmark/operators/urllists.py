@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.functions import urls
 from shelfmark.functions.text import strip
@@ -56,17 +56,24 @@ def split_lines(df: DataFrame, line: str = "line") -> DataFrame:
             .withColumn("local_path", urls.list_path(F.col(line))))
 
 
-def with_local_html(lines: DataFrame, files: DataFrame) -> DataFrame:
+def with_local_html(lines: DataFrame, files: DataFrame,
+                    take: dict[str, Column] | None = None) -> DataFrame:
     """Lines with the page text of their local file; ``files`` has (path, html).
 
+    ``take`` names what is wanted of a page instead of its text; it is worked
+    out before the join, so the text itself is not shuffled.
+
     Lines without a path keep NULL and never travel to the join, so the NULL
     key does not gather them in one task.
     """
     named = lines.where(F.col("local_path").isNotNull())
     plain = lines.where(F.col("local_path").isNull())
-    html = files.select(F.col("path").alias("local_path"), "html")
-    return (named.join(html, "local_path", "left").select(*lines.columns, "html")
-            .unionByName(plain.withColumn("html", F.lit(None).cast("string"))))
+    take = take or {"html": F.col("html")}
+    page = files.select(F.col("path").alias("local_path"), *(c.alias(n) for n, c in take.items()))
+    for name in take:
+        plain = plain.withColumn(name, F.lit(None).cast(page.schema[name].dataType))
+    return (named.join(page, "local_path", "left").select(*lines.columns, *take)
+            .unionByName(plain))
 
 
 def page_urls(categories: DataFrame, last_page: int | str, url: str = "url") -> DataFrame:

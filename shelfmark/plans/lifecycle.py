@@ -8,6 +8,7 @@ from shelfmark.operators import discovery, gate, store, urllists
 from shelfmark.functions import triage
 from shelfmark.operators.markup import ExtractConfig
 from shelfmark.operators.products import extract_products
+from shelfmark.session import checkpointed
 
 
 def clean_list(lines: DataFrame, rule: str = "recommended") -> DataFrame:
@@ -18,11 +19,21 @@ def clean_list(lines: DataFrame, rule: str = "recommended") -> DataFrame:
 
 
 def discover_urls(pages: DataFrame, origin: str, *, seed: DataFrame | None = None,
-                  max_urls: int | None = None, pattern: str | None = None) -> DataFrame:
-    """Listing pages (cat_idx, page_num, page_url, html) to the collected URLs."""
+                  max_urls: int | None = None, pattern: str | None = None,
+                  failed_path: str | None = None) -> DataFrame:
+    """Listing pages (cat_idx, page_num, page_url, html) to the collected URLs.
+
+    Pages that could not be parsed are neither empty nor new; ``failed_path``
+    gets their (cat_idx, page_num, error).
+    """
     marked = discovery.mark_blocked(pages)
     options = {} if pattern is None else {"pattern": pattern}
-    links = discovery.extract_links(marked.where(~F.col("blocked")), origin, **options)
+    parsed = checkpointed(discovery.parse_links(marked.where(~F.col("blocked")), origin, **options))
+    if failed_path is not None:
+        (parsed.where(F.col("error").isNotNull()).select(*discovery.PAGE, "error")
+         .write.mode("append").parquet(failed_path))
+    marked = discovery.mark_failed(marked.drop("html"), parsed)
+    links = parsed.select(*discovery.PAGE, F.explode("links").alias("url"))
     found = discovery.discover(marked, links, seed=seed, max_urls=max_urls).select("url")
     return found if seed is None else found.union(seed.select("url").distinct())
 

@@ -16,8 +16,12 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A key that a JSON reply repeats keeps its last value.
     "spark.sql.variant.allowDuplicateKeys": "true",
-    # Pages are wide rows: keep one Arrow batch small whatever the row count.
+    # Pages are wide rows: keep one Arrow batch small, in rows and in bytes.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    # Stream state lives on disk: it holds every URL ever seen.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

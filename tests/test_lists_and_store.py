@@ -210,7 +210,7 @@ def test_bucketed_pages_are_not_shuffled(spark, tmp_path):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")     # as if the list were long
     try:
         for keep in (store.keep_listed, store.drop_stored):
-            joined = keep(landed, listed, broadcast_rows=0)
+            joined = keep(landed, listed, broadcast_bytes=0)
             plan = joined._jdf.queryExecution().executedPlan().toString()
             assert "Broadcast" not in plan and "Bucketed: true" in plan
             assert plan.count("Exchange hashpartitioning") == 1

@@ -134,11 +134,11 @@ def test_goods_desc_every_script_and_first_string(spark):
     assert products.extract_fields(df, "description").first()["description"] == "one two\n\nthree"
 
 
-def test_depth_limit_of_price_search():
+def test_price_search_at_any_depth():
     def nested(levels):
         return JSON % ('{"a":' * levels + '{"originalPrice":{"amountWithSymbol":"$5.00"}}' + "}" * levels)
-    assert candidates(nested(15), ("price",), ExtractConfig())["old_json"] == ["$5.00"]
-    assert candidates(nested(16), ("price",), ExtractConfig())["old_json"] == []
+    for levels in (1, 15, 16, 400):
+        assert candidates(nested(levels), ("price",), ExtractConfig())["old_json"] == ["$5.00"]
 
 
 def test_strict_tokens_and_shipping_switch(spark):
