@@ -33,8 +33,8 @@ from shelfmark.session import work_path
 
 #: Ids after which a file is closed.
 FILE_TOKENS = 8 << 20
-#: Distinct pieces of text whose ids a task remembers, and the longest of them.
-CACHED_PIECES = 600_000
+#: Distinct pieces of text whose ids a worker remembers, twice over, and the longest of them.
+CACHED_PIECES = 400_000
 LONGEST_PIECE = 64
 
 _MAGIC = b"IDF1"
@@ -65,20 +65,32 @@ class PieceEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.known: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
         mark = self.tokenizer.encode(self._MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.parts: dict[str, bytes] = {}
+        self.coded = [n.to_bytes(self.width, "little") for n in range(self.tokenizer.get_vocab_size())]
         self.direct = all(self._direct(p) == self._ids([p])[0].tobytes() for p in self._PROBES)
 
+    @classmethod
+    def of_worker(cls, path: str) -> PieceEncoder:
+        """The encoder of this Python worker, which Spark uses for many tasks.
+
+        This module travels with each task, so what outlives a task is kept on the library's module.
+        """
+        import tokenizers
+        kept = vars(tokenizers).setdefault("encoders of shelfmark", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
+
     def _direct(self, piece: str) -> bytes:
-        out = []
-        for part in self._PARTS.findall(piece.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = b"".join(t.id.to_bytes(self.width, "little") for t in self.tokenizer.model.tokenize(part))
-                self.parts[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        lower = piece.lower()
+        parts, known = [lower] if lower.isalpha() else self._PARTS.findall(lower), self.parts
+        for part in parts:
+            if part not in known:
+                known[part] = b"".join([self.coded[t.id] for t in self.tokenizer.model.tokenize(part)])
+        return known[lower] if len(parts) == 1 else b"".join([known[part] for part in parts])
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -103,11 +115,16 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         pieces = [re.sub("[\t\r\n]", " ", t).split(" ") if t else [] for t in texts]
         new = list(set(chain.from_iterable(pieces)).difference(self.known))
-        self._learn(new)
+        if self.before:
+            get = self.before.get
+            self.known.update((p, ids) for p, ids in zip(new, map(get, new)) if ids is not None)
+            self._learn([p for p in new if p not in self.known])
+        else:
+            self._learn(new)
         get = self.known.__getitem__
         out = [np.frombuffer(b"".join(map(get, p)), self.kind) for p in pieces]
         if len(self.known) > CACHED_PIECES:
-            self.known, self.parts = {"": b""}, {}
+            self.known, self.before, self.parts = {"": b""}, self.known, {}
         else:
             for piece in new:
                 if len(piece) > LONGEST_PIECE:
@@ -164,7 +181,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         task = TaskContext.get()
-        encoder = PieceEncoder(tokenizer)
+        encoder = PieceEncoder.of_worker(tokenizer)
         system, folder = filesystem(path)
         doc_ids, ids, size, number = [], [], 0, 0
 
