@@ -32,7 +32,7 @@ def components(links: DataFrame) -> DataFrame:
     The root is the smallest node of its component. Self links, repeated links, nulls on either
     side and empty tables are fine; links with a null are no links.
     """
-    links = links.where("a <> b")
+    links = written(links.where("a <> b"), "links")  # read twice in a round
     state = None
     while True:
         links = written(_small_star(_large_star(links)), "links")

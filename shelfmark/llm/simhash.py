@@ -34,6 +34,8 @@ SEED = 42
 TILE = 2048
 #: Reference fingerprints of the distance table.
 PIVOTS = 16
+#: Groups up to this size are compared in one step.
+SMALL_GROUP = 96
 _BLOCK = 1 << 14
 
 
@@ -104,12 +106,31 @@ def _linked(fps, table, at: int, others: np.ndarray, max_bits: int) -> np.ndarra
     return others[np.bitwise_count(fps[others] ^ fps[at]) <= max_bits]
 
 
+def _near_pairs(fps: np.ndarray, table: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a small group within ``max_bits``: pivot test first, then the true distance."""
+    a, b = np.triu_indices(len(fps), 1)
+    for n in range(0, table.shape[1], 4):
+        near = np.abs(table[a, n:n + 4] - table[b, n:n + 4]).max(axis=1) <= max_bits
+        if not near.all():
+            a, b = a[near], b[near]
+        if not len(a):
+            return a, b
+    near = np.bitwise_count(fps[a] ^ fps[b]) <= max_bits
+    return a[near], b[near]
+
+
 def spanning_links(fps: np.ndarray, references: np.ndarray, max_bits: int, verify=None) -> list[tuple[int, int]]:
     """Links that join all fingerprints reachable from each other in one group.
 
     ``verify(at, others)`` can drop further pairs.
     """
     table = pivot_table(fps, references)
+    if len(fps) <= SMALL_GROUP:
+        a, b = _near_pairs(fps, table, max_bits)
+        if len(a) <= 2 * len(fps) and verify is None:
+            return list(zip(a.tolist(), b.tolist()))
+        if not len(a):
+            return []
     rest, out = np.arange(len(fps)), []
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
