@@ -20,6 +20,7 @@ rows stay repeated; empty tables give empty results; columns other than id and t
 
 from __future__ import annotations
 
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -231,87 +232,227 @@ def near_duplicates(marks: DataFrame, max_bits: int, *, tile: int = TILE) -> Dat
     return marks.join(named, "fp").select("id", "fp", "component_id")
 
 
-# Near copies by similarity of shingle sets. A text with a few changed words keeps most of its words, so
-# the fingerprint of its distinct words moves little, and it only has to find the candidates: pairs are
-# verified by the similarity of their shingle sets.
+# Near copies by similarity of shingle sets, complete for similarity ``least`` and more.
+#
+# * Candidates. With all shingles in one order, two sets of similarity t share one of the first
+#   n - ceil(t n) + 1 shingles of each (prefix filtering). The order is by hash, but shingles that are
+#   frequent in a sample of the texts come last, so common passages make no large buckets as a rule.
+# * Sizes, and one bit of the least hash in each of ``MINIMA`` classes, only drop pairs far below
+#   ``least``; what is left is decided by the exact similarity of the sets of 64-bit shingle hashes.
+# * In a bucket of many texts each is first checked against one reference; only texts that are not in
+#   one component by then are paired, so a large group of copies costs no squares.
 
-#: Bits that the word fingerprints of similar texts may differ in.
+#: Bits that the fingerprints of distinct words of similar texts differ in, mostly (kept for callers).
 NEAR_BITS = 8
-#: Minima (16 bits each) that a set of shingles is compared by.
+#: Classes of shingles with one bit each that a pair is first compared by.
 MINIMA = 256
+#: Bits that sets of similarity 0.8 differ in, 25.6 and five standard errors of 4.8.
+MOST_APART = 50
 SIMILARITY = 0.8
+#: One text in so many tells frequent shingles, by counts in 2 ** SLOT_BITS slots; from so many on.
+SAMPLE = 32
+SLOT_BITS = 22
+FREQUENT = 3
+#: Buckets over this size are first compared with a reference.
+STAR_GROUP = 16
 
 
-def word_mark(text: str | None, shingle: int) -> tuple[int, bytes]:
-    """SimHash of the distinct words, and the least hash of the shingles in each of ``MINIMA`` classes."""
-    import xxhash
-    lower = text.encode().lower().split() if text else []
-    least = np.full(MINIMA, 0xFFFF, np.uint16)
-    if not lower:
-        return 0, least.tobytes()
-    votes = _votes(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in set(lower)), np.uint64))
-    hashes = _shingle_hashes(lower, shingle)
-    value = np.minimum((hashes >> np.uint64(16)) & np.uint64(0xFFFF), np.uint64(0xFFFE)).astype(np.uint16)
-    np.minimum.at(least, (hashes % np.uint64(MINIMA)).astype(np.int64), value)
-    return votes, least.tobytes()
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text (bytes are lowered); of all its words if it is shorter."""
+    from shelfmark.llm.repeats import Sequences
+    words = text.encode().lower().split() if text else []
+    return np.unique(Sequences(words).all_of(min(shingle, len(words)))) if words else np.empty(0, np.uint64)
+
+
+def jaccard(one: np.ndarray, other: np.ndarray) -> float:
+    """Exact similarity of two sorted sets; 0 for two empty ones."""
+    both = len(np.intersect1d(one, other, assume_unique=True))
+    return both / max(1, len(one) + len(other) - both)
+
 
+def class_bits(shingles: np.ndarray) -> bytes:
+    """One bit of the least hash of each of ``MINIMA`` classes; 0 for classes without shingles."""
+    least = np.full(MINIMA, 0xFFFFFFFFFFFFFFFE, np.uint64)
+    np.minimum.at(least, (shingles % np.uint64(MINIMA)).astype(np.int64), (shingles >> np.uint64(8)) * _SPREAD)
+    return np.packbits((least >> np.uint64(9)) & np.uint64(1)).tobytes()
 
-def similarity(one: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity: equal minima among the classes that either set has."""
-    some = (one != 0xFFFF) | (others != 0xFFFF)
-    return ((one == others) & some).sum(axis=1) / np.maximum(1, some.sum(axis=1))
 
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
-def _similar_links(max_bits: int, least: float):
+
+def prefix(shingles: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles a text is looked up by: infrequent ones, frequent ones."""
+    if not len(shingles):
+        return shingles, shingles
+    length = len(shingles) - int(np.ceil(least * len(shingles) - 1e-9)) + 1
+    count = counts[(shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+    some = np.lexsort((shingles, count))[:length]
+    return shingles[some[count[some] == 0]], shingles[some[count[some] > 0]]
+
+
+def _frequent(texts: DataFrame, shingle: int):
+    """A broadcast table: for each slot of shingles its count in the sample, 0 if below ``FREQUENT``."""
+    def run(batches):
+        for batch in batches:
+            found = [shingle_set(t, shingle) for t in batch.column(0).to_pylist()]
+            slot, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]) >> np.uint64(64 - SLOT_BITS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n.astype(np.int64))], ["slot", "n"])
+    found = (texts.where(F.pmod("member", F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "slot int, n long")
+             .groupBy("slot").agg(F.least(F.sum("n"), F.lit(0xFFFF)).cast("int").alias("n"))
+             .where(F.col("n") >= FREQUENT).toArrow())
+    table = np.zeros(1 << SLOT_BITS, np.uint16)
+    table[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return texts.sparkSession.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
+
+
+def _prints(texts: DataFrame, frequent, shingle: int, least: float) -> DataFrame:
+    """(member, size, bits, rare, hot) of every text."""
+    def run(batches):
+        counts = np.frombuffer(zlib.decompress(frequent.value), np.uint16)
+        longs = pa.list_(pa.int64())
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            firsts = [prefix(s, counts, least) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int32()),
+                 pa.array([class_bits(s) for s in sets], pa.binary()),
+                 *(pa.array([f[n].view(np.int64) for f in firsts], longs) for n in (0, 1))],
+                ["member", "size", "bits", "rare", "hot"])
+    return texts.select("member", "text").mapInArrow(
+        run, "member long, size int, bits binary, rare array<long>, hot array<long>")
+
+
+def _shared(batches):
+    """Rows whose first column has another row beside it."""
+    for table in _group_runs(batches):
+        size = np.diff(_edges(table.column(0).to_numpy()))
+        yield from table.filter(pa.array(np.repeat(size > 1, size))).combine_chunks().to_batches()
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _alike(size: np.ndarray, bits: np.ndarray, a, b, least: float) -> np.ndarray:
+    """Which pairs (a, b) may reach ``least``; a set in n shingles different changes n classes at most."""
+    one, two = size[a], size[b]
+    fits = np.minimum(one, two) >= least * np.maximum(one, two) - 1e-9
+    most = (1 - least) / (1 + least) * (one + two) + 1e-9
+    if least >= SIMILARITY:
+        most = np.minimum(MOST_APART, most)
+    return fits & (_apart(bits[a], bits[b]) <= most)
+
+
+def _columns(table: pa.Table):
+    bits = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint64).reshape(table.num_rows, -1)
+    return table.column(1).to_numpy(), table.column(2).to_numpy().astype(np.int64), bits
+
+
+def _star_pairs(least: float):
+    """(a, b, apart) of each member of a bucket and the reference of the bucket."""
     def run(batches):
-        references = pivots()
         for table in _group_runs(batches):
-            member = table.column(1).to_numpy()
-            fp = table.column(2).to_numpy().view(np.uint64)
-            minima = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint16).reshape(len(fp), MINIMA)
-            edges = _edges(table.column(0).to_numpy())
+            member, size, bits = _columns(table)
+            group = table.column(0).to_numpy()
+            edges = _edges(group)
             for a, b in zip(edges, edges[1:]):
                 if b - a > 1:
-                    own = minima[a:b]
-                    found = spanning_links(fp[a:b], references, max_bits,
-                                           lambda at, others, own=own: similarity(own[at], own[others]) >= least)
-                    if found:
-                        pairs = np.array(found) + a
-                        yield _packed(member[pairs[:, 0]], member[pairs[:, 1]])
+                    others = np.arange(a, b)
+                    mixed = (member[a:b].view(np.uint64) ^ group[a:b].view(np.uint64)) * _SPREAD
+                    at = a + int(mixed.argmin())
+                    others = others[(others != at) & (member[others] != member[at])]
+                    others = others[_alike(size, bits, at, others, least)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(others), member[at])), pa.array(member[others]),
+                         pa.array(_apart(bits[others], bits[at]))], ["a", "b", "apart"])
+    return run
 
+
+def _open_pairs(least: float):
+    """(a, b) of each bucket that may reach ``least`` and are not in one component yet."""
+    def run(batches):
+        for table in _group_runs(batches):
+            member, size, bits = _columns(table)
+            root = table.column(4).to_numpy()
+            edges = _edges(table.column(0).to_numpy())
+            sizes = np.diff(edges)
+
+            def packed(a, b):
+                open_ = root[a] != root[b]
+                a, b = a[open_], b[open_]
+                near = _alike(size, bits, a, b, least)
+                low, high = np.minimum(member[a[near]], member[b[near]]), np.maximum(member[a[near]], member[b[near]])
+                return _packed(low, high)
+
+            for count in range(2, STAR_GROUP + 1):  # most buckets by far: all of one size at once
+                starts = edges[:-1][sizes == count]
+                if len(starts):
+                    for i, j in combinations(range(count), 2):
+                        yield packed(starts + i, starts + j)
+            for a, b in zip(edges[:-1][sizes > STAR_GROUP], edges[1:][sizes > STAR_GROUP]):
+                for at in range(a, b - 1):
+                    others = np.arange(at + 1, b)
+                    yield packed(np.full(len(others), at), others)
     return run
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose exact similarity is ``least`` or more."""
+    def run(batches):
+        for batch in batches:
+            held: dict[int, np.ndarray] = {}
+            keep = []
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                for key, text in ((a, x), (b, y)):
+                    if key not in held:
+                        if len(held) > 256:
+                            held.clear()
+                        held[key] = shingle_set(text, shingle)
+                one = held[a] if a in held else shingle_set(x, shingle)
+                keep.append(jaccard(one, held[b]) >= least - 1e-12)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+    one, other = (texts.select(F.col("member").alias(k), F.col("text").alias(f"text {k}")) for k in "ab")
+    return (pairs.join(one, "a").join(other, "b").select("a", "b", "text a", "text b")
+            .mapInArrow(run, "a long, b long"))
+
+
 def similar_texts(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = 5,
                   max_bits: int = NEAR_BITS, least: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """(id, text_key, component_id): texts in one chain of similar texts share the smallest id.
 
-    Equal texts are one member. Word fingerprints within ``max_bits`` of each other give loose groups;
-    in a loose group, pairs within ``max_bits`` whose shingle sets are ``least`` alike are linked.
+    Equal texts are one member. All pairs whose shingle sets are ``least`` alike are linked, whatever their
+    fingerprints; ``max_bits`` is not needed any more and changes nothing.
     """
-    def run(batches):
-        for batch in batches:
-            marks = [word_mark(t, shingle) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array([m[0] for m in marks], pa.int64()),
-                 pa.array([m[1] for m in marks], pa.binary())], ["id", "member", "fp", "minima"])
-
-    rows = written(docs.select(docs[id].cast("long").alias("id"), _text_key(docs[text]).alias("member"),
-                               F.coalesce(docs[text], F.lit("")).alias("text"))
-                   .mapInArrow(run, "id long, member long, fp long, minima binary"), "text-marks")
-    members = written(rows.groupBy("member").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"),
-                                                 F.first("minima").alias("minima")), "texts")
-    prints = members.groupBy("fp").agg(F.count(F.lit(1)).alias("texts"))
-    loose = components(near_links(prints, max_bits, tile=tile))
-    busy = (prints.join(loose, prints.fp == loose.node, "left")
-            .select("fp", F.coalesce("root", "fp").alias("root"), "texts"))
-    sizes = busy.groupBy("root").agg(F.sum("texts").alias("n")).where("n > 1").select("root")
-    grouped = members.join(busy.join(sizes, "root").select("fp", "root"), "fp").select("root", "member", "fp", "minima")
-    links = (_tiled(grouped, "root", tile).select("root", "member", "fp", "minima")
-             .repartition("root").sortWithinPartitions("root")
-             .mapInArrow(_similar_links(max_bits, least), "a long, b long"))
+    rows = docs.select(docs[id].cast("long").alias("id"), _text_key(docs[text]).alias("member"))
+    texts = written(docs.select(docs[id].cast("long").alias("id"), _text_key(docs[text]).alias("member"),
+                                F.coalesce(docs[text], F.lit("")).alias("text"))
+                    .groupBy("member").agg(F.min("id").alias("rep"), F.first("text").alias("text")), "texts")
+    frequent = _frequent(texts, shingle)
+    prints = written(_prints(texts, frequent, shingle, least), "text-prints")
+    rare = (prints.select(F.explode("rare").alias("bucket"), "member").repartition("bucket")
+            .sortWithinPartitions("bucket").mapInArrow(_shared, "bucket long, member long"))
+    shared = written(rare.union(prints.select(F.explode("hot"), "member")), "shared-shingles")
+    marks = prints.select("member", "size", "bits")
+
+    large = shared.groupBy("bucket").count().where(F.col("count") > STAR_GROUP).select("bucket")
+    crowd = shared.join(written(large, "large-buckets"), "bucket").join(marks, "member")
+    stars = (_tiled(crowd, "bucket", tile).select("bucket", "member", "size", "bits")
+             .repartition("bucket").sortWithinPartitions("bucket")
+             .mapInArrow(_star_pairs(least), "a long, b long, apart long")
+             .groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select("best.a", "b"))
+    first = written(_verified(stars, texts, shingle, least), "star-links")
+    roots = components(first)
+
+    joined = (shared.join(marks, "member").join(roots, F.col("member") == roots.node, "left")
+              .select("bucket", "member", "size", "bits", F.coalesce("root", "member").alias("root")))
+    still = written(joined.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+                    .where("low < high").select("bucket"), "open-buckets")
+    pairs = (_tiled(joined.join(still, "bucket"), "bucket", tile).select("bucket", "member", "size", "bits", "root")
+             .repartition("bucket").sortWithinPartitions("bucket")
+             .mapInArrow(_open_pairs(least), "a long, b long").distinct())
+    links = first.union(_verified(written(pairs, "open-pairs"), texts, shingle, least))
     roots = components(links)
-    rooted = (members.join(roots, members.member == roots.node, "left")
+    rooted = (texts.select("member", "rep").join(roots, F.col("member") == roots.node, "left")
               .select("member", "rep", F.coalesce("root", "member").alias("root")))
     named = (rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root")
              .select(F.col("member").alias("text_key"), "component_id"))

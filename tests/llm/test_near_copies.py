@@ -160,3 +160,47 @@ def test_cut_keeps_columns_and_white_space(spark):
                                 ("z", 3, passage), ("n", 4, None), ("e", 5, "")], "repeats string, doc_id long, text string")
     found = {r.doc_id: (r.repeats, r.text) for r in repeats.cut_repeats(df).collect()}
     assert found == {1: ("x", passage + "\n\nown  words here"), 2: ("y", "start\tend  now"), 4: ("n", None), 5: ("e", "")}
+
+
+def test_similar_texts_against_brute_force(spark):
+    """Appended, truncated and word-edited copies around 0.8, whatever their fingerprints."""
+    r = random.Random(12)
+    texts = []
+    for n in range(60):
+        base = [f"v{r.randint(0, 5000)}" for _ in range(r.randint(60, 400))]
+        more = [f"v{r.randint(0, 5000)}" for _ in range(len(base))]
+        texts.append(base)
+        for share in (0.78, 0.8, 0.81, 0.83, 0.85):  # similarity of the copy, about
+            kind, cut = r.randrange(3), round(len(base) * share)
+            if kind == 0:
+                texts.append(base + more[:round(len(base) / share) - len(base)])
+            elif kind == 1:
+                texts.append(base[:cut])
+            else:
+                copy = list(base)
+                for at in range(0, len(base), round(5 * (1 + share) / (1 - share))):
+                    copy[at] = "changed"
+                texts.append(copy)
+    passage = prose(r, 60)  # common to unlike texts
+    texts += [passage + prose(r, 40) for _ in range(40)]
+    texts = [" ".join(t) for t in texts]
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a)
+             if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert len(links) > 100
+    want = brute_components(links, range(len(texts)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for tile in (simhash.TILE, 8):
+        assert {x.id: x.component_id for x in simhash.similar_texts(df, tile=tile).collect()} == want
+
+
+def test_a_large_group_of_copies_is_linked_whole(spark):
+    r = random.Random(3)
+    base = prose(r, 200)
+    texts = []
+    for n in range(120):
+        copy = list(base)
+        copy[r.randrange(200)] = f"x{n}"
+        texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [x.doc_id for x in simhash.representatives(df, tile=50).collect()] == [0]
