@@ -204,3 +204,14 @@ def test_a_large_group_of_copies_is_linked_whole(spark):
         texts.append(" ".join(copy))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [x.doc_id for x in simhash.representatives(df, tile=50).collect()] == [0]
+
+
+def test_links_are_decided_by_exact_similarity(spark):
+    rows, want = [], {}
+    for n in range(60):
+        base = [f"f{n}x{k}" for k in range(304)]  # 300 shingles; 240 of them are 0.8, 239 are less
+        cut = base[:244 - n % 2]
+        rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(cut))]
+        want |= {2 * n: 2 * n, 2 * n + 1: 2 * n + n % 2}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.id: x.component_id for x in simhash.similar_texts(df).collect()} == want
