@@ -1,14 +1,15 @@
 """Document fingerprints as invertible Bloom lookup sketches; columns and SQL functions only.
 
-A text is cut into phrases: at line ends, at sentence ends and after ``PHRASE_WORDS`` words. Longer
-texts are grouped into sections of phrases, closed where a phrase's digest ends in enough zero bits,
-so a document has some ``SECTIONS`` parts whatever its length and an edit changes only its own parts.
+A text is cut into phrases: at line ends, at sentence ends and after ``PHRASE_WORDS`` words. Its parts
+are its distinct phrases, at every length, so an edit changes only the phrases it touches.
 
-Each distinct part digest is added to three cells of a sketch. A cell holds a count, the XOR of its
-digests and the XOR of their check sums. The sketches of two versions are subtracted cell by cell:
-equal parts cancel, and peeling cells that hold one digest recovers those that differ. If cells are
-left over, both sketches are built again, larger; if even the largest fails, the digests are
-compared directly. Likeness is the share of parts (of both sides) that do not differ.
+Each part digest is added to three cells of a sketch. A cell holds a count, the XOR of its digests and
+the XOR of their check sums. The sketches of two versions are subtracted cell by cell: equal parts
+cancel, and peeling cells that hold one digest recovers those that differ. The parts that differ are
+estimated from a sample of the digests, and the digests dealt to as many sketches that each has about
+``BUCKET`` of them to recover. A sketch with cells left over is built again, larger; if even the
+largest fails, its digests are compared directly. Likeness is the share of parts (of both sides) that
+do not differ.
 
 Defined cases: null and empty texts have no parts; two of them are alike (1), one of them is unlike any
 other text (0). Repeated parts count once. Equal texts have equal fingerprints. Neighbours follow
@@ -23,7 +24,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 PHRASE_WORDS = 12
-SECTIONS = 32
+#: Differing digests that a sketch is to recover, and sizes up to which no sample is taken.
+BUCKET = 8
+SAMPLED_FROM = 64
+#: One digest in so many is in the sample.
+SAMPLE = 8
 #: Cells of the first sketch and of each larger one.
 CELLS = (24, 96, 384)
 PEEL_ROUNDS = 16
@@ -45,22 +50,9 @@ def phrases(text: Column) -> Column:
     return F.transform(found, lambda p: F.xxhash64(p))
 
 
-def level(digests: Column) -> Column:
-    """Zero bits that close a section, so that about ``SECTIONS`` remain."""
-    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(digests), F.lit(1)) / SECTIONS))).cast("int")
-
-
-def parts(digests: Column, bits: Column) -> Column:
-    """Distinct section digests, sorted."""
-    def step(state, x):
-        now = F.xxhash64(state["open"], x)
-        closed = F.pmod(x, F.pow(F.lit(2), bits).cast("long")) == 0
-        return F.struct(F.when(closed, F.lit(0).cast("long")).otherwise(now).alias("open"),
-                        F.when(closed, F.concat(state["done"], F.array(now))).otherwise(state["done"]).alias("done"))
-
-    start = F.struct(F.lit(0).cast("long").alias("open"), F.array().cast("array<long>").alias("done"))
-    return F.aggregate(digests, start, step, lambda s: F.array_sort(F.array_distinct(
-        F.when(s["open"] == 0, s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))))
+def parts(digests: Column) -> Column:
+    """Distinct phrase digests, sorted."""
+    return F.array_sort(F.array_distinct(digests))
 
 
 def _check(key: Column) -> Column:
@@ -127,37 +119,62 @@ def peel(cells: Column, size: int) -> Column:
                          F.transform(s["found"], lambda e: F.struct(e["n"], e["k"]))))
 
 
+def _sketches(a: Column, b: Column) -> Column:
+    """How many sketches the digests of a pair are dealt to, by the estimated number that differ."""
+    total = F.size(a) + F.size(b)
+    sampled = lambda x: F.filter(x, lambda k: F.pmod(k, F.lit(SAMPLE)) == 0)
+    apart = _let(F.struct(sampled(a).alias("x"), sampled(b).alias("y")), lambda s: (
+        F.size(F.array_except(s["x"], s["y"])) + F.size(F.array_except(s["y"], s["x"]))) * SAMPLE + 2 * SAMPLE)
+    return F.greatest(F.lit(1), F.ceil(F.when(total <= SAMPLED_FROM, total).otherwise(F.least(total, apart)) / BUCKET))
+
+
 def differing(a: Column, b: Column, ladder: tuple[int, ...] = CELLS) -> Column:
     """The digests of a and b that are not in both, as structs (n, k), through sketches."""
-    def tried(size: int) -> Column:
-        return _let(subtract(sketch(a, size), sketch(b, size)), lambda cells: peel(cells, size))
-
     def plain(x: Column, y: Column, side: int) -> Column:
         return F.transform(F.array_except(x, y), lambda k: F.struct(F.lit(side).alias("n"), k.alias("k")))
 
-    return F.coalesce(*map(tried, ladder), F.concat(plain(a, b, 1), plain(b, a, -1)))
+    def recovered(p: Column) -> Column:
+        def tried(size: int) -> Column:
+            return _let(subtract(sketch(p["a"], size), sketch(p["b"], size)), lambda cells: peel(cells, size))
+        return F.coalesce(*map(tried, ladder), F.concat(plain(p["a"], p["b"], 1), plain(p["b"], p["a"], -1)))
+
+    def dealt(p: Column, count: Column, place: Callable[[Column], Column]) -> Column:
+        """The digests of a pair in ``count`` shares by their place."""
+        return F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda n: F.struct(
+            *(F.filter(p[side], lambda k: place(k) == n).alias(side) for side in "ab")))
+
+    def of(p: Column) -> Column:
+        # Dealt out twice, to a root of the sketches each time, so the work is no square of the digests.
+        place = lambda k: F.pmod(F.shiftrightunsigned(k, 8), p["sketches"])
+        row = p["row"]
+        rows = dealt(p, F.ceil(p["sketches"] / row), lambda k: F.floor(place(k) / row))
+        return F.flatten(F.transform(rows, lambda r: F.flatten(F.transform(
+            dealt(r, row, lambda k: F.pmod(place(k), row)),
+            lambda q: F.when(F.size(q["a"]) + F.size(q["b"]) > 0, recovered(q))
+            .otherwise(F.array().cast("array<struct<n:int,k:bigint>>"))))))
+
+    counted = F.struct(a.alias("a"), b.alias("b"), _sketches(a, b).alias("sketches"))
+    return _let(counted, lambda p: _let(
+        F.struct(p["a"].alias("a"), p["b"].alias("b"), p["sketches"].alias("sketches"),
+                 F.ceil(F.sqrt(p["sketches"])).alias("row")), of))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of two arrays of phrase digests: the share of parts that do not differ, 0 to 1."""
+    """Of two arrays of phrase digests: the share of distinct ones that do not differ, 0 to 1."""
     def of(x, y):
         total = F.size(x) + F.size(y)
         return F.when(total == 0, F.lit(1.0)).when(x == y, F.lit(1.0)).otherwise(
             1 - F.size(differing(x, y)) / total)
-    pair = F.struct(a.alias("a"), b.alias("b"), F.greatest(level(a), level(b)).alias("bits"))
-    return _let(pair, lambda p: _let(
-        F.struct(parts(p["a"], p["bits"]).alias("x"), parts(p["b"], p["bits"]).alias("y")),
-        lambda q: of(q["x"], q["y"])))
+    return _let(F.struct(parts(a).alias("x"), parts(b).alias("y")), lambda q: of(q["x"], q["y"]))
 
 
 def fingerprint(digests: Column) -> Column:
-    """The smallest sketch of a text as hexadecimal digits: level, then count, digest XOR and check of each cell."""
+    """The smallest sketch of a text as hexadecimal digits: count, digest XOR and check of each cell."""
     def text(cells):
-        each = F.transform(cells, lambda c: F.concat(F.lpad(F.hex(c["n"]), 4, "0"), F.lpad(F.hex(c["k"]), 16, "0"),
+        each = F.transform(cells, lambda c: F.concat(F.lpad(F.hex(c["n"]), 8, "0"), F.lpad(F.hex(c["k"]), 16, "0"),
                                                      F.lpad(F.hex(c["c"].bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")))
         return F.array_join(each, "")
-    head = F.lpad(F.hex(level(digests)), 2, "0")
-    return F.lower(F.concat(head, _let(sketch(parts(digests, level(digests)), CELLS[0]), text)))
+    return F.lower(_let(sketch(parts(digests), CELLS[0]), text))
 
 
 def _ranges(docs: DataFrame) -> DataFrame:

@@ -179,3 +179,18 @@ def test_scores_past_double_precision():
     q, s = np.array([[2.0 ** 40, 1.0]]), np.array([[2.0 ** 30, 3.0], [2.0 ** 50, 0.0]])
     assert topk.scores(q, s).tolist() == [[2 ** 63 - 1, 2 ** 63 - 1]]
     assert topk.scores(np.array([[2.0 ** 30, 1.0]]), np.array([[2.0 ** 30, 3.0]])).tolist() == [[2 ** 60 + 3]]
+
+
+def test_likeness_counts_phrases_at_every_length(spark):
+    r = random.Random(6)
+    rows = []
+    for n, (words, step) in enumerate(((300, 100), (8000, 500), (8000, 100), (20000, 200), (9000, 10))):
+        text = [f"w{r.randint(0, 3000)}" for _ in range(words)]
+        edited = [w if at % step else "changed" for at, w in enumerate(text)]
+        rows.append((n, " ".join(text), " ".join(edited)))
+    rows.append((9, "one two.\nthree four.\n" * 500, "one two.\nthree four.\n" * 500 + "five."))
+    df = spark.createDataFrame(rows, "n int, a string, b string").select(
+        "n", iblt.phrases(F.col("a")).alias("a"), iblt.phrases(F.col("b")).alias("b"))
+    for x in df.select("n", "a", "b", iblt.likeness(F.col("a"), F.col("b")).alias("like")).collect():
+        a, b = set(x.a), set(x.b)
+        assert abs(x.like - 2 * len(a & b) / (len(a) + len(b))) < 1e-12
