@@ -125,21 +125,42 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int], *, id: str = "doc_i
     """The documents of the mix, whole: a row for each time half of a document or more is taken.
 
     Only the two documents at the ends of a shard's quota are taken in part, so rounding moves a source
-    from its target by a document a shard at most. Copies of a row with equal id, source and size are
-    told apart by nothing, so they are dealt out in any order. A document without words stays once.
+    from its target by a document a shard at most. Copies of a row with equal id, text and source are
+    told apart by nothing, so what the mix takes of them is dealt out in any order: each gets its even
+    share, and as many as are left over get one more. A document without words stays once.
     """
-    taken = mix(docs.withColumn(f"{id} of row", F.xxhash64(docs[id], docs[text])), weights,
-                id=f"{id} of row", text=text, source=source, **options)
+    key, more, each = f"{id} of row", "more in the mix", "times in the mix"
+    row = F.xxhash64(docs[id], docs[text], docs[source])
+    taken = mix(docs.withColumn(key, row), weights, id=key, text=text, source=source, **options)
     copies = written(taken.where("size > 0").select(
-        F.col(f"{id} of row").alias("row of the mix"),
-        F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times"))
-        .groupBy("row of the mix").agg(F.avg("times").alias("times")), "mix-copies")
+        F.col(key).alias("row of the mix"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("long").alias("times"))
+        .groupBy("row of the mix").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("n"))
+        .select("row of the mix", F.floor(F.col("times") / F.col("n")).alias("each"),
+                F.pmod("times", "n").alias("more")), "mix-copies")
     words = word_count(docs[text])
-    times = F.when(words == 0, F.lit(1)).otherwise(F.coalesce(copies.times, F.lit(0))).cast("int")
-    some = (docs.join(copies, F.xxhash64(docs[id], docs[text]) == copies["row of the mix"], "left")
-            .select(*(docs[c] for c in docs.columns), times.alias("times in the mix")).where(F.col("times in the mix") > 0))
-    return (some.withColumn("times in the mix", F.explode(F.sequence(F.lit(1), F.col("times in the mix"))))
-            .drop("times in the mix"))
+    counted = (docs.join(copies, row == copies["row of the mix"], "left")
+               .select(*(docs[c] for c in docs.columns),
+                       F.when(words == 0, F.lit(1)).otherwise(F.coalesce(copies["each"], F.lit(0))).cast("int").alias(each),
+                       F.coalesce(copies.more, F.lit(0)).alias(more), copies["row of the mix"].alias(key)))
+    some = counted.where(F.col(more) == 0).drop(more, key)
+    if copies.where("more > 0").head(1):
+        some = some.unionByName(_dealt(counted.where(F.col(more) > 0), key, more, each))
+    some = some.where(F.col(each) > 0)
+    return some.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(each)))).drop(each)
+
+
+def _dealt(rows: DataFrame, key: str, more: str, each: str) -> DataFrame:
+    """One more to the first ``more`` rows of each ``key``, numbered in chunks, so a group of any size is cut."""
+    rows = written(rows.withColumn("place in the mix", F.monotonically_increasing_id()), "mix-uneven")
+    rows = rows.withColumn("chunk of the mix", F.shiftright("place in the mix", 12))
+    chunk = [key, "chunk of the mix"]
+    before = (rows.groupBy(*chunk).count()
+              .withColumn("before the chunk", F.sum("count").over(Window.partitionBy(key).orderBy("chunk of the mix"))
+                          - F.col("count")).drop("count"))
+    number = F.row_number().over(Window.partitionBy(*chunk).orderBy("place in the mix")) + F.col("before the chunk")
+    return (rows.join(before, chunk)
+            .withColumn(each, F.when(number <= F.col(more), F.col(each) + 1).otherwise(F.col(each)))
+            .drop(more, "place in the mix", "before the chunk", *chunk))
 
 
 def mix_sql(weights: Sequence[int], volume: float = 1.5, passes: int = 2, block: int = BLOCK,

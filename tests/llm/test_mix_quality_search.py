@@ -181,6 +181,21 @@ def test_scores_past_double_precision():
     assert topk.scores(np.array([[2.0 ** 30, 1.0]]), np.array([[2.0 ** 30, 3.0]])).tolist() == [[2 ** 60 + 3]]
 
 
+def test_copies_share_what_the_mix_takes(spark):
+    rows = [(None, "word " * 100, "a", n) for n in range(60)] + [(None, "word " * 100, "b", n) for n in range(30)] + [
+        (n, "other " * 100, "c", n) for n in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mark int").repartition(4)
+    for volume in (0.4, 0.9, 1.3):
+        out = mixing.mixed_documents(df, [3, 1, 2], volume=volume)
+        assert out.columns == df.columns
+        found = {x.source: x["count"] for x in out.groupBy("source").count().collect()}
+        targets = {x.source: x.target / 100 for x in mixing.source_targets(
+            df.groupBy("source").agg((F.count("*") * 100).alias("size")), [3, 1, 2], volume, 2).collect()}
+        assert all(abs(found.get(s, 0) - t) <= 2 for s, t in targets.items()), (volume, found, targets)
+        times = [x["count"] for x in out.groupBy("source", "mark").count().collect()]
+        assert max(times) <= 2
+
+
 def test_likeness_counts_phrases_at_every_length(spark):
     r = random.Random(6)
     rows = []
