@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import bpe, html_crf, iblt, mixing, quality, repeats, simhash, token_files, topk, warc
+from shelfmark.llm import (bpe, chat, html_crf, iblt, lexical, mixing, quality, repeats, simhash, token_files, topk, warc,
+                           whitening)
 from shelfmark.session import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +115,50 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE rank <= 10""")
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+@query("op11_lexical", lexical.search_sql(50))
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 50)
+
+
+@query("op12_whiten")
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), 16)
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+class _ChatDigest:
+    """Counts and digests of one conversation, fed turn by turn."""
+
+    def __init__(self):
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.n, self.loss_chars, self.chars = 0, 0, 0
+
+    def piece(self, text: str) -> None:
+        self.chars += len(text)
+
+    def turn(self, role: str, text: str) -> None:
+        self.n += 1
+        self.turns.update(f"{role}\n{text}\n".encode())
+
+    def learned(self, text: str) -> None:
+        self.loss_chars += len(text)
+        self.loss.update(text.encode())
+
+    def row(self) -> tuple:
+        return self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+
+
+@query("op13_chat")
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    said = "</s>[INST] ok [/INST]"
+    records = (rows.select(F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
+               .union(spark.range(1).select(F.to_json(F.struct(F.lit(-1).alias("conv_id"), F.array(*(
+                   F.struct(F.lit(role).alias("role"), F.lit(said).alias("content")) for role in ("user", "assistant")))
+                   .alias("messages"))))))
+    chats = work_path(spark, "chats")
+    chat.format_chats(records, chats)
+    return chat.fold_chats(chat.read_chats(spark, chats), _ChatDigest,
+                           "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
