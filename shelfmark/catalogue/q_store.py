@@ -120,7 +120,7 @@ def _order_rows(t):
 
 def _stored(t, label):
     path = work_path(t.spark, label)
-    i.order_store(t).write.parquet(path)
+    store.open_store(t.spark, path).append(source.in_store_form(i.order_store(t)))
     store.insert_if_absent(_order_rows(t), path, "seq")
     store.insert_if_absent(_order_rows(t), path, "seq")   # a replay must add nothing
     return source.read_store(t.spark, path)

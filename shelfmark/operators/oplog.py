@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfmark import fixed_values as fixed
 from shelfmark.functions.text import blank_to_null
-from shelfmark.operators.series import neighbours, range_chunk, running
+from shelfmark.operators.series import even_chunk, neighbours, range_chunk, running
 
 _ANSI = r"\x1B\[[0-9;]*[a-zA-Z]"
 _LINE = r"^(\d{2}:\d{2}:\d{2}) \[([^\]]+)\](?: \[([A-Z_]+)\])? (.*)$"
@@ -85,29 +85,28 @@ def micros(ts: Column) -> Column:
     return ((days * DAY_SECONDS + whole) * 1000000 + (seconds * 1000000).cast("bigint")).cast("bigint")
 
 
-def transitions(states: DataFrame, unit: str = "hour") -> DataFrame:
+def transitions(states: DataFrame) -> DataFrame:
     """old_status -> status per worker; the first state comes from ``?``.
 
-    ``states`` has worker, ts, id, status. Workers are cut into chunks of one
-    time ``unit``.
+    ``states`` has worker, ts, id, status. Workers are cut into chunks of equal
+    numbers of rows.
     """
-    cut = states.withColumn("_chunk", F.date_trunc(unit, F.col("ts")))
+    cut = even_chunk(states, ["ts", "id"])
     out = neighbours(cut, ["worker"], "_chunk", ["ts", "id"], previous={"old_status": "status"})
     return (out.withColumn("old_status", F.coalesce("old_status", F.lit("?")))
             .withColumnRenamed("status", "new_status").drop("_chunk"))
 
 
-def with_next(states: DataFrame, unit: str = "hour") -> DataFrame:
+def with_next(states: DataFrame) -> DataFrame:
     """Adds next_us, the start of the worker's following state."""
-    cut = (states.withColumn("_chunk", F.date_trunc(unit, F.col("ts")))
-           .withColumn("us", micros(F.col("ts"))))
+    cut = even_chunk(states, ["ts", "id"]).withColumn("us", micros(F.col("ts")))
     return neighbours(cut, ["worker"], "_chunk", ["ts", "id"],
                       following={"next_us": "us"}).drop("_chunk")
 
 
-def dwell(states: DataFrame, unit: str = "hour") -> DataFrame:
+def dwell(states: DataFrame) -> DataFrame:
     """Time spent per status; a worker's last, open state has no length yet."""
-    timed = with_next(states, unit)
+    timed = with_next(states)
     return timed.groupBy("status").agg(
         F.count("*").alias("visits"),
         F.coalesce(F.sum(F.col("next_us") - F.col("us")), F.lit(0)).cast("bigint").alias("micros"))
@@ -170,10 +169,9 @@ def retry_outcomes(attempts: DataFrame, retries: int = fixed.MAX_RETRIES) -> Dat
                         .otherwise(F.lit("discard"))))
 
 
-def progress_series(events: DataFrame, submitted: Column, processed: Column,
-                    unit: str = "hour") -> DataFrame:
+def progress_series(events: DataFrame, submitted: Column, processed: Column) -> DataFrame:
     """Running totals over the whole log: submitted, processed, queued."""
-    cut = events.withColumn("_chunk", F.date_trunc(unit, F.col("ts")))
+    cut = even_chunk(events, ["ts", "id"])
     out = running(cut, [], "_chunk", ["ts", "id"],
                   sums={"submitted": submitted.cast("bigint"), "processed": processed.cast("bigint")})
     return out.withColumn("queued", F.col("submitted") - F.col("processed")).drop("_chunk")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from shelfmark import fixed_values as fixed
 from shelfmark.functions.text import strip
+from shelfmark.operators.buckets import BucketStore
 from shelfmark.operators.sizing import BROADCAST_BYTES, join_sized
-from shelfmark.session import checkpointed
+from shelfmark.session import checkpointed, saved
 from shelfmark.sources import products as source
 
 
@@ -40,11 +41,13 @@ def progress(work: DataFrame, store: DataFrame, url: str = "url") -> DataFrame:
 
 
 def first_per_url(df: DataFrame, seq: str, url: str = "url") -> DataFrame:
-    """The row with the smallest ``seq`` of each URL, combined on the map side."""
-    rest = [c for c in df.columns if c != url]
-    kept = df.groupBy(url).agg(F.min_by(F.struct(*rest), F.col(seq)).alias("_row"))
-    return kept.select(*[F.col(url) if c == url else F.col(f"_row.{c}").alias(c)
-                         for c in df.columns])
+    """The row with the smallest ``seq`` of each URL; equal numbers are settled by a hash of the values.
+
+    The rank is cut to one before the shuffle too, so a URL that comes very often sends one row a task.
+    """
+    plain = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    order = Window.partitionBy(url).orderBy(seq, F.xxhash64(*plain))
+    return df.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
 
 
 def absent(new: DataFrame, store: DataFrame, seq: str, url: str = "url") -> DataFrame:
@@ -54,7 +57,7 @@ def absent(new: DataFrame, store: DataFrame, seq: str, url: str = "url") -> Data
 
 def drop_stored(pages: DataFrame, store: DataFrame, url: str = "url",
                 broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Pages whose URL the store lacks, found through the narrow URL column."""
+    """Pages whose URL a plain table lacks, found through the narrow URL column."""
     known = checkpointed(store.select(url).join(pages.select(url), url, "left_semi").distinct())
     return join_sized(pages, known, [url], "left_anti", broadcast_bytes=broadcast_bytes)
 
@@ -66,19 +69,29 @@ def keep_listed(pages: DataFrame, listed: DataFrame, url: str = "url",
     return join_sized(pages, wanted, [url], "left_semi", broadcast_bytes=broadcast_bytes)
 
 
+def open_store(spark: SparkSession, path: str, **options) -> BucketStore:
+    """The product store at ``path``, in hash buckets; made there if it is new."""
+    return BucketStore(spark, path, source.STORE, **options)
+
+
 def insert_if_absent(new: DataFrame, path: str, seq: str) -> None:
     """Append the absent rows. Running it again with the same rows adds none.
 
-    One writer per store: two at a time could both see a URL as absent.
+    Only buckets that may hold one of the new URLs are opened. One writer per store: two at a time
+    could both see a URL as absent.
     """
-    store = source.read_store(new.sparkSession, path)
-    absent(new, store, seq).drop(seq).write.mode("append").parquet(path)
-
-
-def compact(spark: SparkSession, path: str, target: str, files: int) -> None:
-    """Rewrite a store of many small appends into ``files`` files by URL range."""
-    (source.read_store(spark, path).repartitionByRange(files, "url")
-     .sortWithinPartitions("url").write.mode("errorifexists").parquet(target))
+    held = open_store(new.sparkSession, path)
+    # Settled on URL and number alone; whole rows are joined back only for URLs that are absent.
+    first = saved(new.groupBy("url").agg(F.min(seq).alias(seq)), "first-rows")
+    fresh = saved(held.drop_known(first), "absent-rows")
+    if not fresh.isEmpty():
+        rows = first_per_url(new.join(fresh, ["url", seq], "left_semi"), seq)
+        held.append(source.in_store_form(rows), fresh)
+
+
+def compact(spark: SparkSession, path: str, target: str) -> None:
+    """Rewrite a store of many small appends: a file per bucket, one bitmap per slot."""
+    open_store(spark, path).compact(target)
 
 
 def stored_count(store: DataFrame) -> DataFrame:

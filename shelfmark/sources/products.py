@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from shelfmark.schema import PRODUCT, PRODUCT_EXTRAS
 
@@ -11,19 +11,24 @@ STORE = T.StructType(PRODUCT.fields + PRODUCT_EXTRAS.fields)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The parquet store; an empty table before the first write.
+    """The rows of the store that ``operators.store`` keeps at ``path``; none before the first write.
 
-    A store that is there but cannot be read fails the job: it must not be
-    mistaken for an empty one.
+    A store that is there but cannot be read fails the job: it must not be mistaken for an empty one.
     """
     try:
-        return spark.read.schema(STORE).parquet(path)
+        return spark.read.schema(STORE).parquet(f"{path.rstrip('/')}/rows")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], STORE)
 
 
+def in_store_form(df: DataFrame) -> DataFrame:
+    """The columns of the store in order, NULL where ``df`` has none."""
+    return df.select(*(F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                       for f in STORE))
+
+
 def read_json(spark: SparkSession, path: str, *, layout: str = "array",
               strict: bool = True) -> DataFrame:
     """Products from JSON: one ``array`` per file, or ``lines`` (splittable).

@@ -15,7 +15,7 @@ from shelfmark.operators import gate, store
 from shelfmark.operators.markup import ExtractConfig
 from shelfmark.operators.products import extract_products
 from shelfmark.schema import PAGES
-from shelfmark.sources.products import read_store
+from shelfmark.sources.products import in_store_form
 
 
 def read_landing(spark: SparkSession, path: str, schema: T.StructType = PAGES,
@@ -37,37 +37,39 @@ def start_extract(pages: DataFrame, store_path: str, checkpoint: str, *,
                   **trigger) -> StreamingQuery:
     """Landed pages -> valid products -> store, once per URL, resumable.
 
-    Pages whose URL is stored already are dropped before they are parsed. A
-    batch that is run again after a failure finds its rows in the store and
-    adds none. ``on_saved`` sees the rows of each batch before they are written.
-    Pages are triaged as in the batch job; pages that could not be parsed are
-    appended to ``failed_path`` as (url, seq, error).
+    Pages whose URL is stored already are dropped before they are parsed; only buckets of the store that
+    may hold one of the batch's URLs are opened for that. A batch that is run again after a failure finds
+    its rows in the store and adds none. ``on_saved`` sees the rows of each batch before they are written.
+    Pages are triaged as in the batch job; pages that could not be parsed are written to ``failed_path``
+    as (url, seq, error) in a folder per batch, which a batch that is run again replaces.
     """
     def save(batch: DataFrame, batch_id: int) -> None:
-        stored = read_store(batch.sparkSession, store_path)
-        todo = store.drop_stored(batch, stored)
+        held = store.open_store(batch.sparkSession, store_path)
+        todo = held.drop_known(batch)
         if triage_pages:
             todo = triage.product_pages(todo)
-        made = extract_products(todo, keep=(seq,), config=config, locale=locale)
-        several = on_saved is not None or failed_path is not None
-        if several:  # the batch is parsed once, whoever looks at it
-            made = made.persist()
+        made = extract_products(todo, keep=(seq,), config=config, locale=locale).persist()  # parsed once
         try:
             if failed_path is not None:
-                gate.failed_pages(made, seq).write.mode("append").parquet(failed_path)
+                write_batch(gate.failed_pages(made, seq), failed_path, batch_id)
             good = gate.valid_products(made.where(F.col("_error").isNull())).drop("_error")
-            fresh = store.first_per_url(good, seq).drop(seq)
+            fresh = in_store_form(store.first_per_url(good, seq).drop(seq))
             if on_saved is not None:
                 on_saved(fresh, batch_id)
-            fresh.write.mode("append").parquet(store_path)
+            held.append(fresh)
         finally:
-            if several:
-                made.unpersist()
+            made.unpersist()
 
     return (pages.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    """A side output of one micro-batch; running the batch again replaces its own rows only."""
+    (rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+
+
 def distinct_urls(urls: DataFrame, within: str | None = None, ts: str = "ts") -> DataFrame:
     """Each URL once.
 

@@ -166,12 +166,44 @@ def test_insert_if_absent(spark, tmp_path):
     rows = {(r["url"], r["name"]) for r in source.read_store(spark, path).collect()}
     assert rows == {("u1", "Shirt"), ("u6", "first")}
     assert store.stored_count(source.read_store(spark, path)).first()[0] == 2
-    store.compact(spark, path, str(tmp_path / "compact"), 1)
+    store.compact(spark, path, str(tmp_path / "compact"))
     assert source.read_store(spark, str(tmp_path / "compact")).count() == 2
 
 
+def _scanned(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_inserts_open_few_buckets(spark, tmp_path):
+    held = store.open_store(spark, str(tmp_path / "store"), buckets=32)
+    named = lambda low, high: spark.range(low, high).select(F.format_string("u%d", "id").alias("url"))
+    held.append(source.in_store_form(named(0, 3000)))
+    assert held.may_hold(named(5000, 5020)) == [] or len(held.may_hold(named(5000, 5020))) < 4
+    fresh = held.drop_known(named(5000, 5003))
+    assert fresh.count() == 3
+    plan = _scanned(held.drop_known(named(2999, 3001)))  # one known, one new
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    assert "ReadSchema: struct<url:string>" in plan
+    assert [r.url for r in held.drop_known(named(2999, 3001)).collect()] == ["u3000"]
+    held.append(source.in_store_form(named(3000, 3010)))  # a second bitmap per slot
+    assert held.drop_known(named(0, 3020)).count() == 10 and held.read().count() == 3010
+    again = store.open_store(spark, str(tmp_path / "store"), buckets=7)  # the store keeps its own number
+    assert again.buckets == 32 and again.drop_known(named(0, 3010)).count() == 0
+    small = again.compact(str(tmp_path / "small"))
+    assert small.read().count() == 3010 and small.drop_known(named(3005, 3015)).count() == 5
+
+
+def test_first_row_of_a_url_that_comes_very_often(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") < 15_000, "hot").otherwise(F.format_string("u%d", F.col("id") % 900)).alias("url"),
+                                      (F.lit(20_000) - F.col("id")).alias("seq"), F.col("id").alias("name"))
+    rows = rows.unionByName(rows.where("url = 'hot'")).union(spark.createDataFrame([(None, 1, 5), (None, 2, 6)], "url string, seq long, name long"))
+    got = {r.url: r.name for r in store.first_per_url(rows, "seq").collect()}
+    assert len(got) == 902 and got["hot"] == 14_999 and got[None] == 5
+
+
 def test_unreadable_store_is_not_an_empty_one(spark, tmp_path):
-    (tmp_path / "part-0.parquet").write_text("no parquet")
+    (tmp_path / "rows").mkdir()
+    (tmp_path / "rows" / "part-0.parquet").write_text("no parquet")
     with pytest.raises(Exception):
         source.read_store(spark, str(tmp_path)).count()
 

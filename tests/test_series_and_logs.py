@@ -122,3 +122,25 @@ def test_plans_hold_at_scale(spark):
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint>" not in plans["status_dwell"]
     assert "ReadSchema: struct<page_id:bigint,url:string>" in plans["url_canon"]
     assert "MapInArrow" in plans["products_extract"]
+
+
+def test_even_chunks_of_crowded_times(spark):
+    """All rows in one hour, a third of them in one instant: chunks stay even and in order."""
+    n = F.col("id")
+    rows = spark.range(30_000).select(
+        F.when(n % 3 == 0, F.lit(1_800_000_000)).otherwise(F.lit(1_800_000_000) + (n * 7919) % 3600 - 1800)
+        .cast("timestamp").alias("ts"), "id", F.lit("w").alias("worker"), (n % 5).cast("string").alias("status"))
+    cut = series.even_chunk(rows, ["ts", "id"], parts=16)
+    sizes = [r["count"] for r in cut.groupBy("_chunk").count().collect()]
+    assert max(sizes) <= 2 * 30_000 / 16 and sum(sizes) == 30_000
+    ordered = [r["_chunk"] for r in cut.orderBy("ts", "id").select("_chunk").collect()]
+    assert ordered == sorted(ordered)
+    window = Window.partitionBy("worker").orderBy("ts", "id")
+    want = {(r.id, r.was) for r in rows.select("id", F.lag("status").over(window).alias("was")).collect()}
+    got = series.neighbours(cut, ["worker"], "_chunk", ["ts", "id"], previous={"was": "status"})
+    assert {(r.id, r.was) for r in got.collect()} == want
+    many = series.even_chunk(rows, ["ts", "id"], parts=200)
+    assert [r["_chunk"] for r in many.orderBy("ts", "id").select("_chunk").collect()] == sorted(
+        r["_chunk"] for r in many.select("_chunk").collect())
+    empty = series.even_chunk(rows.limit(0), ["ts", "id"])
+    assert series.running(empty, [], "_chunk", ["ts", "id"], sums={"n": F.col("id")}).count() == 0
