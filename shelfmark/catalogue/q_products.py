@@ -8,7 +8,8 @@ from shelfmark.catalogue import name_sql, render as r
 from shelfmark.catalogue.registry import query
 from shelfmark.functions import money, names
 from shelfmark.operators import products as p
-from shelfmark.operators.markup import parse_pages
+from shelfmark.operators.blocks import SpecLimits
+from shelfmark.operators.markup import ExtractConfig, parse_pages
 
 _H1 = ("replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&quot;', '\"'), '&amp;', '&')")
 
@@ -125,7 +126,7 @@ def description_struct(t):
                unnest([p_brand, p_type, p_size::VARCHAR, 'no. ' || (k % 7)]) AS value
         FROM ({r.SOURCE_SQL}) WHERE k % 3 <> 2)""")
 def attr_pairs(t):
-    raw = parse_pages(r.render_pages(t), ("description",))
+    raw = p.with_blocks(parse_pages(r.render_pages(t), ("description",)))
     return raw.select("url", F.posexplode("attrs").alias("pos", "a")).select("url", "pos", "a.key", "a.value")
 
 
@@ -143,10 +144,28 @@ def attr_explode(t):
 @query("spec_lines", f"""
     SELECT url, 'Fabric: Cotton ' || p_type AS spec FROM ({r.SOURCE_SQL}) WHERE k % 4 = 1""")
 def spec_lines(t):
-    raw = parse_pages(r.render_pages(t), ("description",))
+    raw = p.with_blocks(parse_pages(r.render_pages(t), ("description",)))
     return raw.select("url", F.explode("specs").alias("spec"))
 
 
+@query("spec_lines_whole", f"""
+    SELECT p_partkey, unnest(['Fabric: ' || trim(repeat(p_type || ' ', 60)),
+                              trim(repeat('long label ', 8)) || ': ' || p_name || ' a b c d e f']) AS spec FROM part
+    UNION ALL SELECT p_partkey, 'Second script: ' || p_brand AS spec FROM part WHERE p_partkey % 2 = 0""")
+def spec_lines_whole(t):
+    """Values, labels, texts behind a label and scripts beyond every limit of the contract."""
+    entry = '<div class="common-entry__content"><b>%s</b>%s</div>'
+    nodes = F.concat(*(F.format_string("<i>%s</i>", F.lit(x)) for x in "abcdef"))
+    first = F.concat(
+        F.format_string(entry, F.lit("Fabric:"), F.trim(F.repeat(F.concat("p_type", F.lit(" ")), 60))),
+        F.format_string(entry, F.concat(F.repeat(F.lit("long label "), 8), F.lit(":")), F.concat(F.lit("<u>"), "p_name", F.lit("</u>"), nodes)))
+    second = F.when(F.col("p_partkey") % 2 == 0, F.format_string(
+        f"<script>{entry}</script>", F.lit("Second script:"), F.col("p_brand"))).otherwise("")
+    pages = t.part.select("p_partkey", F.concat(F.lit("<html><script>"), first, F.lit("</script>"), second, F.lit("</html>")).alias("html"))
+    raw = p.with_blocks(parse_pages(pages, ("description",), keep=("p_partkey",), config=ExtractConfig(spec=SpecLimits())), SpecLimits())
+    return raw.select("p_partkey", F.explode("specs").alias("spec"))
+
+
 @query("goods_desc", f"SELECT url, 'Nice ' || p_type AS goods FROM ({r.SOURCE_SQL}) WHERE k % 4 = 2")
 def goods_desc(t):
     raw = parse_pages(r.render_pages(t), ("description",))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from shelfmark.catalogue import inputs as i, q_products, render as r
 from shelfmark.catalogue.registry import query
 from shelfmark.operators import gate, products as p, store
-from shelfmark.session import work_path
+from shelfmark.schema import PRODUCT_COLUMNS
+from shelfmark.session import saved, work_path
 from shelfmark.sources import products as source
 
 _BAD_NAME = "trim(name) IN ('', 'Unknown Product', 'None', 'none', 'null', 'N/A')"
@@ -155,3 +156,23 @@ def products_read(t):
     return back.select("url", "name", "product_name_safe", "sku",
                        F.array_join("available_sizes", ",").alias("sizes"),
                        "current_price_integer", "description", "is_international")
+
+
+@query("products_read_array", f"""
+    SELECT url, name, product_name_safe, sku, sizes, current_price_integer, description, is_international
+    FROM ({q_products.RECORDS_SQL})""")
+def products_read_array(t):
+    """All records as JSON arrays without line ends, one file per part, read piece by piece."""
+    path = work_path(t.spark, "products-array")
+    records = saved(p.extract_products(r.render_pages(t)).select(
+        F.to_json(F.struct(*PRODUCT_COLUMNS), {"ignoreNullFields": "false"}).alias("value")), "records")
+    numbered = records.select("value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("n"))
+    ends = numbered.groupBy("part").agg(F.min("n").alias("first"), F.max("n").alias("last"))  # a row per file
+    (numbered.join(F.broadcast(ends), "part")
+     .select(F.concat(F.when(F.col("n") == F.col("first"), "[").otherwise(", "), "value",
+                      F.when(F.col("n") == F.col("last"), "]").otherwise("")).alias("value"))
+     .write.option("lineSep", " ").text(path))
+    back = source.read_json(t.spark, path, layout="array")
+    return back.select("url", "name", "product_name_safe", "sku",
+                       F.array_join("available_sizes", ",").alias("sizes"),
+                       "current_price_integer", "description", "is_international")

@@ -31,7 +31,8 @@ def _truncate(c: Column, length: int) -> Column:
 
 
 def normalize_name(c: Column, replace_with: str = "", title: bool = True,
-                   length: int = fixed.NAME_LENGTH) -> Column:
+                   length: int | None = fixed.NAME_LENGTH) -> Column:
+    """A clean name, cut at ``length`` at a word border; None keeps it whole."""
     name = F.coalesce(c.cast("string"), F.lit(""))
     name = squeeze(F.regexp_replace(name, r"[\\/]+", " - "))
     name = F.regexp_replace(name, _DASHES, " - ")
@@ -44,11 +45,14 @@ def normalize_name(c: Column, replace_with: str = "", title: bool = True,
     else:
         name = squeeze(F.regexp_replace(name, f"[{_RESERVED}]", replace_with.replace("\\", "\\\\")))
     name = F.regexp_replace(_one_space(name), _DASH, " - ")
-    name = _truncate(F.rtrim(F.trim(name), F.lit("-/")), length)
+    name = F.rtrim(F.trim(name), F.lit("-/"))
+    if length is not None:
+        name = _truncate(name, length)
     name = F.regexp_replace(_one_space(name), _DASHES, " - ")
     return F.rtrim(F.trim(name), F.lit("-/"))
 
 
-def safe_name(c: Column, length: int = fixed.NAME_LENGTH) -> Column:
-    """Without characters that file systems reserve."""
-    return strip(F.left(F.regexp_replace(c, r'[<>:"/\\|?*]', ""), F.lit(length)))
+def safe_name(c: Column, length: int | None = fixed.NAME_LENGTH) -> Column:
+    """Without characters that file systems reserve; at most ``length`` characters, None for all."""
+    clean = F.regexp_replace(c, r'[<>:"/\\|?*]', "")
+    return strip(clean if length is None else F.left(clean, F.lit(length)))

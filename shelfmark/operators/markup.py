@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from shelfmark import fixed_values as fixed
+from shelfmark.operators.blocks import CONTRACT_LIMITS, SpecLimits
 
 _S = T.StringType()
 _STRINGS = T.ArrayType(_S)
-_PAIR = T.StructType([T.StructField("key", _S), T.StructField("value", _S)])
+_NODE = T.StructType([T.StructField("kind", _S), T.StructField("label", _S), T.StructField("text", _S)])
 _OPTION = T.StructType([T.StructField("aria", _S), T.StructField("classes", _STRINGS)])
 _SIZE = T.StructType([T.StructField("aria", _S), T.StructField("text", _S),
                       T.StructField("classes", _STRINGS)])
@@ -36,9 +37,8 @@ FIELDS: dict[str, list[T.StructField]] = {
     "price": [T.StructField("cur_json", _STRINGS), T.StructField("cur_c", _STRINGS),
               T.StructField("old_json", _STRINGS), T.StructField("old_c", _STRINGS),
               T.StructField("disc_c", _STRINGS)],
-    "description": [T.StructField("desc_c", _S), T.StructField("attrs", T.ArrayType(_PAIR)),
-                    T.StructField("frags", _STRINGS), T.StructField("specs", _STRINGS),
-                    T.StructField("goods_desc", _STRINGS)],
+    "description": [T.StructField("desc_c", _S), T.StructField("block", T.ArrayType(_NODE)),
+                    T.StructField("spec_texts", T.ArrayType(_STRINGS)), T.StructField("goods_desc", _STRINGS)],
     "shipping": [T.StructField("ship", T.ArrayType(T.ArrayType(_OPTION)))],
     "sizes": [T.StructField("sizes_el", T.ArrayType(_SIZE))],
     "sku": [T.StructField("sku_c", _S)],
@@ -59,6 +59,7 @@ class ExtractConfig:
     shipping: list = field(default_factory=lambda: fixed.SHIPPING_SELECTORS)
     size_class: str = fixed.SIZE_CLASS
     link_pattern: str = fixed.PRODUCT_LINK
+    spec: SpecLimits = CONTRACT_LIMITS
 
 
 # Elements without content, and elements whose strings are not page text.
@@ -279,77 +280,36 @@ def _attribute_block(page: PageNodes) -> int | None:
     return next(exact, named[0] if named else None)
 
 
-def _block_content(page: PageNodes, block: int) -> tuple[dict[str, str], list[str]]:
-    """Attribute pairs (first key wins) and the free text that is no pair."""
-    pairs: dict[str, str] = {}
-    rest: dict[str, None] = {}
-
-    def take(key: str, value: str) -> bool:
-        fresh = bool(key and value) and key not in pairs
-        if fresh:
-            pairs[key] = value
-        return fresh
-
+def _block_nodes(page: PageNodes, block: int) -> Iterator[tuple[str, str, str]]:
+    """(kind, label, text) of what may be an attribute: ready pairs, rows, then all free text."""
     for dl in page.within(block, "dl"):
-        for dt, dd in zip(page.within(dl, "dt"), page.within(dl, "dd")):
-            take(page.text(dt), page.text(dd))
-    for table in page.within(block, "table"):
-        for tr in page.within(table, "tr"):
-            cells = page.within(tr, "td", "th")
-            if len(cells) > 1:
-                take(page.text(cells[0]), page.text(cells[1]))
+        for names in zip(page.within(dl, "dt"), page.within(dl, "dd")):
+            yield "pair", *map(page.text, names)
+    rows = {n for table in page.within(block, "table") for n in page.within(table, "tr")}
+    for cells in (page.within(tr, "td", "th") for tr in sorted(rows)):
+        if len(cells) > 1:
+            yield "pair", page.text(cells[0]), page.text(cells[1])
+    bold: dict[int, int] = {}  # the first marked child of a row
+    for n in page.within(block, "b", "strong", "label"):
+        bold.setdefault(page.up[n], n)
     for row in page.within(block, "div", "li", "p", "span"):
-        whole = page.text(row)
-        if not whole:
-            continue
-        label = next((page.text(n) for n in page.within(row, "b", "strong", "label")
-                      if page.up[n] == row), "")
-        if label and take(label, whole.replace(label, "", 1).strip()):
-            continue
-        key, colon, value = whole.partition(":")
-        if not (colon and take(key.strip(), value.strip())):
-            rest[whole] = None
+        yield "row", page.text(bold[row]) if row in bold else "", page.text(row)
     for n in page.within(block, "p", "span", "li"):
-        rest[page.text(n)] = None
-    rest.pop("", None)
-    return pairs, list(rest)
+        yield "text", "", page.text(n)
 
 
-def _specifications(scripts: Iterable[str]) -> list[str]:
-    """``label: value`` lines from the first script that carries spec markup."""
+def _spec_texts(scripts: Iterable[str], limits: SpecLimits) -> list[list[str]]:
+    """The text nodes around the mark of each script that has it."""
+    out: list[list[str]] = []
     for text in scripts:
-        anchor = text.find(fixed.SPEC_ANCHOR)
-        if anchor < 0:
-            continue
-        again = text.find(fixed.SPEC_ANCHOR, anchor + 1)
-        stop = again if again >= 0 else anchor + fixed.SPEC_WINDOW
-        window = PageNodes(text[max(0, anchor - fixed.SPEC_BEFORE):stop])
-        return _spec_lines([s for s in map(str.strip, window.raw) if s])
-    return []
-
-
-def _spec_lines(texts: list[str]) -> list[str]:
-    noisy = [any(word in t for word in fixed.SPEC_NOISE) for t in texts]
-    heads = [":" in t and len(t) < fixed.SPEC_LABEL_BELOW for t in texts]
-    lines: dict[str, str] = {}
-    i = 0
-    while i < len(texts):
-        label = texts[i].replace(":", "").strip()
-        i += 1
-        if noisy[i - 1] or not heads[i - 1] or label in lines or len(label) <= fixed.SPEC_LABEL_ABOVE:
+        at = text.find(limits.mark)
+        if at < 0 or limits.scripts is not None and len(out) >= limits.scripts:
             continue
-        value: list[str] = []
-        j = i
-        while j < min(len(texts), i + fixed.SPEC_LOOKAHEAD) and not heads[j]:
-            if not noisy[j]:
-                value.append(texts[j])
-                if len(" ".join(value)) > fixed.SPEC_VALUE_STOP:
-                    break
-            j += 1
-        if value:
-            lines[label] = " ".join(value)
-            i = j
-    return [f"{label}: {value}" for label, value in lines.items()]
+        stop = len(text) if limits.window is None else at + limits.window
+        again = text.find(limits.mark, at + 1) if limits.until_next_mark else -1
+        nodes = PageNodes(text[max(0, at - limits.before):again if again >= 0 else stop])
+        out.append([s for s in map(str.strip, nodes.raw) if s])
+    return out
 
 
 # -- the candidate row ---------------------------------------------------------
@@ -394,14 +354,13 @@ def candidates(html: str, fields: tuple[str, ...], config: ExtractConfig) -> dic
         row["disc_c"] = page.first_texts(config.discount, "")
     if "description" in fields:
         block = _attribute_block(page)
-        pairs, rest = _block_content(page, block) if block is not None else ({}, [])
         outside = [s for n, s in page.scripts()
                    if block is None or not block < n < page.end[block]]
         first = next((n for s in config.description for n in page.select(s)), None)
         row["desc_c"] = None if first is None else page.text(first, "")
-        row["attrs"] = [{"key": k, "value": v} for k, v in pairs.items()]
-        row["frags"] = rest
-        row["specs"] = _specifications(outside)
+        row["block"] = [] if block is None else [
+            {"kind": kind, "label": label, "text": text} for kind, label, text in _block_nodes(page, block) if text]
+        row["spec_texts"] = _spec_texts(outside, config.spec)
         row["goods_desc"] = [t for s in outside if '"goods_desc"' in s or "'goods_desc'" in s
                              if (t := _goods_text(_load(s)))]
     if "shipping" in fields:

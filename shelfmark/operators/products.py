@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfmark import fixed_values as fixed
 from shelfmark.functions import money, names
 from shelfmark.functions.text import blank_to_null, strip, upper_first
+from shelfmark.operators.blocks import CONTRACT_LIMITS, SpecLimits, attribute_pairs, block_content, free_text, spec_lines
 from shelfmark.operators.markup import PRODUCT_FIELDS, ExtractConfig, parse_pages
 from shelfmark.schema import EXTRA_COLUMNS, PRODUCT_COLUMNS
 
@@ -16,9 +17,10 @@ def _first(values: Column) -> Column:
 
 
 def with_name(df: DataFrame) -> DataFrame:
-    """``name`` from the first selector whose cleaned text is not empty."""
+    """``name`` from the first selector whose cleaned text is not empty; ``name_whole`` is not cut."""
     cleaned = F.transform("name_c", lambda t: names.normalize_name(t))
     df = df.withColumn("name", F.coalesce(_first(cleaned), F.lit(fixed.UNKNOWN_NAME)))
+    df = df.withColumn("name_whole", _first(F.transform("name_c", lambda t: names.normalize_name(t, length=None))))
     return df.withColumn("product_name_safe", names.safe_name(F.col("name")))
 
 
@@ -80,7 +82,16 @@ def goods_text(raw: Column) -> Column:
     return F.filter(bare, lambda t: t != "")
 
 
-def with_description(df: DataFrame) -> DataFrame:
+def with_blocks(df: DataFrame, limits: SpecLimits = CONTRACT_LIMITS) -> DataFrame:
+    """``attrs``, ``frags`` and ``specs`` from the nodes that the mapper found."""
+    df = df.withColumn("_content", block_content(F.coalesce("block", F.array().cast(df.schema["block"].dataType))))
+    return (df.withColumn("attrs", attribute_pairs(F.col("_content"))).withColumn("frags", free_text(F.col("_content")))
+            .withColumn("specs", spec_lines(F.coalesce("spec_texts", F.array().cast("array<array<string>>")), limits))
+            .drop("_content", "block", "spec_texts"))
+
+
+def with_description(df: DataFrame, limits: SpecLimits = CONTRACT_LIMITS) -> DataFrame:
+    df = with_blocks(df, limits)
     blocks = F.concat(
         F.array(F.when(F.col("desc_c") != "", upper_first(F.col("desc_c"))),
                 strip(F.array_join("frags", "\n\n")),
@@ -149,9 +160,15 @@ def with_sku(df: DataFrame) -> DataFrame:
 
 
 def with_reviews(df: DataFrame, length: int = fixed.REVIEW_LENGTH) -> DataFrame:
+    """``reviews`` as the contract cuts it, ``reviews_whole`` uncut and NULL where there is none."""
     own = F.when(F.rlike("review_c", F.lit(r"[Rr]eview|\(")), F.col("review_c"))
     text = F.coalesce(own, F.col("review_sib"))
-    return df.withColumn("reviews", F.coalesce(F.left(text, F.lit(length)), F.lit(fixed.MISSING)))
+    return (df.withColumn("reviews", F.coalesce(F.left(text, F.lit(length)), F.lit(fixed.MISSING)))
+            .withColumn("reviews_whole", text))
+
+
+def _limits(config: ExtractConfig | None) -> SpecLimits:
+    return (config or ExtractConfig()).spec
 
 
 _STEPS = {"name": with_name, "price": with_prices, "description": with_description,
@@ -164,7 +181,7 @@ def extract_fields(pages: DataFrame, *fields: str, keep: tuple[str, ...] = ("url
     """Parse once and add only the product columns of the named fields."""
     df = parse_pages(pages, fields, keep=keep, html=html, config=config)
     for name in fields:
-        df = _STEPS[name](df)
+        df = _STEPS[name](df, _limits(config)) if name == "description" else _STEPS[name](df)
     return df
 
 
@@ -176,14 +193,14 @@ def extract_products(pages: DataFrame, *, keep: tuple[str, ...] = (),
     Rows whose page could not be parsed stay, with the reason in ``_error``.
     """
     df = parse_pages(pages, PRODUCT_FIELDS, keep=("url", *keep), config=config)
-    df = with_description(with_prices(with_name(df), locale))
+    df = with_description(with_prices(with_name(df), locale), _limits(config))
     df = with_shipping(with_sizes(df, strict_tokens, exclude_shipping))
     df = with_reviews(with_sku(df))
     return df.select(*PRODUCT_COLUMNS, *EXTRA_COLUMNS, *keep, "_error")
 
 
-def summary(length: int = fixed.SUMMARY_LENGTH) -> Column:
-    """One printable line per product."""
+def summary(length: int | None = fixed.SUMMARY_LENGTH) -> Column:
+    """One printable line per product; without a length the description is whole."""
     old = F.when(F.col("old_price_integer") != fixed.MISSING,
                  F.col("old_price_decimal")).otherwise(F.lit(fixed.MISSING))
     return F.format_string(
@@ -191,7 +208,7 @@ def summary(length: int = fixed.SUMMARY_LENGTH) -> Column:
         F.col("name"), F.col("sku"), F.col("reviews"), F.array_join("available_sizes", ", "),
         F.col("old_price_integer"), old, F.col("current_price_integer"),
         F.col("current_price_decimal"), F.col("discount_percentage"),
-        F.left("description", F.lit(length)))
+        F.col("description") if length is None else F.left("description", F.lit(length)))
 
 
 def card(call: str = "Find it online:") -> Column:

@@ -24,12 +24,14 @@ PRODUCT = T.StructType([
     T.StructField("is_international", T.BooleanType()),
 ])
 
-# Typed companions of the text columns; NULL where the text holds a sentinel.
+# Typed and uncut companions of the text columns; NULL where the text holds a sentinel.
 PRODUCT_EXTRAS = T.StructType([
     T.StructField("current_price", T.DecimalType(18, 2)),
     T.StructField("old_price", T.DecimalType(18, 2)),
     T.StructField("discount_pct", T.IntegerType()),
     T.StructField("shipping_status", T.StringType()),
+    T.StructField("name_whole", T.StringType()),
+    T.StructField("reviews_whole", T.StringType()),
 ])
 
 PRODUCT_COLUMNS = PRODUCT.fieldNames()

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from shelfmark.schema import PRODUCT, PRODUCT_EXTRAS
+from shelfmark.sources.json_arrays import parse_records, read_records
 
 STORE = T.StructType(PRODUCT.fields + PRODUCT_EXTRAS.fields)
 
@@ -31,17 +32,34 @@ def in_store_form(df: DataFrame) -> DataFrame:
 
 def read_json(spark: SparkSession, path: str, *, layout: str = "array",
               strict: bool = True) -> DataFrame:
-    """Products from JSON: one ``array`` per file, or ``lines`` (splittable).
+    """Products from JSON: one ``array`` per file, of any size, or ``lines``.
 
-    ``strict`` fails on a broken file, as a write must; without it broken
-    records are dropped, as the resume step wants.
+    ``strict`` fails on a broken record, as a write must; without it broken records are left out, as the
+    resume step wants; ``broken_json`` returns and so counts them. Both layouts are read in parallel.
     """
     if layout not in ("array", "lines"):
         raise ValueError(f"unknown layout {layout!r}")
-    mode = "FAILFAST" if strict else "DROPMALFORMED"
-    return spark.read.schema(PRODUCT).options(multiLine=layout == "array", mode=mode).json(path)
+    if layout == "lines":
+        return spark.read.schema(PRODUCT).options(mode="FAILFAST" if strict else "DROPMALFORMED").json(path)
+    rows = _array_rows(spark, path)
+    if not strict:
+        rows = rows.where("_broken IS NULL")
+    else:
+        broken = F.raise_error(F.concat(F.lit("broken product record: "), F.left("_broken", F.lit(200))))
+        rows = rows.withColumn("url", F.when(F.col("_broken").isNotNull(), broken.cast("string")).otherwise(F.col("url")))
+    return rows.select(*PRODUCT.fieldNames())
+
+
+def broken_json(spark: SparkSession, path: str) -> DataFrame:
+    """file, number and text of the records of JSON arrays that ``read_json(strict=False)`` leaves out."""
+    return _array_rows(spark, path).where("_broken IS NOT NULL").select("file", "number", F.col("_broken").alias("record"))
+
+
+def _array_rows(spark: SparkSession, path: str) -> DataFrame:
+    return parse_records(read_records(spark, path), PRODUCT)
 
 
 def write_json(df: DataFrame, path: str) -> None:
     """JSON lines in contract order, text kept as it is."""
     df.select(*PRODUCT.fieldNames()).write.mode("errorifexists").json(path)
+

@@ -222,6 +222,40 @@ def test_json_store(spark, tmp_path):
         source.read_json(spark, str(bad)).collect()
 
 
+@pytest.mark.parametrize("indent", [None, 0, 2])
+def test_arrays_are_read_from_any_offset(spark, tmp_path, indent):
+    nasty = ['a"}{[', "}", "\\", '\\"', "][}{,", "é}\n", "", '{"url": "no"}']
+    records = [{"url": f"u{n} {nasty[n % 8]}", "name": nasty[(n * 3) % 8] * (n % 5), "available_sizes": [nasty[n % 8], "S"],
+                "description_structured": {"text": nasty[(n + 1) % 8], "attributes": {nasty[(n + 2) % 8]: "}{"}}} for n in range(400)]
+    for part in range(2):
+        (tmp_path / f"{part}.json").write_text(json.dumps(records[part::2], indent=indent, ensure_ascii=False))
+    (tmp_path / "empty.json").write_text("[]")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "997")  # dozens of tasks, cut anywhere
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        df = source.read_json(spark, str(tmp_path))
+        rows = {r["url"]: r for r in df.collect()}
+        from shelfmark.sources import json_arrays
+        assert json_arrays._pieces(spark, str(tmp_path)).rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(rows) == 400
+    for record in records:
+        row = rows[record["url"]].asDict(recursive=True)
+        assert {k: row[k] for k in record} == record
+
+
+def test_broken_records_of_arrays_are_returned(spark, tmp_path):
+    path = tmp_path / "a.json"
+    path.write_text('[{"url": "u"}, {"url": 5 x}, {"url": "w", "available_sizes": ["S"')
+    assert [r["url"] for r in source.read_json(spark, str(path), strict=False).collect()] == ["u"]
+    assert [(r["number"], r["record"]) for r in source.broken_json(spark, str(path)).orderBy("number").collect()] == [
+        (1, '{"url": 5 x}'), (2, '{"url": "w", "available_sizes": ["S"')]
+    with pytest.raises(Exception, match="broken product record"):
+        source.read_json(spark, str(path)).collect()
+
+
 def test_scrape_plan(spark):
     page = '<h1>%s</h1><div id="productMainPriceId">$5.00</div> add to bag'
     pages = spark.createDataFrame([

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from decimal import Decimal
 
 import pytest
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import triage
 from shelfmark.operators import gate, products
-from shelfmark.operators.markup import ExtractConfig, candidates
+from shelfmark.operators.blocks import CONTRACT_LIMITS, SpecLimits
+from shelfmark.operators.markup import ExtractConfig, candidates, parse_pages
 
 JSON = '<script type="application/json">%s</script>'
 RADIO = '<div class="product-intro__size-radio%s"%s>%s</div>'
@@ -100,28 +102,96 @@ def test_page(extracted, page):
     assert got["description_structured"]["attributes"] == {}
 
 
-def test_attributes_first_key_wins():
-    page = ('<div name="ProductIntroDescription"><dl><dt>Color</dt><dd>Red</dd></dl>'
-            "<table><tr><td>Color</td><td>Blue</td></tr><tr><th>Material</th><td>Zinc</td></tr></table>"
-            "<ul><li><b>Style:</b> Casual</li></ul><p>Element: Cartoon</p><script>bad: x</script></div>")
-    row = candidates(page, ("description",), ExtractConfig())
-    assert [(a["key"], a["value"]) for a in row["attrs"]] == [
-        ("Color", "Red"), ("Material", "Zinc"), ("Style:", "Casual"), ("Element", "Cartoon")]
-    assert row["frags"] == ["Style: Casual", "Element: Cartoon"]
+def blocks_of(spark, *pages):
+    df = spark.createDataFrame([(n, page) for n, page in enumerate(pages)], "n int, html string")
+    made = products.with_blocks(parse_pages(df, ("description",), keep=("n",)))
+    return [r for r in made.orderBy("n").collect()]
 
 
-def test_parent_row_becomes_one_long_pair():
-    page = ('<div name="ProductIntroDescription"><div>Details: <p>Color: Red</p><p>Fit: Slim</p></div></div>')
-    row = candidates(page, ("description",), ExtractConfig())
-    assert [(a["key"], a["value"]) for a in row["attrs"]] == [
+def test_attributes_first_key_wins(spark):
+    first = ('<div name="ProductIntroDescription"><dl><dt>Color</dt><dd>Red</dd></dl>'
+             "<table><tr><td>Color</td><td>Blue</td></tr><tr><th>Material</th><td>Zinc</td></tr></table>"
+             "<ul><li><b>Style:</b> Casual</li></ul><p>Element: Cartoon</p><script>bad: x</script></div>")
+    parent = '<div name="ProductIntroDescription"><div>Details: <p>Color: Red</p><p>Fit: Slim</p></div></div>'
+    one, two, none = blocks_of(spark, first, parent, "<p>Color: Red</p>")
+    assert [(a["key"], a["value"]) for a in one["attrs"]] == [
+        ("Color", "Red"), ("Material", "Zinc"), ("Style:", "Casual"), ("Element", "Cartoon")]
+    assert one["frags"] == ["Style: Casual", "Element: Cartoon"]
+    assert [(a["key"], a["value"]) for a in two["attrs"]] == [
         ("Details", "Color: Red Fit: Slim"), ("Color", "Red"), ("Fit", "Slim")]
+    assert none["attrs"] == [] and none["frags"] == [] and none["specs"] == []
 
 
-def test_spec_lines_skip_noise_and_stop_at_labels():
+def test_spec_lines_skip_noise_and_stop_at_labels(spark):
     spec = ("<script>x = '<div class=\"common-entry__content\"><b>Fabric:</b><i>Cotton</i><i>pago 3</i>"
             "<i>soft</i><b>Fabric:</b><i>no</i><b>A:</b><i>short label</i><b>Care:</b></div>'</script>")
-    row = candidates(spec, ("description",), ExtractConfig())
-    assert row["specs"] == ["Fabric: Cotton soft", "Care: '"]
+    assert blocks_of(spark, spec)[0]["specs"] == ["Fabric: Cotton soft", "Care: '"]
+
+
+def plain_block(nodes):
+    pairs, rest = {}, []
+    for kind, label, text in nodes:
+        tried = [(label, text)] if kind == "pair" else []
+        if kind == "row":
+            tried = [(label, text.replace(label, "", 1).strip() if label else "")]
+            key, colon, said = text.partition(":")
+            tried += [(key.strip(), said.strip())] if colon else []
+        done = next(((k, v) for k, v in tried if k and v and k not in pairs), None)
+        if done:
+            pairs[done[0]] = done[1]
+        elif kind != "pair":
+            rest.append(text)
+    return list(pairs.items()), [t for t in dict.fromkeys(rest) if t]
+
+
+def plain_specs(texts, limits):
+    lines, label, value, seen = {}, None, [], 0
+    for t in [*texts, None]:
+        head = t is not None and ":" in t and (limits.label_below is None or len(t) < limits.label_below)
+        noisy = t is not None and any(w in t for w in limits.noise)
+        if label is not None and t is not None and not head and (limits.lookahead is None or seen < limits.lookahead):
+            seen += 1
+            value += [] if noisy else [t]
+            if noisy or limits.value_stop is None or len(" ".join(value)) <= limits.value_stop:
+                continue
+            lines[label], label, value = " ".join(value), None, []
+            continue
+        if label is not None and value:
+            lines[label] = " ".join(value)
+        label, value, seen = None, [], 0
+        name = (t or "").replace(":", "").strip()
+        if head and not noisy and name not in lines and len(name) > limits.label_above:
+            label = name
+    return [f"{k}: {v}" for k, v in lines.items()]
+
+
+def test_folds_equal_plain_loops(spark):
+    r = random.Random(11)
+    word = lambda: r.choice(["Color", "Fit", "Red", "a b", "x", "", "Size:", "Fit: Slim", "Color: Red", "Note: a: b", ": z", "w" * 60, "pago", "S" * 55 + ":"])
+    rows = []
+    for n in range(300):
+        nodes = []
+        for _ in range(r.randrange(9)):
+            label = r.choice(["", "Color", "Fit:", "Size"])
+            kind = r.choice(["pair", "row", "row", "text"])
+            text = (label + " " if kind == "row" else "") + " ".join(word() for _ in range(r.randrange(1, 4)))
+            nodes.append((kind, label, text.strip()))
+        rows.append((n, nodes, [[t for t in (word() for _ in range(r.randrange(14))) if t] for _ in range(r.randrange(3))]))
+    df = spark.createDataFrame(rows, "n int, block array<struct<kind:string,label:string,text:string>>, spec_texts array<array<string>>")
+    for limits in (CONTRACT_LIMITS, SpecLimits(), SpecLimits(lookahead=1), SpecLimits(value_stop=5, label_below=8)):
+        for row in products.with_blocks(df, limits).collect():
+            _, nodes, texts = rows[row["n"]]
+            pairs, rest = plain_block(nodes)
+            assert [(a["key"], a["value"]) for a in row["attrs"]] == pairs and row["frags"] == rest
+            assert row["specs"] == list(dict.fromkeys(x for t in texts for x in plain_specs(t, limits)))
+
+
+def test_whole_texts_beside_the_short_ones(spark):
+    name, review = "Long " * 40 + "Name", "Reviews (12) " + "very good " * 30
+    page = f'<h1>{name}</h1><div id="productMainPriceId">$5.00</div><div class="common-reviews">{review}</div>'
+    row = products.extract_products(spark.createDataFrame([("u", page)], "url string, html string")).first()
+    assert len(row["name"]) <= 80 and row["name_whole"] == name and row["reviews_whole"] == review.strip()
+    assert row["reviews"] == review[:50]
 
 
 def test_goods_desc_every_script_and_first_string(spark):
