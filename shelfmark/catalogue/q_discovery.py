@@ -10,6 +10,7 @@ from shelfmark.catalogue.registry import query
 from shelfmark.functions import triage
 from shelfmark.functions.text import words_found
 from shelfmark.operators import discovery as d
+from shelfmark.plans import lifecycle
 from shelfmark.sources.categories import category_dim
 
 # Caps that fall inside the data from scale 0.01 on; the second counts the seed.
@@ -121,6 +122,20 @@ def discovery_capped(t):
     return d.discover(_pages(t), _links(t), seed=_seed(t), max_urls=MAX_URLS).select("url")
 
 
+@query("discovery_total", f"({_walk(1000000000)}) UNION {_SEED}")
+def discovery_total(t):
+    """The whole result of a run: what an earlier run had, and what is new."""
+    return lifecycle.discover_urls(i.listing_pages(t), i.ORIGIN, seed=_seed(t), pattern="/", blocked=i.LISTING_BLOCKED)
+
+
+@query("links_by_pattern", f"SELECT p_partkey, '{i.ORIGIN}/x-p-' || p_partkey || '.html' AS url FROM part")
+def links_by_pattern(t):
+    """Product links among others, told apart by the default pattern."""
+    pages = t.part.select("p_partkey", F.format_string(
+        '<a href="/about">a</a><a href="/x-p-%d.html?from=list#top">b</a><a name="x-p-1">c</a>', "p_partkey").alias("html"))
+    return d.extract_links(pages, i.ORIGIN, keep=("p_partkey",))
+
+
 _DIM = "(VALUES " + ", ".join(
     f"({n}, '{name}', '{i.ORIGIN}{path}')" for n, name, path in fixed.CATEGORIES) + ") AS c(category_id, name, url)"
 

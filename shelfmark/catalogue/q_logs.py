@@ -101,6 +101,19 @@ def status_snapshot(t):
     return oplog.snapshot(i.states(t))
 
 
+_NOW, _HELD = "2024-01-15 12:00:00", 86400
+
+
+@query("status_cooldown_at", f"""
+    SELECT worker, status, CASE WHEN status = 'BLOCKED' THEN greatest(0, floor(
+        (us + {_HELD}000000 - epoch_us(TIMESTAMP '{_NOW}')) / 1000000.0::DOUBLE)::BIGINT) ELSE 0 END AS cooldown_s
+    FROM (SELECT worker, arg_max(status, (ts, id)) AS status, epoch_us(max(ts)) AS us
+          FROM ({i.STATES_SQL}) WHERE ts <= TIMESTAMP '{_NOW}' GROUP BY worker)""")
+def status_cooldown_at(t):
+    """States at a time inside the log, when cooldowns of a day are still running."""
+    return oplog.snapshot(i.states(t), seconds=_HELD, now=F.lit(_NOW).cast("timestamp_ntz"))
+
+
 @query("status_available", f"SELECT worker FROM ({_SNAPPED}) WHERE status = 'AVAILABLE'")
 def status_available(t):
     return oplog.in_state(oplog.snapshot(i.states(t)))

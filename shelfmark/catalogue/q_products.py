@@ -120,6 +120,27 @@ def description_struct(t):
                       F.try_element_at(d["attributes"], F.lit("Brand")).alias("brand"))
 
 
+@query("selector_table", """
+    SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_name END AS name FROM part""")
+def selector_table(t):
+    """Selectors of another site: its own heading first, a label second."""
+    k = F.col("p_partkey")
+    pages = t.part.select("p_partkey", F.concat(
+        F.lit("<h1>no name here</h1>"), F.when(k % 3 == 0, "<h2 class='title'> </h2>").otherwise(
+            F.format_string("<h2 class='big title'>%s</h2>", "p_name")),
+        F.format_string("<b data-role='brand'>%s</b>", "p_brand")).alias("html"))
+    own = ExtractConfig(name=[("h2", "class", "is", "title"), ("b", "data-role", "is", "brand")])
+    raw = parse_pages(pages, ("name",), keep=("p_partkey",), config=own)
+    return raw.select("p_partkey", F.get(F.filter("name_c", lambda c: c != ""), F.lit(0)).alias("name"))
+
+
+@query("name_options", "SELECT p_partkey, p_name || '_' || p_type || ' xl' AS name FROM part")
+def name_options(t):
+    """Reserved signs replaced, not dropped, and casing left alone."""
+    raw = F.concat("p_name", F.lit("?"), "p_type", F.lit(",  xl "))
+    return t.part.select("p_partkey", names.normalize_name(raw, replace_with="_", title=False).alias("name"))
+
+
 @query("attr_pairs", f"""
     SELECT url, idx - 1 AS pos, key, value FROM (
         SELECT url, unnest([1, 2, 3, 4]) AS idx, unnest(['Brand', 'Type', 'Size', 'Pack']) AS key,

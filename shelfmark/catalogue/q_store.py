@@ -102,6 +102,15 @@ def resume_limit(t):
     return store.limit_work(left, 500).select("url")
 
 
+@query("resume_limit_half", f"""
+    SELECT url FROM ({i.WORK_SQL}) WHERE url NOT IN ({_DONE}) ORDER BY lower(url), url
+    LIMIT (SELECT count(*) // 2 FROM orders)""")
+def resume_limit_half(t):
+    """A target of half the table."""
+    left = store.remaining(i.work_list(t), i.order_store(t))
+    return store.limit_work(left, t.orders.count() // 2).select("url")
+
+
 @query("progress_counts", f"""
     SELECT count(*) AS total, count(*) FILTER (url IN ({_DONE})) AS filtered_out,
            count(*) FILTER (url NOT IN ({_DONE})) AS remaining FROM ({i.WORK_SQL})""")

@@ -27,6 +27,19 @@ def discovery_seed(t):
     return files.seed_urls(i.url_lines(t))
 
 
+@query("seed_from_list", f"""
+    SELECT DISTINCT url FROM (
+        SELECT {i.canonical_sql('url')} AS url FROM (SELECT trim(url) AS url FROM pages WHERE page_id % 3 = 0)
+        UNION ALL SELECT {i.canonical_sql('url')} FROM (SELECT trim(url) AS url FROM pages WHERE page_id % 5 = 0))""")
+def seed_from_list(t):
+    """A list with header and comments that two runs have appended to, read back as seed."""
+    path = work_path(t.spark, "found-list")
+    files.write_clean_list(t.pages.where("page_id % 3 = 0").select("url"), path)
+    files.append_found(t.pages.where("page_id % 5 = 0").select("url"), path)
+    t.pages.limit(1).select(F.lit("  # a comment of a user").alias("value")).write.mode("append").text(path)
+    return files.read_seed(t.spark, path)
+
+
 @query("url_list_write", f"""
     SELECT line AS value, 2::BIGINT AS copies
     FROM (SELECT DISTINCT regexp_replace(line, '\\s+', ' ') AS line FROM ({i.PREPROCESSED_SQL}))""")

@@ -127,7 +127,7 @@ def even_chunk(df: DataFrame, order: list[str], name: str = "_chunk", *, parts:
     first, rest = _number(df, order[0]), order[1:]
     shares = [n / parts for n in range(1, parts)]
     cuts = df.agg(F.percentile_approx(first, shares, 16 * parts)).head()[0] or []
-    chunk = _at_most(first, sorted(set(cuts)))
+    chunk = at_most(first, sorted(set(cuts)))
     crowded = sorted({c for c in cuts if cuts.count(c) > 1})
     if not crowded or not rest:
         return df.withColumn(name, F.struct(chunk.alias("a"), F.lit(0).alias("b")))
@@ -137,7 +137,7 @@ def even_chunk(df: DataFrame, order: list[str], name: str = "_chunk", *, parts:
     # Chunks begin at a cut: rows at it come first, cut by the second column, then the rows behind it.
     within = F.lit(0)
     for value in crowded:
-        here = _at_most(second, inner.get(value, []))
+        here = at_most(second, inner.get(value, []))
         within = F.when(first == value, here).when(chunk == _place(sorted(set(cuts)), value), F.lit(1 << 20)).otherwise(within)
     return df.withColumn(name, F.struct(chunk.alias("a"), within.alias("b")))
 
@@ -153,7 +153,7 @@ def _place(cuts: list, value) -> int:
     return sum(c <= value for c in cuts)
 
 
-def _at_most(value: Column, cuts: list) -> Column:
+def at_most(value: Column, cuts: list) -> Column:
     """How many of the sorted cuts are not above a value, by binary search; 0 for NULL."""
     if len(cuts) <= 64:  # small enough to be compiled
         def among(low: int, high: int) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from shelfmark import fixed_values as fixed
 from shelfmark.functions.text import strip
 from shelfmark.operators.buckets import BucketStore
+from shelfmark.operators.series import at_most
 from shelfmark.operators.sizing import BROADCAST_BYTES, join_sized
 from shelfmark.session import checkpointed, saved
 from shelfmark.sources import products as source
@@ -25,10 +26,41 @@ def remaining(work: DataFrame, store: DataFrame, url: str = "url") -> DataFrame:
     return work.join(done, url, "left_anti")
 
 
+#: Random lines whose order keys cut the list into ranges, and lines of the border range that are sorted as a whole.
+CUTS = 512
+SORTED_LINES = 1 << 20
+
+
 def limit_work(work: DataFrame, target: int, line: str = "line") -> DataFrame:
-    """The first ``target`` lines in list order; 0 means all of them."""
-    ordered = work.orderBy(F.lower(line), F.col(line))
-    return ordered.limit(target) if target > 0 else ordered
+    """The first ``target`` lines in list order; 0 means all of them.
+
+    Random lines cut the list into ranges. Ranges are counted; those in front of the border stay as they are,
+    unsorted, and only the range that the border falls into is ranked, so no task merges the target.
+    The result does not depend on the lines drawn. Rows are in list order only for target 0.
+    """
+    if target <= 0:
+        return work.orderBy(F.lower(line), F.col(line))
+    low = F.coalesce(F.lower(line), F.lit(""))
+    key = F.concat(low, F.lit("\0"), F.coalesce(F.col(line), F.lit("")))  # sorts as (lower, line) does
+    front, rest = None, saved(work, "work")
+    while True:
+        drawn = rest.select(key.alias("k"), F.rand(target).alias("r")).orderBy("r").limit(CUTS).select("k").collect()
+        cuts = sorted({r.k for r in drawn})
+        place = at_most(key, cuts)
+        counts = dict(rest.groupBy(place.alias("p")).count().collect())
+        before, border = 0, 0
+        for border in sorted(counts):
+            if before + counts[border] >= target:
+                break
+            before += counts[border]
+        else:
+            border += 1
+        ahead = rest.where(place < border)
+        front, target = ahead if front is None else front.union(ahead), target - before
+        rest = rest.where(place == border)
+        size = counts.get(border, 0)
+        if size <= SORTED_LINES or len(counts) == 1:
+            return front.union(rest.orderBy(F.lower(line), F.col(line)).limit(target))
 
 
 def progress(work: DataFrame, store: DataFrame, url: str = "url") -> DataFrame:

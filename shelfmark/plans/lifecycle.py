@@ -20,13 +20,13 @@ def clean_list(lines: DataFrame, rule: str = "recommended") -> DataFrame:
 
 def discover_urls(pages: DataFrame, origin: str, *, seed: DataFrame | None = None,
                   max_urls: int | None = None, pattern: str | None = None,
-                  failed_path: str | None = None) -> DataFrame:
+                  blocked: list[str] | None = None, failed_path: str | None = None) -> DataFrame:
     """Listing pages (cat_idx, page_num, page_url, html) to the collected URLs.
 
     Pages that could not be parsed are neither empty nor new; ``failed_path``
     gets their (cat_idx, page_num, error).
     """
-    marked = discovery.mark_blocked(pages)
+    marked = discovery.mark_blocked(pages, *([] if blocked is None else [blocked]))
     options = {} if pattern is None else {"pattern": pattern}
     parsed = checkpointed(discovery.parse_links(marked.where(~F.col("blocked")), origin, **options))
     if failed_path is not None:

@@ -156,6 +156,17 @@ def test_resume(spark):
     assert store.progress(work, stored).first()[:] == (5, 2, 3)
 
 
+def test_limit_ranks_only_the_border(spark, monkeypatch):
+    monkeypatch.setattr(store, "CUTS", 8)
+    monkeypatch.setattr(store, "SORTED_LINES", 50)
+    lines = [f"{'aB'[n % 2]}{(n * 37) % 400:03d}" for n in range(1000)] + ["same"] * 300 + ["Same"] * 10
+    work = spark.createDataFrame([(x,) for x in lines], "line string")
+    ordered = sorted(lines, key=lambda x: (x.lower(), x))
+    for target in (1, 499, 1100, 1305, 5000):
+        assert sorted(column(store.limit_work(work, target), "line"), key=lambda x: (x.lower(), x)) == ordered[:target]
+    assert store.limit_work(work.limit(0), 5).count() == 0
+
+
 def test_insert_if_absent(spark, tmp_path):
     path = str(tmp_path / "store")
     schema = "url string, name string, seq long"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators import gate, oplog, products
@@ -71,3 +72,25 @@ def test_retry_state_equals_batch(spark, tmp_path):
     columns = ["attempt_id", "retry_no", "outcome"]
     got = {tuple(r) for r in spark.read.parquet(out).select(columns).collect()}
     assert got == {tuple(r) for r in oplog.retry_outcomes(files).select(columns).collect()}, schema
+
+
+def test_a_batch_that_runs_again_replaces_its_failures(spark, tmp_path):
+    """The job dies between the side output and the store; the batch is run again."""
+    landed, path = str(tmp_path / "landed"), str(tmp_path / "store")
+    rows = [(n, f"u{n}", PAGE % (f"thing {n}", n)) for n in range(1, 5)] + [(9, "bad", "<![bad[x]]>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(landed)
+
+    def run(on_saved):
+        pages = landing.read_landing(spark, landed)
+        landing.start_extract(pages, path, str(tmp_path / "cp"), failed_path=f"{path}-failed", triage_pages=False,
+                              on_saved=on_saved).awaitTermination()
+
+    def die(df, batch_id):
+        raise RuntimeError("lost")
+    with pytest.raises(Exception):
+        run(die)
+    assert spark.read.parquet(f"{path}-failed").count() == 1 and read_store(spark, path).count() == 0
+    run(lambda df, batch_id: None)
+    failed = spark.read.parquet(f"{path}-failed").collect()
+    assert [(r["url"], r["seq"]) for r in failed] == [("bad", 9)] and failed[0]["error"].startswith("AssertionError")
+    assert read_store(spark, path).count() == 4
