@@ -12,6 +12,9 @@ Documents are range-partitioned by id once and encoded while the files are writt
 the ids of one file at most. Files are written under a name of their own attempt and then renamed, so
 a task that runs again leaves the same files.
 
+Texts are encoded as the library does by default, without special tokens added: a text that holds the
+name of an added token, such as ``<|endoftext|>``, gets that token's id there.
+
 Defined cases: a null or empty text has only the end id; rows with a null id come first; rows that
 repeat an id lie in the order of their texts; an empty table gives no files; other columns are not
 read.
@@ -44,7 +47,8 @@ _HEAD = "<4sBQq3Q"
 class PieceEncoder:
     """Encodes texts piece by piece between blanks, remembering the pieces it has met.
 
-    For tokenizers whose pattern drops white space, so that no token reaches over a blank. New pieces
+    For tokenizers whose pattern drops white space, so that no token reaches over a blank. Names of added
+    tokens inside a piece are left to the library: they have their own id, as by its default. New pieces
     are encoded many at a time, with a mark between them whose id nothing else can have. Pieces of
     printable ASCII without apostrophes go to the library's BPE model directly, letters, digits and signs
     apart, provided that the whole tokenizer gives the same ids for the probes.
@@ -61,7 +65,10 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        #: Names that stand for one id wherever they are in a text, as the library has it by default.
+        self.names = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.starts = {sign for name in self.names for sign in name[:1] + name[:1].upper()}
+        self.piecewise = not any(re.search(r"\s", name) for name in self.names)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.known: dict[str, bytes] = {"": b""}
@@ -76,10 +83,11 @@ class PieceEncoder:
     def of_worker(cls, path: str) -> PieceEncoder:
         """The encoder of this Python worker, which Spark uses for many tasks.
 
-        This module travels with each task, so what outlives a task is kept on the library's module.
+        This module travels with each task, so what outlives a task is kept in a module of its own.
         """
-        import tokenizers
-        kept = vars(tokenizers).setdefault("encoders of shelfmark", {})
+        import sys
+        from types import ModuleType
+        kept = vars(sys.modules.setdefault("shelfmark_worker", ModuleType("shelfmark_worker"))).setdefault("encoders", {})
         if path not in kept:
             kept[path] = cls(path)
         return kept[path]
@@ -97,7 +105,8 @@ class PieceEncoder:
 
     def _learn(self, pieces: list[str]) -> None:
         if self.direct:
-            plain = list(filter(self._PLAIN.fullmatch, pieces))
+            plain = [p for p in filter(self._PLAIN.fullmatch, pieces)
+                     if self.starts.isdisjoint(p) or not any(name in p.lower() for name in self.names)]
             self.known.update(zip(plain, map(self._direct, plain)))
             pieces = [p for p in pieces if p not in self.known]
         alone = pieces if self.mark is None else [p for p in pieces if self._MARK in p]
@@ -113,6 +122,8 @@ class PieceEncoder:
             self.known.update(zip(group, (raw[a * width:b * width] for a, b in zip(starts.tolist(), ends.tolist()))))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        if not self.piecewise:
+            return self._ids([t or "" for t in texts])
         pieces = [re.sub("[\t\r\n]", " ", t).split(" ") if t else [] for t in texts]
         new = list(set(chain.from_iterable(pieces)).difference(self.known))
         if self.before:
@@ -211,7 +222,8 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, id:
     order = F.col("id").asc_nulls_first()
     listing = work_path(spark, "token-files")
     (docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text"))
-     .repartitionByRange(order).sortWithinPartitions(order, "text")
+     # The start of the text splits the rows of one id, should it be repeated very often or null.
+     .repartitionByRange(order, F.substring("text", 1, 64)).sortWithinPartitions(order, "text")
      .mapInArrow(run, "part long, number long, file string, n_docs long, n_tokens long")
      .write.parquet(listing))
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row per file

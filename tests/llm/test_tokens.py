@@ -67,9 +67,10 @@ def test_elias_fano(n, top):
 def test_token_files_round_trip(spark):
     from tokenizers import Tokenizer
     whole = Tokenizer.from_file(WORDS)
-    whole.encode_special_tokens = True
-    texts = [*TEXTS, "Don't  ÄÖ ΑΣ x\x1cy", "pneumonoultramicroscopic" * 9]
+    texts = [*TEXTS, "a <|endoftext|> b", "<|startoftext|>x", "x<|endoftext|>", "Y<|startoftext|><|endoftext|>'s é<|ENDOFTEXT|>",
+             "<|endoftext|", "Don't  ÄÖ ΑΣ x\x1cy", "pneumonoultramicroscopic" * 9]
     ids = [*range(10, 10 + len(texts) - 2), -4, None]
+    assert whole.encode("a <|endoftext|> b", add_special_tokens=False).ids == [320, 49407, 321]
     df = spark.createDataFrame([Row(doc_id=i, text=t, start=0) for i, t in zip(ids, texts)] + [Row(doc_id=12, text="twin", start=0)] * 2,
                                "doc_id long, text string, start long").repartition(3)
     folder = session.work_path(spark, "ids")
