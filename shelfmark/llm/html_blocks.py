@@ -1,4 +1,7 @@
-"""Leaf blocks of a web page: runs of text between block-level tags, with what stands around them."""
+"""Leaf blocks of a web page: runs of text between block-level tags, with what stands around them.
+
+The work grows with the length of the page, however deep its elements nest.
+"""
 
 from __future__ import annotations
 
@@ -37,12 +40,66 @@ def names(attributes: str) -> tuple[str, ...]:
     return tuple(sorted(out))
 
 
+class Node:
+    """An open element; its ancestors are found by its parents, so a deep page copies no paths."""
+
+    __slots__ = ("tag", "names", "parent", "heading", "context")
+
+    def __init__(self, tag: str, names: tuple[str, ...], parent: Node | None):
+        self.tag, self.names, self.parent = tag, names, parent
+        self.heading = tag in ("h1", "h2") or parent is not None and parent.heading
+        self.context = None  # what a reader of the blocks has worked out for this element
+
+
 class Block:
-    __slots__ = ("text", "path", "linked", "after")
+    __slots__ = ("text", "node", "linked", "after")
+
+    def __init__(self, text: str, node: Node | None, linked: float, after: int):
+        #: node: the innermost open element; after: headings seen before.
+        self.text, self.node, self.linked, self.after = text, node, linked, after
+
+    @property
+    def path(self) -> list[tuple[str, tuple[str, ...]]]:
+        """(tag, names) of every open element, outermost first."""
+        out, node = [], self.node
+        while node is not None:
+            out.append((node.tag, node.names))
+            node = node.parent
+        return out[::-1]
+
+
+class _Open:
+    """The open elements, and for each tag where it stands among them."""
 
-    def __init__(self, text: str, path: tuple, linked: float, after: int):
-        #: path: (tag, names) of every open element, outermost first; after: headings seen before.
-        self.text, self.path, self.linked, self.after = text, path, linked, after
+    def __init__(self):
+        self.nodes: list[Node] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        self.at.setdefault(tag, []).append(len(self.nodes))
+        if tag in BLOCK_TAGS:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(Node(tag, names, self.top()))
+
+    def top(self) -> Node | None:
+        return self.nodes[-1] if self.nodes else None
+
+    def cut(self, at: int) -> None:
+        while len(self.nodes) > at:
+            tag = self.nodes.pop().tag
+            self.at[tag].pop()
+            if tag in BLOCK_TAGS:
+                self.blocks.pop()
+
+    def last(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def find(self, tags, barrier=()) -> int | None:
+        """The innermost of ``tags`` with no ``barrier`` inside it."""
+        at = self.last(tags)
+        wall = (self.blocks[-1] if self.blocks else -1) if barrier is BLOCK_TAGS else self.last(barrier)
+        return at if at > wall or at >= 0 and at == wall else None
 
 
 def blocks(html: str | None) -> list[Block]:
@@ -50,9 +107,10 @@ def blocks(html: str | None) -> list[Block]:
     out: list[Block] = []
     if not html:
         return out
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Open()
+    links = stack.at.setdefault("a", [])
     held: list[str] = []
-    links, linked, headings, path = 0, 0, 0, ()
+    linked, headings, node = 0, 0, None
 
     def flush() -> None:
         nonlocal held, linked, headings
@@ -60,30 +118,16 @@ def blocks(html: str | None) -> list[Block]:
             raw = "".join(held)
             text = " ".join(unescape(raw).split())
             if text:
-                out.append(Block(text, path, min(1.0, linked / max(1, len(raw.strip()))), headings))
-                headings += any(tag in ("h1", "h2") for tag, _ in path)
+                out.append(Block(text, node, min(1.0, linked / max(1, len(raw.strip()))), headings))
+                headings += node is not None and node.heading
             held, linked = [], 0
 
-    def close(at: int) -> None:
-        nonlocal links
-        flush()
-        links -= sum(tag == "a" for tag, _ in stack[at:])
-        del stack[at:]
-
-    def find(tags, barrier=()) -> int | None:
-        for at in range(len(stack) - 1, -1, -1):
-            if stack[at][0] in tags:
-                return at
-            if stack[at][0] in barrier:
-                return None
-        return None
-
     def put(piece: str) -> None:
-        nonlocal path, linked
+        nonlocal node, linked
         if not piece:
             return
         if not held:
-            path = tuple(stack)
+            node = stack.top()
         held.append(piece)
         if links:
             linked += len(piece.strip())
@@ -99,28 +143,25 @@ def blocks(html: str | None) -> list[Block]:
         if token["end"]:
             if tag in BLOCK_TAGS:
                 flush()
-                at = find({tag})
+                at = stack.find({tag})
             else:
-                at = find({tag}, BLOCK_TAGS)
+                at = stack.find({tag}, BLOCK_TAGS)
             if at is not None:
-                if any(t in BLOCK_TAGS for t, _ in stack[at:]):
-                    close(at)
-                else:
-                    links -= sum(t == "a" for t, _ in stack[at:])
-                    del stack[at:]
+                if stack.blocks and stack.blocks[-1] >= at:
+                    flush()
+                stack.cut(at)
             continue
         if tag == "br":
             put(" ")
             continue
         if tag in BLOCK_TAGS:
             flush()
-            if (at := find({"p"}, _KEEPS_P)) is not None and tag not in ("option", "optgroup", "label", "button", "select"):
-                close(at)
-            if tag in _CLOSES and (at := find(*_CLOSES[tag])) is not None:
-                close(at)
+            if tag not in ("option", "optgroup", "label", "button", "select") and (at := stack.find({"p"}, _KEEPS_P)) is not None:
+                stack.cut(at)
+            if tag in _CLOSES and (at := stack.find(*_CLOSES[tag])) is not None:
+                stack.cut(at)
         if tag not in VOID_TAGS and not token["rest"].rstrip().endswith("/"):
-            stack.append((tag, names(token["rest"]) if "=" in token["rest"] or "hidden" in token["rest"] else ()))
-            links += tag == "a"
+            stack.push(tag, names(token["rest"]) if "=" in token["rest"] or "hidden" in token["rest"] else ())
     put(html[last:])
     flush()
     return out

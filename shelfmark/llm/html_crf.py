@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from shelfmark.llm.html_blocks import Block, blocks
+from shelfmark.llm.html_blocks import Block, Node, blocks
 
 #: Labelled pages the model is fitted on, passes over them, step size and weight decay.
 FIT_PAGES = 400
@@ -37,20 +37,35 @@ _PLAIN = frozenset("html body div span p b i em strong a u small font center tab
                    "dl dt dd section blockquote h1 h2 h3 h4 h5 h6 pre code figure".split())
 
 
-def features(block: Block, known: dict | None) -> list[str]:
-    """Feature names of one block; ``known`` limits the innermost ancestor to words seen in fitting."""
-    out = {f"in {tag}" for tag, _ in block.path}
-    inner: list[str] = []
-    outer: list[str] = []
-    for tag, words in block.path:
-        own = [f"name {w}" for w in words if known is None or f"name {w}" in known]
-        own += [f"in {tag}"] if tag not in _PLAIN else []
-        out.update(own)
+def _context(node: Node | None, known: dict | None) -> tuple[frozenset, tuple, tuple, str]:
+    """Of an element and its ancestors: names of features, those of the two innermost telling ones, own tag.
+
+    Worked out once per element, from that of its parent.
+    """
+    fresh = []
+    while node is not None and (node.context is None or node.context[0] is not known):
+        fresh.append(node)
+        node = node.parent
+    held = (frozenset(), (), (), "") if node is None else node.context[1]
+    for node in reversed(fresh):
+        found, inner, outer, tag = held
+        own = [f"name {w}" for w in node.names if known is None or f"name {w}" in known]
+        own += [f"in {node.tag}"] if node.tag not in _PLAIN else []
+        more = {x for x in (f"in {node.tag}", *own) if (known is None or x in known) and x not in found}
         if own:
-            outer, inner = inner, own
+            outer, inner = inner, tuple(own)
+        held = (found | more if more else found, inner, outer,
+                tag if node.tag in ("a", "b", "i", "em", "strong", "span", "font") else node.tag)
+        node.context = (known, held)
+    return held
+
+
+def features(block: Block, known: dict | None) -> list[str]:
+    """Feature names of one block; ``known`` limits those of its ancestors to the ones seen in fitting."""
+    found, inner, outer, own = _context(block.node, known)
+    out = set(found)
     out.update(f"inner {x}" for x in inner)
     out.update(f"inner {x} of {y}" for x in inner for y in outer if x.startswith("in ") and y.startswith("in "))
-    own = next((tag for tag, _ in reversed(block.path) if tag not in ("a", "b", "i", "em", "strong", "span", "font")), "")
     n = block.text.count(" ") + 1
     size = "1" if n == 1 else "2-3" if n < 4 else "4-9" if n < 10 else "10-24" if n < 25 else "25+"
     links = "no" if block.linked == 0 else "some" if block.linked < 0.4 else "most"

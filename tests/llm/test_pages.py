@@ -26,6 +26,16 @@ def test_blocks_of_loose_markup():
     assert [b.text for b in blocks("x" * 300_000 + "<p>y")] == ["x" * 300_000, "y"]
 
 
+def test_deep_pages_take_time_by_length(model):
+    import time
+    began = time.monotonic()
+    for html in ("<div>x" * 150_000, "<span class=a>" * 60_000 + "y" + "</span>" * 60_000 + "<p>z", "<x1><i>q" * 90_000 + "</b>" * 90_000):
+        page = blocks(html)
+        assert len(model.labels(page)) == len(page)
+    assert time.monotonic() - began < 60
+    assert len(blocks("<div>x" * 150_000)) == 150_000 and len(blocks("<div>x" * 5)[4].path) == 5
+
+
 def test_held_out_pages(model):
     right = total = 0
     for html, labels in html_crf.labelled_pages(200, seed=31):
