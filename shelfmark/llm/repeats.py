@@ -8,6 +8,10 @@ id, or same document and earlier start). Every word that a repeat covers is remo
   form a run; a run with its anchor stands for the passage around it.
 * Join. Only anchors that occur twice can lie in a repeat. Bit tables of fixed size drop most others
   before anything is shuffled; what passes them by chance costs work, not correctness.
+* Chain. Neighbouring runs of a document that pass are one chain, all but the first and last of them, whose
+  windows reach over the edge of a passage. Chains whose words agree repeat as a whole: a passage common
+  to many documents is one row in each, not one for every run. Only chains that agree with no other,
+  and the earliest of those that do, are taken apart into runs.
 * Extend. Runs whose whole words agree repeat as a whole. Where one anchor stands in different
   surroundings, at the ends of repeated passages, each window around it, left and right, is looked
   up. Adjacent windows merge into the maximal repeat.
@@ -155,8 +159,50 @@ def _passes(table: np.ndarray, anchors: np.ndarray, bits: int) -> np.ndarray:
     return np.flatnonzero((table[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
 
 
-def _run_rows(texts: DataFrame, table, length: int, seed: int, bits: int, windows: bool) -> DataFrame:
-    """A row for each run whose anchor passes the table, on demand with the hashes of its windows."""
+def _chain_starts(some: np.ndarray) -> np.ndarray:
+    """Where chains begin among the run numbers ``some``: first and last run of neighbours are alone."""
+    if not len(some):
+        return np.empty(0, np.int64)
+    first = np.r_[True, np.diff(some) != 1]
+    last = np.r_[first[1:], True]
+    return np.flatnonzero(first | last | np.r_[False, first[:-1]])
+
+
+_CHAINS = ("head long, chain long, doc long, mark long, first int, last int, "
+           "runs array<struct<anchor:bigint,whole:bigint,first:int,last:int>>")
+
+
+def _chain_rows(texts: DataFrame, table, length: int, seed: int, bits: int) -> DataFrame:
+    """A row for each chain of runs whose anchors pass the table, with its runs."""
+    def run(batches):
+        held = _held(table)
+        for batch in batches:
+            parts = []
+            for n, t in enumerate(batch.column(2).to_pylist()):
+                runs = Runs(t, length, seed)
+                some = _passes(held, runs.anchor, bits)
+                if len(some):
+                    starts = _chain_starts(some)
+                    ends = np.r_[starts[1:], len(some)]
+                    first, last = runs.first[some], runs.last[some]
+                    low, high = first[starts], last[ends - 1]
+                    chain = _mix(runs.hashes.of(low, high + length) + (high - low).astype(np.uint64))
+                    parts.append((np.full(len(starts), n), runs.anchor[some[starts]], chain, low, high, ends - starts,
+                                  runs.anchor[some], runs.whole(some), first, last))
+            if not parts:
+                continue
+            at, head, chain, low, high, size, anchor, whole, first, last = (np.concatenate(c) for c in zip(*parts))
+            at, ints = pa.array(at), [pa.array(c.astype(np.int32)) for c in (low, high, first, last)]
+            inner = pa.StructArray.from_arrays([_signed(anchor), _signed(whole), *ints[2:]], ["anchor", "whole", "first", "last"])
+            offsets = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [_signed(head), _signed(chain), batch.column(0).take(at), batch.column(1).take(at), *ints[:2],
+                 pa.ListArray.from_arrays(offsets, inner)], ["head", "chain", "doc", "mark", "first", "last", "runs"])
+    return texts.mapInArrow(run, _CHAINS)
+
+
+def _edge_rows(texts: DataFrame, table, length: int, seed: int, bits: int) -> DataFrame:
+    """A row for each run whose anchor passes the table, with the hashes of its windows."""
     def run(batches):
         held = _held(table)
         for batch in batches:
@@ -165,25 +211,18 @@ def _run_rows(texts: DataFrame, table, length: int, seed: int, bits: int, window
             for n, t in enumerate(batch.column(2).to_pylist()):
                 runs = Runs(t, length, seed)
                 some = _passes(held, runs.anchor, bits)
-                if not len(some):
-                    continue
-                part = [np.full(len(some), n), runs.anchor[some], runs.whole(some),
-                        runs.first[some], runs.last[some]]
-                if windows:
-                    raw = runs.windows()
-                    part.append([raw[a:b + 1].tobytes() for a, b in zip(part[3], part[4])])
-                parts.append(part)
+                if len(some):
+                    raw, first, last = runs.windows(), runs.first[some], runs.last[some]
+                    parts.append((np.full(len(some), n), runs.anchor[some], runs.whole(some), first, last,
+                                  [raw[a:b + 1].tobytes() for a, b in zip(first, last)]))
             if parts:
                 at, anchor, whole, first, last = (np.concatenate(c) for c in list(zip(*parts))[:5])
                 at = pa.array(at)
-                columns = [_signed(anchor), _signed(whole), docs.take(at), marks.take(at),
-                           pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))]
-                if windows:
-                    columns.append(pa.array([w for p in parts for w in p[5]], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema = "anchor long, whole long, doc long, mark long, first int, last int"
-    schema += ", windows binary" if windows else ""
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(anchor), _signed(whole), docs.take(at), marks.take(at), pa.array(first.astype(np.int32)),
+                     pa.array(last.astype(np.int32)), pa.array([w for p in parts for w in p[5]], pa.binary())], names)
+
+    schema = "anchor long, whole long, doc long, mark long, first int, last int, windows binary"
     names = [column.split()[0] for column in schema.split(", ")]
     return texts.mapInArrow(run, schema)
 
@@ -219,22 +258,32 @@ def repeat_windows(docs: DataFrame, mark: Column, *, id: str = "doc_id", text: s
     """
     texts = docs.select(docs[id].cast("long").alias("doc"), mark.alias("mark"), docs[text].alias("text"))
     table = _bit_table(_repeated_slots(texts.select("text"), lambda t: Runs(t, length, seed).anchor, bits), bits)
-    runs = written(_run_rows(texts, table, length, seed, bits, False), "runs")
+    chains = written(_chain_rows(texts, table, length, seed, bits), "chains")
     table.destroy()
     place = F.struct("doc", "mark", "first")
+    same = ["head", "chain"]
+    repeated = written(chains.groupBy(*same).agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n"))
+                       .where("n > 1").drop("n"), "chain-classes")
+    # Chains that agree with an earlier one are repeats as they are.
+    spans = (chains.drop("runs").join(repeated, same).where(F.col("earliest") < place)
+             .select("doc", "mark", "first", "last"))
+    # Every run, and the earliest of each kind, is in a chain that is left.
+    left = (chains.join(repeated, same, "left").where(F.col("earliest").isNull() | (F.col("earliest") == place))
+            .select("doc", "mark", F.inline("runs")))
+    runs = written(left, "runs")
     classes = written(runs.groupBy("anchor", "whole")
                       .agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")), "run-classes")
 
     # Runs that agree as a whole with an earlier one.
     whole = (runs.join(classes.where("n > 1").select("anchor", "whole", "earliest"), ["anchor", "whole"])
-             .where(F.col("earliest") < place).select("doc", "mark", "first", "last"))
+             .where(F.col("earliest") < place).select("doc", "mark", "first", "last")).union(spans)
 
     # Anchors in different surroundings: the windows of the earliest run of each kind.
     mixed = (classes.groupBy("anchor").agg(F.min("whole").alias("a"), F.max("whole").alias("b"))
              .where("a <> b").select(F.expr(f"cast(shiftrightunsigned(anchor, {64 - bits}) as int)").alias("slot"))
              .distinct())
     table = _bit_table(mixed, bits)
-    edges = _run_rows(texts, table, length, seed, bits, True)
+    edges = _edge_rows(texts, table, length, seed, bits)
     firsts = written(edges.groupBy("anchor", "whole")
                      .agg(F.min(F.struct("doc", "mark", "first", "windows")).alias("run"))
                      .select("anchor", "run.*"), "edge-runs")

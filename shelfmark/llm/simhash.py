@@ -121,26 +121,24 @@ def _near_pairs(fps: np.ndarray, table: np.ndarray, max_bits: int) -> tuple[np.n
     return a[near], b[near]
 
 
-def spanning_links(fps: np.ndarray, references: np.ndarray, max_bits: int, verify=None) -> list[tuple[int, int]]:
-    """Links that join all fingerprints reachable from each other in one group.
-
-    ``verify(at, others)`` can drop further pairs.
-    """
+def spanning_links(fps: np.ndarray, references: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """Links that join all fingerprints reachable from each other in one group."""
     table = pivot_table(fps, references)
     if len(fps) <= SMALL_GROUP:
         a, b = _near_pairs(fps, table, max_bits)
-        if len(a) <= 2 * len(fps) and verify is None:
+        if len(a) <= 2 * len(fps):
             return list(zip(a.tolist(), b.tolist()))
-        if not len(a):
-            return []
-    rest, out = np.arange(len(fps)), []
+    return _spanning(len(fps), lambda at, others: _linked(fps, table, at, others, max_bits))
+
+
+def _spanning(count: int, linked) -> list[tuple[int, int]]:
+    """A spanning forest of a group; ``linked(at, others)`` gives those of ``others`` linked to ``at``."""
+    rest, out = np.arange(count), []
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             at = queue.pop()
-            near = _linked(fps, table, at, rest, max_bits)
-            if verify is not None and len(near):
-                near = near[verify(at, near)]
+            near = linked(at, rest)
             if len(near):
                 out += [(at, member) for member in near]
                 rest = np.setdiff1d(rest, near, assume_unique=True)
@@ -195,13 +193,16 @@ def _bucket_links(max_bits: int):
     return run
 
 
-def _tiled(rows: DataFrame, group: str, tile: int) -> DataFrame:
+def _tiled(rows: DataFrame, group: str, tile: int, size: Column | None = None, most: int = 1) -> DataFrame:
     """Rows of groups over ``tile`` members go to one group per pair of chunks, the others to their own.
 
-    Needs a long column ``member`` to deal the rows of a group into chunks by.
+    Needs a long column ``member`` to deal the rows of a group into chunks by. Where a ``size`` is given,
+    a chunk holds about ``most`` of it, too.
     """
-    large = written(rows.groupBy(group).count().where(F.col("count") > tile)
-                    .select(group, F.ceil(F.col("count") / tile).alias("chunks")), "large-groups")
+    chunks = F.ceil(F.count(F.lit(1)) / tile)
+    if size is not None:
+        chunks = F.greatest(chunks, F.ceil(F.sum(size) / most))
+    large = written(rows.groupBy(group).agg(chunks.alias("chunks")).where("chunks > 1"), "large-groups")
     last = F.coalesce("chunks", F.lit(1)) - 1
     return (rows.join(large, group, "left")
             .withColumn("own", F.pmod(F.xxhash64("member"), last + 1))
@@ -235,16 +236,19 @@ def near_duplicates(marks: DataFrame, max_bits: int, *, tile: int = TILE) -> Dat
 
 # Near copies by similarity of shingle sets, complete for similarity ``least`` and more.
 #
-# * Candidates. With all shingles in one order, two sets of similarity t share one of the first
-#   n - ceil(t n) + 1 shingles of each (prefix filtering). The order is by hash, but shingles that are
-#   frequent in a sample of the texts come last, so common passages make no large buckets as a rule.
-# * Sizes, and one bit of the least hash in each of ``MINIMA`` classes, only drop pairs far below
-#   ``least``; what is left is decided by the exact similarity of the sets of 64-bit shingle hashes.
-# * In a bucket of many texts each is first checked against one reference; only texts that are not in
-#   one component by then are paired, so a large group of copies costs no squares.
-
-#: Bits that the fingerprints of distinct words of similar texts differ in, mostly (kept for callers).
-NEAR_BITS = 8
+# * SimHash. Texts whose fingerprints are near by the pivot search above are candidates first, and those in
+#   buckets of many texts with one reference each; what is similar indeed is one component from then on.
+# * Complete search. Copies of similarity 0.8 differ in up to 14 of 64 bits, so texts that are in different
+#   components still meet by prefix filtering: with all shingles in one order, two sets of similarity t share
+#   one of the first n - ceil(t n) + 1 shingles of each. The order is by hash, but shingles that are frequent in
+#   a sample of the texts come last, so common passages make no large buckets as a rule.
+# * Decision. Pairs of small buckets are first compared by size and one bit of the least hash in each of
+#   ``MINIMA`` classes, which only drops pairs far below ``least``, then by their sets of 64-bit shingle
+#   hashes. Large buckets are decided in their tiles: the sets travel there, all overlaps of a tile are
+#   counted at once, and only links that span it leave it, so a group alike below ``least`` emits nothing.
+
+#: Bits that the fingerprints of the first candidates differ in at most.
+NEAR_BITS = 4
 #: Classes of shingles with one bit each that a pair is first compared by.
 MINIMA = 256
 #: Bits that sets of similarity 0.8 differ in, 25.6 and five standard errors of 4.8.
@@ -254,8 +258,12 @@ SIMILARITY = 0.8
 SAMPLE = 32
 SLOT_BITS = 22
 FREQUENT = 3
-#: Buckets over this size are first compared with a reference.
+#: Buckets over this size are first compared with a reference, then decided in tiles of so many texts and bytes.
 STAR_GROUP = 16
+SET_TILE = 512
+SET_BYTES = 32 << 20
+#: Shingles that more texts of a tile share are counted by matrix products, the others pair by pair.
+RARE_IN_TILE = 6
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -306,7 +314,7 @@ def _frequent(texts: DataFrame, shingle: int):
 
 
 def _prints(texts: DataFrame, frequent, shingle: int, least: float) -> DataFrame:
-    """(member, size, bits, rare, hot) of every text."""
+    """(member, fp, size, bits, rare, hot) of every text."""
     def run(batches):
         counts = np.frombuffer(zlib.decompress(frequent.value), np.uint16)
         longs = pa.list_(pa.int64())
@@ -314,12 +322,13 @@ def _prints(texts: DataFrame, frequent, shingle: int, least: float) -> DataFrame
             sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
             firsts = [prefix(s, counts, least) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int32()),
+                [batch.column(0), pa.array([_votes(s) if len(s) else 0 for s in sets], pa.int64()),
+                 pa.array([len(s) for s in sets], pa.int32()),
                  pa.array([class_bits(s) for s in sets], pa.binary()),
                  *(pa.array([f[n].view(np.int64) for f in firsts], longs) for n in (0, 1))],
-                ["member", "size", "bits", "rare", "hot"])
+                ["member", "fp", "size", "bits", "rare", "hot"])
     return texts.select("member", "text").mapInArrow(
-        run, "member long, size int, bits binary, rare array<long>, hot array<long>")
+        run, "member long, fp long, size int, bits binary, rare array<long>, hot array<long>")
 
 
 def _shared(batches):
@@ -389,13 +398,62 @@ def _open_pairs(least: float):
                 if len(starts):
                     for i, j in combinations(range(count), 2):
                         yield packed(starts + i, starts + j)
-            for a, b in zip(edges[:-1][sizes > STAR_GROUP], edges[1:][sizes > STAR_GROUP]):
-                for at in range(a, b - 1):
-                    others = np.arange(at + 1, b)
-                    yield packed(np.full(len(others), at), others)
     return run
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets share."""
+    count = len(sets)
+    owner = np.repeat(np.arange(count), [len(x) for x in sets])
+    _, column, often = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    owner, often = owner[order], often[column[order]]
+    out = np.zeros((count, count))
+    for n in range(2, RARE_IN_TILE + 1):
+        some = owner[often == n].reshape(-1, n)
+        for i, j in combinations(range(n), 2):
+            out += np.bincount(some[:, i] * count + some[:, j], minlength=count * count).reshape(count, count)
+    out += out.T
+    rest, sizes = owner[often > RARE_IN_TILE], often[often > RARE_IN_TILE]
+    starts = np.flatnonzero(np.r_[True, np.diff(column[order][often > RARE_IN_TILE]) > 0]) if len(rest) else np.empty(0, int)
+    for at in range(0, len(starts), 4096):
+        low, high = starts[at], starts[at + 4096] if at + 4096 < len(starts) else len(rest)
+        held = np.zeros((count, min(4096, len(starts) - at)), np.float32)
+        held[rest[low:high], np.repeat(np.arange(held.shape[1]), sizes[starts[at:at + 4096]])] = 1
+        out += held @ held.T
+    return out
+
+
+def _tile_links(least: float):
+    """Links (a, b) that span what is similar in each tile and not in one component yet."""
+    def run(batches):
+        for table in _group_runs(batches):
+            edges = _edges(table.column(0).to_numpy())
+            for start, stop in zip(edges, edges[1:]):
+                part = table.slice(start, stop - start)
+                member, root = part.column(1).to_numpy(), part.column(2).to_numpy()
+                if stop - start < 2 or (root == root[0]).all():
+                    continue
+                sets = [np.frombuffer(x, np.uint64) for x in part.column(3).to_pylist()]
+                size, both = np.array([len(x) for x in sets]), overlaps(sets)
+                near = both >= (least - 1e-12) * np.maximum(1, size[:, None] + size[None, :] - both)
+                near |= root[:, None] == root[None, :]  # joined already: these links are not needed again
+                found = [(a, b) for a, b in _spanning(len(size), lambda at, others: others[near[at, others]]) if root[a] != root[b]]
+                if found:
+                    a, b = np.array(found).T
+                    yield _packed(member[a], member[b])
+    return run
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(member, shingles): the set of 64-bit hashes as binary."""
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(
+                [shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["member", "shingles"])
+    return texts.select("member", "text").mapInArrow(run, "member long, shingles binary")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """Those of ``pairs(a, b)`` whose exact similarity is ``least`` or more."""
     def run(batches):
@@ -416,17 +474,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
             .mapInArrow(run, "a long, b long"))
 
 
-def similar_texts(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = 5,
-                  max_bits: int = NEAR_BITS, least: float = SIMILARITY, tile: int = TILE) -> DataFrame:
-    """(id, text_key, component_id): texts in one chain of similar texts share the smallest id.
-
-    Equal texts are one member. All pairs whose shingle sets are ``least`` alike are linked, whatever their
-    fingerprints; ``max_bits`` is not needed any more and changes nothing.
-    """
+def _rooted(docs: DataFrame, id: str, text: str, shingle: int, max_bits: int, least: float, tile: int) -> DataFrame:
+    """(id, text_key, root) of every row: texts in one chain of similar texts have one root."""
     rows = docs.select(docs[id].cast("long").alias("id"), _text_key(docs[text]).alias("member"))
-    texts = written(docs.select(docs[id].cast("long").alias("id"), _text_key(docs[text]).alias("member"),
-                                F.coalesce(docs[text], F.lit("")).alias("text"))
-                    .groupBy("member").agg(F.min("id").alias("rep"), F.first("text").alias("text")), "texts")
+    texts = written(docs.select(_text_key(docs[text]).alias("member"), F.coalesce(docs[text], F.lit("")).alias("text"))
+                    .groupBy("member").agg(F.first("text").alias("text")), "texts")
     frequent = _frequent(texts, shingle)
     prints = written(_prints(texts, frequent, shingle, least), "text-prints")
     rare = (prints.select(F.explode("rare").alias("bucket"), "member").repartition("bucket")
@@ -434,47 +486,68 @@ def similar_texts(docs: DataFrame, *, id: str = "doc_id", text: str = "text", sh
     shared = written(rare.union(prints.select(F.explode("hot"), "member")), "shared-shingles")
     marks = prints.select("member", "size", "bits")
 
+    # Candidates by SimHash: one text of each fingerprint stands for it.
+    classes = written(prints.groupBy("fp").agg(F.min("member").alias("head")), "print-classes")
+    head = {k: classes.select(F.col("fp").alias(k), F.col("head").alias(f"head {k}")) for k in "ab"}
+    near = (near_links(classes.select("fp"), max_bits).join(head["a"], "a").join(head["b"], "b")
+            .select(F.col("head a").alias("a"), F.col("head b").alias("b")))
+    near = near.union(prints.join(classes, "fp").where("member <> head").select(F.col("head").alias("a"), F.col("member").alias("b")))
+
     large = shared.groupBy("bucket").count().where(F.col("count") > STAR_GROUP).select("bucket")
     crowd = shared.join(written(large, "large-buckets"), "bucket").join(marks, "member")
     stars = (_tiled(crowd, "bucket", tile).select("bucket", "member", "size", "bits")
              .repartition("bucket").sortWithinPartitions("bucket")
              .mapInArrow(_star_pairs(least), "a long, b long, apart long")
              .groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select("best.a", "b"))
-    first = written(_verified(stars, texts, shingle, least), "star-links")
+    first = written(_verified(stars.union(near).distinct(), texts, shingle, least), "first-links")
     roots = components(first)
 
-    joined = (shared.join(marks, "member").join(roots, F.col("member") == roots.node, "left")
-              .select("bucket", "member", "size", "bits", F.coalesce("root", "member").alias("root")))
-    still = written(joined.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-                    .where("low < high").select("bucket"), "open-buckets")
-    pairs = (_tiled(joined.join(still, "bucket"), "bucket", tile).select("bucket", "member", "size", "bits", "root")
+    joined = (shared.join(roots, F.col("member") == roots.node, "left")
+              .select("bucket", "member", F.coalesce("root", "member").alias("root")))
+    still = written(joined.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
+                    .where("low < high").select("bucket", (F.col("n") > STAR_GROUP).alias("large")), "open-buckets")
+    open_ = joined.join(still, "bucket")
+    pairs = (open_.where("NOT large").join(marks, "member").select("bucket", "member", "size", "bits", "root")
              .repartition("bucket").sortWithinPartitions("bucket")
              .mapInArrow(_open_pairs(least), "a long, b long").distinct())
-    links = first.union(_verified(written(pairs, "open-pairs"), texts, shingle, least))
+    many = written(open_.where("large").select("bucket", "member", "root"), "large-open-buckets")
+    sets = written(_sets(texts.join(many.select("member").distinct(), "member", "left_semi"), shingle), "shingle-sets")
+    tiles = _tiled(many.join(sets, "member"), "bucket", SET_TILE, F.octet_length("shingles"), SET_BYTES)
+    spans = (tiles.select("bucket", "member", "root", "shingles").repartition("bucket").sortWithinPartitions("bucket")
+             .mapInArrow(_tile_links(least), "a long, b long").distinct())
+    links = first.union(_verified(written(pairs, "open-pairs"), texts, shingle, least)).union(spans)
     roots = components(links)
-    rooted = (texts.select("member", "rep").join(roots, F.col("member") == roots.node, "left")
-              .select("member", "rep", F.coalesce("root", "member").alias("root")))
-    named = (rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root")
-             .select(F.col("member").alias("text_key"), "component_id"))
-    return rows.join(named, rows.member == named.text_key).select("id", "text_key", "component_id")
+    return (rows.join(roots, rows.member == roots.node, "left")
+            .select("id", F.col("member").alias("text_key"), F.coalesce("root", "member").alias("root")))
+
+
+def similar_texts(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = 5,
+                  max_bits: int = NEAR_BITS, least: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """(id, text_key, component_id): texts in one chain of similar texts share the smallest id.
+
+    Equal texts are one member. All pairs whose shingle sets are ``least`` alike are linked, whatever their
+    fingerprints; ``max_bits`` tells which texts are compared first.
+    """
+    rooted = written(_rooted(docs, id, text, shingle, max_bits, least, tile), "rooted")
+    named = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    return rooted.join(named, "root").select("id", "text_key", "component_id")
 
 
 def _text_key(text) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def representatives(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def representatives(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = 5,
+                    max_bits: int = NEAR_BITS, least: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """One document of each chain of similar texts: that with the smallest id, whole and once.
 
-    Rows with equal id and equal text count as one row. Rows without an id cannot be named and stay.
+    Rows with equal id and equal text count as one row. Rows without an id stay only where their chain has no
+    row with one: then one row of the text with the smallest key.
     """
-    found = similar_texts(docs, id=id, text=text, **options)
-    stays = written(found.where("id = component_id")
-                    .select(F.col("id").alias("id that stays"), F.col("text_key").alias("its text")).distinct(), "stays")
-    same = (docs[id].cast("long") == stays["id that stays"]) & (_text_key(docs[text]) == stays["its text"])
-    named = docs.join(stays, same, "left_semi")
-    repeated = stays.groupBy("id that stays").count().where("count > 1").head(1) or (
-        docs.groupBy(id).count().where(F.col(id).isNotNull() & (F.col("count") > 1)).head(1))
-    if repeated:
-        named = named.dropDuplicates([id, text])
-    return named.unionByName(docs.where(F.col(id).isNull()))
+    rooted = _rooted(docs, id, text, shingle, max_bits, least, tile)
+    stays = written(rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "text_key")).alias("s"))
+                    .select(F.col("s.id").alias("id that stays"), F.col("s.text_key").alias("its text")), "stays")
+    same = docs[id].cast("long").eqNullSafe(stays["id that stays"]) & (_text_key(docs[text]) == stays["its text"])
+    kept = docs.join(stays, same, "left_semi")
+    repeated = docs.groupBy(docs[id].cast("long"), _text_key(docs[text])).count().where("count > 1").head(1)
+    return kept.dropDuplicates([id, text]) if repeated else kept

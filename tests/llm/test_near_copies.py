@@ -89,10 +89,61 @@ def test_representatives(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, member string")
     left = simhash.representatives(df)
     assert left.columns == df.columns
-    assert sorted((x.doc_id or -1, x.member) for x in left.collect()) == [(-1, "e"), (1, "f"), (2, "b"), (5, "h"), (7, "d")]
+    assert sorted((x.doc_id or -1, x.member) for x in left.collect()) == [(1, "f"), (2, "b"), (5, "h"), (7, "d")]
     assert simhash.representatives(df.limit(0)).count() == 0
 
 
+def test_copies_without_ids_keep_one_row(spark):
+    r = random.Random(9)
+    base = prose(r, 200)
+    near = base[:190] + ["other"] * 3 + base[193:]
+    rows = [(None, " ".join(base), "a"), (None, " ".join(base), "a"), (None, " ".join(near), "b"), (None, " ".join(prose(r, 50)), "c")]
+    left = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string, member string")).collect()
+    assert len(left) == 2 and {x.member for x in left} in ({"a", "c"}, {"b", "c"})
+
+
+def test_overlaps_of_sets():
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, top, n).astype(np.uint64)) for n, top in [(0, 9), (5, 9), (40, 60), (40, 60), (300, 9000), (300, 500), *[(30, 90)] * 12]]
+    found = simhash.overlaps(sets)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if i != j:
+                assert found[i, j] == len(np.intersect1d(a, b))
+
+
+def test_texts_alike_below_the_limit_write_few_pairs(spark, monkeypatch):
+    """300 texts of similarity about 0.7 to each other, in one large bucket, and a pair of real copies among them."""
+    r = random.Random(3)
+    base = prose(r, 400)
+    texts = []
+    for n in range(300):
+        words = list(base)
+        for at in range(n % 17, 400, 47):
+            words[at] = f"own{n}x{at}"
+        texts.append(" ".join(words))
+    texts.append(texts[7].replace("own7x7", "again"))
+    df = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    written, seen = simhash.written, {}
+
+    def noted(frame, label):
+        out = written(frame, label)
+        seen[label] = seen.get(label, 0) + out.count()
+        return out
+    monkeypatch.setattr(simhash, "written", noted)
+    monkeypatch.setattr(simhash, "SET_TILE", 100)
+    found = {x.id: x.component_id for x in simhash.similar_texts(df).collect()}
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    want = list(range(301))
+    for a in range(301):
+        for b in range(a):
+            if simhash.jaccard(sets[a], sets[b]) >= 0.8:
+                low, high = sorted((want[a], want[b]))
+                want = [low if w == high else w for w in want]
+    assert found == dict(enumerate(want)) and found[300] == found[7]
+    assert sum(seen[k] for k in ("open-pairs", "first-links")) < 20 * 301
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     path = [(n, n + 1) for n in range(1, 40)]
     star = [(1000, n) for n in range(1001, 1200)] + [(1000, 1000), (None, 5), (5, None)]
