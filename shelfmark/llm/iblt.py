@@ -29,8 +29,10 @@ BUCKET = 8
 SAMPLED_FROM = 64
 #: One digest in so many is in the sample.
 SAMPLE = 8
-#: Cells of the first sketch and of each larger one.
+#: Cells of the first sketch and of each larger one, and of a document's fingerprint. Building costs cells
+#: times digests, so many small sketches cost less than few large ones.
 CELLS = (24, 96, 384)
+FINGERPRINT_CELLS = 24
 PEEL_ROUNDS = 16
 #: Documents per range of ids that one window holds, and ranges at most.
 RANGE_DOCS = 500
@@ -72,9 +74,8 @@ def _placed(key: Column, n: Column, cells: int) -> Column:
 def _added(cell: Column, at: Column, entries: Column, third: int, sign: int) -> Column:
     """A cell after adding (or taking out) the entries that have their place of this third in it."""
     def step(s, e):
-        return F.when(e[f"p{third}"] == at, F.struct((s["n"] + sign * e["n"]).alias("n"), s["k"].bitwiseXOR(e["k"]).alias("k"),
-                                     s["c"].bitwiseXOR(e["c"]).alias("c"))).otherwise(s)
-    return F.aggregate(entries, cell, step)
+        return F.struct((s["n"] + sign * e["n"]).alias("n"), s["k"].bitwiseXOR(e["k"]).alias("k"), s["c"].bitwiseXOR(e["c"]).alias("c"))
+    return F.aggregate(F.filter(entries, lambda e: e[f"p{third}"] == at), cell, step)
 
 
 def sketch(keys: Column, cells: int) -> Column:
@@ -102,17 +103,21 @@ def peel(cells: Column, size: int) -> Column:
     kinds = "array<struct<n:int,k:bigint,c:bigint,p0:int,p1:int,p2:int>>"
 
     def round_(state, _):
+        return F.when(state["over"], state).otherwise(peeled(state))  # later rounds cost nothing
+
+    def peeled(state):
         single = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (_check(c["k"]) == c["c"]))
         found = F.array_distinct(F.transform(single, lambda c: _placed(c["k"], c["n"], size)))
-        return _let(found, lambda some: F.when(F.size(some) == 0, state).otherwise(F.struct(
-            F.concat(*(third(state["cells"], some, n) for n in range(3))).alias("cells"),
-            F.concat(state["found"], some).alias("found"))))
+        return _let(found, lambda some: F.when(F.size(some) == 0, F.struct(
+            state["cells"].alias("cells"), state["found"].alias("found"), F.lit(True).alias("over"))).otherwise(F.struct(
+                F.concat(*(third(state["cells"], some, n) for n in range(3))).alias("cells"),
+                F.concat(state["found"], some).alias("found"), F.lit(False).alias("over"))))
 
     def third(cells: Column, some: Column, n: int) -> Column:
         part = size // 3
         return F.transform(F.slice(cells, n * part + 1, part), lambda c, at: _added(c, at + n * part, some, n, -1))
 
-    start = F.struct(cells.alias("cells"), F.array().cast(kinds).alias("found"))
+    start = F.struct(cells.alias("cells"), F.array().cast(kinds).alias("found"), F.lit(False).alias("over"))
     return F.aggregate(
         F.sequence(F.lit(1), F.lit(PEEL_ROUNDS)), start, round_,
         lambda s: F.when(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0)),
@@ -169,12 +174,12 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprint(digests: Column) -> Column:
-    """The smallest sketch of a text as hexadecimal digits: count, digest XOR and check of each cell."""
+    """A sketch of a text as hexadecimal digits: count, digest XOR and check of each cell."""
     def text(cells):
         each = F.transform(cells, lambda c: F.concat(F.lpad(F.hex(c["n"]), 8, "0"), F.lpad(F.hex(c["k"]), 16, "0"),
                                                      F.lpad(F.hex(c["c"].bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")))
         return F.array_join(each, "")
-    return F.lower(_let(sketch(parts(digests), CELLS[0]), text))
+    return F.lower(_let(sketch(parts(digests), FINGERPRINT_CELLS), text))
 
 
 def _ranges(docs: DataFrame) -> DataFrame:
