@@ -401,6 +401,28 @@ def _open_pairs(least: float):
     return run
 
 
+def _alike_members(least: float):
+    """(bucket, member, root) of those that may reach ``least`` with a member of another component."""
+    def run(batches):
+        for table in _group_runs(batches):
+            member, size, bits = _columns(table)
+            root = table.column(4).to_numpy()
+            edges = _edges(table.column(0).to_numpy())
+            keep = np.zeros(table.num_rows, bool)
+            for a, b in zip(edges, edges[1:]):
+                if (root[a:b] == root[a]).all():
+                    continue
+                for at in range(a, b - 1):
+                    others = np.arange(at + 1, b)
+                    others = others[root[others] != root[at]]
+                    others = others[_alike(size, bits, at, others, least)]
+                    if len(others):
+                        keep[at] = keep[others] = True
+            some = table.filter(pa.array(keep)).combine_chunks()
+            yield from some.select(["bucket", "member", "root"]).to_batches()
+    return run
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """How many shingles each two of the sets share."""
     count = len(sets)
@@ -445,6 +467,22 @@ def _tile_links(least: float):
     return run
 
 
+def _clustered(alike: DataFrame) -> DataFrame:
+    """Rows (bucket, member, root) in which every two members of one bucket still meet, but fewer times.
+
+    Buckets that share members are one cluster. Where it takes fewer rows, a cluster's members meet once,
+    in the tiles of the cluster, and not in each of its buckets.
+    """
+    low = alike.groupBy("bucket").agg(F.min("member").alias("a"))
+    roots = components(alike.join(low, "bucket").select("a", F.col("member").alias("b")).distinct())
+    held = written(alike.join(roots, F.col("member") == roots.node, "left")
+                   .select("bucket", "member", alike["root"], F.coalesce(roots["root"], "member").alias("cluster")), "clusters")
+    once = held.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("member").alias("n"))
+    once = once.where(F.col("n") * F.ceil(F.col("n") / SET_TILE) <= F.col("rows")).select("cluster")
+    return (held.join(once, "cluster", "left_anti").select("bucket", "member", "root")
+            .union(held.join(once, "cluster", "left_semi").select(F.col("cluster").alias("bucket"), "member", "root").distinct()))
+
+
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     """(member, shingles): the set of 64-bit hashes as binary."""
     def run(batches):
@@ -486,12 +524,14 @@ def _rooted(docs: DataFrame, id: str, text: str, shingle: int, max_bits: int, le
     shared = written(rare.union(prints.select(F.explode("hot"), "member")), "shared-shingles")
     marks = prints.select("member", "size", "bits")
 
-    # Candidates by SimHash: one text of each fingerprint stands for it.
+    # Candidates by SimHash, one for a text: the head of its own fingerprint, heads that of a near one.
     classes = written(prints.groupBy("fp").agg(F.min("member").alias("head")), "print-classes")
-    head = {k: classes.select(F.col("fp").alias(k), F.col("head").alias(f"head {k}")) for k in "ab"}
-    near = (near_links(classes.select("fp"), max_bits).join(head["a"], "a").join(head["b"], "b")
+    heads = {k: classes.select(F.col("fp").alias(k), F.col("head").alias(f"head {k}")) for k in "ab"}
+    near = (near_links(classes.select("fp"), max_bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            .groupBy("b").agg(F.min("a").alias("a")).join(heads["a"], "a").join(heads["b"], "b")
             .select(F.col("head a").alias("a"), F.col("head b").alias("b")))
-    near = near.union(prints.join(classes, "fp").where("member <> head").select(F.col("head").alias("a"), F.col("member").alias("b")))
+    near = written(near.union(prints.join(classes, "fp").where("member <> head")
+                              .select(F.col("head").alias("a"), F.col("member").alias("b"))), "near-prints")
 
     large = shared.groupBy("bucket").count().where(F.col("count") > STAR_GROUP).select("bucket")
     crowd = shared.join(written(large, "large-buckets"), "bucket").join(marks, "member")
@@ -499,7 +539,8 @@ def _rooted(docs: DataFrame, id: str, text: str, shingle: int, max_bits: int, le
              .repartition("bucket").sortWithinPartitions("bucket")
              .mapInArrow(_star_pairs(least), "a long, b long, apart long")
              .groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select("best.a", "b"))
-    first = written(_verified(stars.union(near).distinct(), texts, shingle, least), "first-links")
+    stars = stars.join(near.select("b"), "b", "left_anti").select("a", "b")
+    first = written(_verified(written(near.union(stars), "first-pairs"), texts, shingle, least), "first-links")
     roots = components(first)
 
     joined = (shared.join(roots, F.col("member") == roots.node, "left")
@@ -510,9 +551,13 @@ def _rooted(docs: DataFrame, id: str, text: str, shingle: int, max_bits: int, le
     pairs = (open_.where("NOT large").join(marks, "member").select("bucket", "member", "size", "bits", "root")
              .repartition("bucket").sortWithinPartitions("bucket")
              .mapInArrow(_open_pairs(least), "a long, b long").distinct())
-    many = written(open_.where("large").select("bucket", "member", "root"), "large-open-buckets")
-    sets = written(_sets(texts.join(many.select("member").distinct(), "member", "left_semi"), shingle), "shingle-sets")
-    tiles = _tiled(many.join(sets, "member"), "bucket", SET_TILE, F.octet_length("shingles"), SET_BYTES)
+    # Most texts of a large bucket share a passage and nothing else: sets travel only for those that are not
+    # far below ``least`` from another one there.
+    tiles = _tiled(open_.where("large").join(marks, "member"), "bucket", SET_TILE, F.col("size").cast("long") * 8, SET_BYTES)
+    alike = written(tiles.select("bucket", "member", "size", "bits", "root").repartition("bucket").sortWithinPartitions("bucket")
+                    .mapInArrow(_alike_members(least), "bucket long, member long, root long"), "alike-members")
+    sets = written(_sets(texts.join(alike.select("member").distinct(), "member", "left_semi"), shingle), "shingle-sets")
+    tiles = _tiled(_clustered(alike).join(sets, "member"), "bucket", SET_TILE, F.octet_length("shingles"), SET_BYTES)
     spans = (tiles.select("bucket", "member", "root", "shingles").repartition("bucket").sortWithinPartitions("bucket")
              .mapInArrow(_tile_links(least), "a long, b long").distinct())
     links = first.union(_verified(written(pairs, "open-pairs"), texts, shingle, least)).union(spans)
