@@ -31,7 +31,7 @@ SAMPLED_FROM = 64
 SAMPLE = 8
 #: Cells of the first sketch and of each larger one, and of a document's fingerprint. Building costs cells
 #: times digests, so many small sketches cost less than few large ones.
-CELLS = (24, 96, 384)
+CELLS = (24, 48, 96, 384)
 FINGERPRINT_CELLS = 24
 PEEL_ROUNDS = 16
 #: Documents per range of ids that one window holds, and ranges at most.
@@ -58,12 +58,12 @@ def parts(digests: Column) -> Column:
 
 
 def _check(key: Column) -> Column:
-    return F.xxhash64(key, F.lit("check"))
+    return F.xxhash64(key, F.lit(-1))
 
 
 def _places(key: Column, cells: int) -> list[Column]:
     third = cells // 3
-    return [(F.pmod(F.xxhash64(key, F.lit(n), F.lit(cells)), F.lit(third)) + n * third).cast("int").alias(f"p{n}")
+    return [(F.pmod(F.xxhash64(key, F.lit(3 * cells + n)), F.lit(third)) + n * third).cast("int").alias(f"p{n}")
             for n in range(3)]
 
 
@@ -98,30 +98,41 @@ def subtract(a: Column, b: Column) -> Column:
 def peel(cells: Column, size: int) -> Column:
     """Recovered differing digests as structs (n, k): n is 1 for the first side, -1 for the second.
 
-    Null if cells are left over.
+    Each round goes through the thirds in turn: a digest has one cell in each, so the cells of a third that
+    hold a single digest name each digest once; it is then taken out of the other two. Null if cells are left over.
     """
-    kinds = "array<struct<n:int,k:bigint,c:bigint,p0:int,p1:int,p2:int>>"
-
-    def round_(state, _):
-        return F.when(state["over"], state).otherwise(peeled(state))  # later rounds cost nothing
-
-    def peeled(state):
-        single = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (_check(c["k"]) == c["c"]))
-        found = F.array_distinct(F.transform(single, lambda c: _placed(c["k"], c["n"], size)))
-        return _let(found, lambda some: F.when(F.size(some) == 0, F.struct(
-            state["cells"].alias("cells"), state["found"].alias("found"), F.lit(True).alias("over"))).otherwise(F.struct(
-                F.concat(*(third(state["cells"], some, n) for n in range(3))).alias("cells"),
-                F.concat(state["found"], some).alias("found"), F.lit(False).alias("over"))))
-
-    def third(cells: Column, some: Column, n: int) -> Column:
-        part = size // 3
-        return F.transform(F.slice(cells, n * part + 1, part), lambda c, at: _added(c, at + n * part, some, n, -1))
+    part = size // 3
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
 
-    start = F.struct(cells.alias("cells"), F.array().cast(kinds).alias("found"), F.lit(False).alias("over"))
+    def step(state: Column, third: int) -> Column:
+        own = state[f"t{third}"]
+        single = F.filter(own, lambda c: (F.abs(c["n"]) == 1) & (_check(c["k"]) == c["c"]))
+        found = F.transform(single, lambda c: _placed(c["k"], c["n"], size))
+
+        def without(some: Column, n: int) -> Column:
+            if n == third:
+                return F.transform(own, lambda c: F.when(
+                    F.exists(some, lambda e: (e["k"] == c["k"]) & (e["c"] == c["c"])), zero).otherwise(c))
+            return F.transform(state[f"t{n}"], lambda c, at: _added(c, at + n * part, some, n, -1))
+
+        return _let(found, lambda some: F.when(F.size(some) == 0, state).otherwise(F.struct(
+            *(without(some, n).alias(f"t{n}") for n in range(3)),
+            F.concat(state["found"], F.transform(some, lambda e: F.struct(e["n"], e["k"]))).alias("found"),
+            state["over"].alias("over"))))
+
+    def round_(state: Column, _: Column) -> Column:
+        def ended(last: Column) -> Column:
+            return F.struct(*(last[name].alias(name) for name in ("t0", "t1", "t2", "found")),
+                            (F.size(last["found"]) == F.size(state["found"])).alias("over"))
+        peeled = _let(state, lambda s: _let(step(s, 0), lambda x: _let(step(x, 1), lambda y: _let(step(y, 2), ended))))
+        return F.when(state["over"], state).otherwise(peeled)  # later rounds cost nothing
+
+    start = F.struct(*(F.slice(cells, n * part + 1, part).alias(f"t{n}") for n in range(3)),
+                     F.array().cast("array<struct<n:int,k:bigint>>").alias("found"), F.lit(False).alias("over"))
+    empty = lambda c: (c["n"] == 0) & (c["k"] == 0)
     return F.aggregate(
         F.sequence(F.lit(1), F.lit(PEEL_ROUNDS)), start, round_,
-        lambda s: F.when(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0)),
-                         F.transform(s["found"], lambda e: F.struct(e["n"], e["k"]))))
+        lambda s: F.when(F.forall(s["t0"], empty) & F.forall(s["t1"], empty) & F.forall(s["t2"], empty), s["found"]))
 
 
 def _sketches(a: Column, b: Column) -> Column:
