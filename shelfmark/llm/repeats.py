@@ -7,7 +7,8 @@ id, or same document and earlier start). Every word that a repeat covers is remo
   equal anchors and equal passages share all anchors inside. Consecutive windows with one anchor
   form a run; a run with its anchor stands for the passage around it.
 * Join. Only anchors that occur twice can lie in a repeat. Bit tables of fixed size drop most others
-  before anything is shuffled; what passes them by chance costs work, not correctness.
+  before anything is shuffled; what passes them by chance costs work, not correctness. Only places that are
+  the first of their kind are taken further, again by a bit table: runs and windows are not shuffled to find them.
 * Chain. Neighbouring runs of a document that pass are one chain, all but the first and last of them, whose
   windows reach over the edge of a passage. Chains whose words agree repeat as a whole: a passage common
   to many documents is one row in each, not one for every run. Only chains that agree with no other,
@@ -41,6 +42,7 @@ LENGTH = 20
 SEED_WORDS = 6
 #: The bit tables of anchors have 2 ** TABLE_BITS bits, 32 MB, whatever the corpus.
 TABLE_BITS = 28
+FINER = 12
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -130,15 +132,18 @@ def _mark(docs: DataFrame, id: str, text: str) -> Column:
 
 
 def _repeated_slots(rows: DataFrame, hashes, bits: int) -> DataFrame:
-    """Slots of a bit table that more than one of ``hashes(value)``, over all rows, fall into."""
+    """Slots of a bit table for the values that occur more than once among ``hashes(value)`` of all rows.
+
+    Values are counted by FINER more bits than the table has, so few of them share a count by chance.
+    """
     def run(batches):
         for batch in batches:
             found = np.concatenate([np.empty(0, np.uint64), *map(hashes, batch.column(0).to_pylist())])
-            slot, n = np.unique(found >> np.uint64(64 - bits), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)),
-                                              pa.array(np.minimum(n, 2).astype(np.int32))], ["slot", "n"])
-    return (rows.mapInArrow(run, "slot int, n int")
-            .groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").select("slot"))
+            value, n = np.unique(found >> np.uint64(64 - bits - FINER), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)),
+                                              pa.array(np.minimum(n, 2).astype(np.int32))], ["value", "n"])
+    return (rows.mapInArrow(run, "value long, n int").groupBy("value").agg(F.sum("n").alias("n")).where("n > 1")
+            .select(F.shiftright("value", FINER).cast("int").alias("slot")))
 
 
 def _bit_table(slots: DataFrame, bits: int):
@@ -159,6 +164,16 @@ def _passes(table: np.ndarray, anchors: np.ndarray, bits: int) -> np.ndarray:
     return np.flatnonzero((table[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
 
 
+def _place_slot(bits: int) -> Column:
+    """The slot of a place (doc, mark, first) in a bit table; ``_at_places`` looks the same slot up."""
+    return F.expr(f"cast(shiftrightunsigned(xxhash64(doc, mark) ^ shiftleft(cast(first as long), 40), {64 - bits}) as int)")
+
+
+def _at_places(table: np.ndarray, keys: np.ndarray, first: np.ndarray, bits: int) -> np.ndarray:
+    """Which of the places, given as xxhash64(doc, mark) and first, the table has."""
+    return _passes(table, keys.view(np.uint64) ^ (first.astype(np.uint64) << np.uint64(40)), bits)
+
+
 def _chain_starts(some: np.ndarray) -> np.ndarray:
     """Where chains begin among the run numbers ``some``: first and last run of neighbours are alone."""
     if not len(some):
@@ -201,30 +216,43 @@ def _chain_rows(texts: DataFrame, table, length: int, seed: int, bits: int) -> D
     return texts.mapInArrow(run, _CHAINS)
 
 
-def _edge_rows(texts: DataFrame, table, length: int, seed: int, bits: int) -> DataFrame:
-    """A row for each run whose anchor passes the table, with the hashes of its windows."""
+def _runs_at(chains: DataFrame, table, bits: int) -> DataFrame:
+    """The runs of the chains whose places the table has."""
     def run(batches):
         held = _held(table)
+        for batch in batches:
+            some = pa.array(_at_places(held, batch.column(0).to_numpy(), batch.column(1).to_numpy(), bits))
+            yield batch.select(["doc", "mark", "runs"]).take(some)
+    keyed = chains.select(F.xxhash64("doc", "mark").alias("key"), "first", "doc", "mark", "runs")
+    return (keyed.mapInArrow(run, StructType([keyed.schema[c] for c in ("doc", "mark", "runs")]))
+            .select("doc", "mark", F.inline("runs")))
+
+
+def _edge_rows(texts: DataFrame, anchors, places, length: int, seed: int, bits: int) -> DataFrame:
+    """A row for each run whose anchor and place the tables have, with the hashes of its windows."""
+    def run(batches):
+        known, wanted = _held(anchors), _held(places)
         for batch in batches:
             parts = []
-            docs, marks = batch.column(0), batch.column(1)
+            docs, marks, keys = batch.column(0), batch.column(1), batch.column(3).to_numpy()
             for n, t in enumerate(batch.column(2).to_pylist()):
                 runs = Runs(t, length, seed)
-                some = _passes(held, runs.anchor, bits)
+                some = _passes(known, runs.anchor, bits)
+                some = some[_at_places(wanted, keys[n:n + 1], runs.first[some], bits)]
                 if len(some):
                     raw, first, last = runs.windows(), runs.first[some], runs.last[some]
-                    parts.append((np.full(len(some), n), runs.anchor[some], runs.whole(some), first, last,
+                    parts.append((np.full(len(some), n), runs.anchor[some], first,
                                   [raw[a:b + 1].tobytes() for a, b in zip(first, last)]))
             if parts:
-                at, anchor, whole, first, last = (np.concatenate(c) for c in list(zip(*parts))[:5])
+                at, anchor, first = (np.concatenate(c) for c in list(zip(*parts))[:3])
                 at = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(anchor), _signed(whole), docs.take(at), marks.take(at), pa.array(first.astype(np.int32)),
-                     pa.array(last.astype(np.int32)), pa.array([w for p in parts for w in p[5]], pa.binary())], names)
+                    [_signed(anchor), docs.take(at), marks.take(at), pa.array(first.astype(np.int32)),
+                     pa.array([w for p in parts for w in p[3]], pa.binary())], names)
 
-    schema = "anchor long, whole long, doc long, mark long, first int, last int, windows binary"
+    schema = "anchor long, doc long, mark long, first int, windows binary"
     names = [column.split()[0] for column in schema.split(", ")]
-    return texts.mapInArrow(run, schema)
+    return texts.withColumn("key", F.xxhash64("doc", "mark")).mapInArrow(run, schema)
 
 
 def _windows_of(raw: bytes) -> np.ndarray:
@@ -261,16 +289,16 @@ def repeat_windows(docs: DataFrame, mark: Column, *, id: str = "doc_id", text: s
     chains = written(_chain_rows(texts, table, length, seed, bits), "chains")
     table.destroy()
     place = F.struct("doc", "mark", "first")
+    slot = _place_slot(bits).alias("slot")
     same = ["head", "chain"]
-    repeated = written(chains.groupBy(*same).agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n"))
-                       .where("n > 1").drop("n"), "chain-classes")
+    chain_classes = written(chains.groupBy(*same).agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")),
+                            "chain-classes")
     # Chains that agree with an earlier one are repeats as they are.
-    spans = (chains.drop("runs").join(repeated, same).where(F.col("earliest") < place)
-             .select("doc", "mark", "first", "last"))
-    # Every run, and the earliest of each kind, is in a chain that is left.
-    left = (chains.join(repeated, same, "left").where(F.col("earliest").isNull() | (F.col("earliest") == place))
-            .select("doc", "mark", F.inline("runs")))
-    runs = written(left, "runs")
+    spans = (chains.drop("runs").join(chain_classes.where("n > 1").drop("n"), same)
+             .where(F.col("earliest") < place).select("doc", "mark", "first", "last"))
+    # Every run, and the earliest of each kind, is in the earliest chain of a class.
+    left = _bit_table(chain_classes.select("earliest.*").select(slot), bits)
+    runs = _runs_at(chains, left, bits)
     classes = written(runs.groupBy("anchor", "whole")
                       .agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")), "run-classes")
 
@@ -279,15 +307,14 @@ def repeat_windows(docs: DataFrame, mark: Column, *, id: str = "doc_id", text: s
              .where(F.col("earliest") < place).select("doc", "mark", "first", "last")).union(spans)
 
     # Anchors in different surroundings: the windows of the earliest run of each kind.
-    mixed = (classes.groupBy("anchor").agg(F.min("whole").alias("a"), F.max("whole").alias("b"))
-             .where("a <> b").select(F.expr(f"cast(shiftrightunsigned(anchor, {64 - bits}) as int)").alias("slot"))
-             .distinct())
-    table = _bit_table(mixed, bits)
-    edges = _edge_rows(texts, table, length, seed, bits)
-    firsts = written(edges.groupBy("anchor", "whole")
-                     .agg(F.min(F.struct("doc", "mark", "first", "windows")).alias("run"))
-                     .select("anchor", "run.*"), "edge-runs")
-    table.destroy()
+    value = F.expr(f"shiftrightunsigned(anchor, {64 - bits - FINER})").alias("value")
+    mixed = (classes.groupBy(value).count().where("count > 1")
+             .select(F.shiftright("value", FINER).cast("int").alias("slot")))
+    anchors = _bit_table(mixed, bits)
+    places = _bit_table(classes.select("earliest.*").select(slot), bits)
+    firsts = written(_edge_rows(texts, anchors, places, length, seed, bits), "edge-runs")
+    anchors.destroy()
+    places.destroy()
     table = _bit_table(_repeated_slots(firsts.select("windows"), _windows_of, bits), bits)
     windows = _window_rows(firsts, table, bits)
     at = F.struct("doc", "mark", "start")
@@ -297,6 +324,7 @@ def repeat_windows(docs: DataFrame, mark: Column, *, id: str = "doc_id", text: s
               .select("doc", "mark", F.col("start").alias("first"), F.col("start").alias("last")))
     found = written(whole.union(single), "repeat-windows")
     table.destroy()
+    left.destroy()
     return found
 
 
@@ -312,7 +340,7 @@ def _finish(docs: DataFrame, finish, schema: StructType, *, id: str, text: str,
     found = written(repeat_windows(docs, mark, id=id, text=text, bits=bits, **options).groupBy("doc", "mark")
                     .agg(F.collect_list(F.struct("first", "last")).alias("repeats")), "repeats")
     table = _bit_table(found.select(F.expr(f"cast(shiftrightunsigned(xxhash64(doc, mark), {64 - bits}) as int)")
-                                    .alias("slot")).distinct(), bits)
+                                    .alias("slot")), bits)
     keyed = docs.select(*(docs[c].alias(f"column {n}") for n, c in enumerate(names)),
                         docs[id].cast("long").alias("doc"), mark.alias("mark"))
     keyed = keyed.withColumn("key", key)
