@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from shelfmark.operators.sizing import BROADCAST_BYTES, join_sized
+
 #: Fit for some million URLs; give a store of billions some thousand buckets.
 BUCKETS = 8
 #: Bitmaps per bucket. With three bits per URL one new URL in 120 passes a bitmap that holds 150.
@@ -92,10 +94,10 @@ class BucketStore:
             rows = rows.where(F.col("bucket").isin(buckets))
         return rows.select(self.url)
 
-    def drop_known(self, df: DataFrame) -> DataFrame:
+    def drop_known(self, df: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
         """The rows whose URL is not stored."""
         stored = self.urls_of(self.may_hold(df.select(self.url)))
-        return df if stored is None else df.join(stored, self.url, "left_anti")
+        return df if stored is None else join_sized(df, stored, [self.url], "left_anti", broadcast_bytes=broadcast_bytes)
 
     def append(self, rows: DataFrame, urls: DataFrame | None = None) -> None:
         """Add rows whose URLs are known to be absent and distinct; ``urls`` are theirs, if they lie ready."""

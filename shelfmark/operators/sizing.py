@@ -15,8 +15,9 @@ def join_sized(wide: DataFrame, keys: DataFrame, on: list[str], how: str, *,
 
     A small list, by its bytes, is sent to the rows; a large one is joined by
     shuffle. Leaving the choice to run-time statistics would shuffle the wide
-    side before they are known.
+    side before they are known; leaving it to the planner would go by the size
+    of compressed files, a small part of what the keys take in the driver.
     """
     row = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in on), F.lit(_ROW_BYTES))
     size = keys.agg(F.coalesce(F.sum(row.cast("bigint")), F.lit(0))).head()[0]
-    return wide.join(F.broadcast(keys) if size <= broadcast_bytes else keys, on, how)
+    return wide.join(F.broadcast(keys) if size <= broadcast_bytes else keys.hint("merge"), on, how)

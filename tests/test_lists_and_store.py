@@ -204,6 +204,16 @@ def test_inserts_open_few_buckets(spark, tmp_path):
     assert small.read().count() == 3010 and small.drop_known(named(3005, 3015)).count() == 5
 
 
+def test_many_stored_urls_are_not_broadcast(spark, tmp_path):
+    """The files of 150,000 like URLs are small, the URLs are not."""
+    url = F.concat(F.lit("https://s.example/" + "x" * 100 + "/"), F.col("id").cast("string")).alias("url")
+    held = store.open_store(spark, str(tmp_path / "urls"))
+    held.append(source.in_store_form(spark.range(150_000).select(url)))
+    left = held.drop_known(spark.range(149_990, 150_010).select("id", url))
+    assert "Broadcast" not in left._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.id for r in left.collect()) == list(range(150_000, 150_010))
+
+
 def test_first_row_of_a_url_that_comes_very_often(spark):
     rows = spark.range(20_000).select(F.when(F.col("id") < 15_000, "hot").otherwise(F.format_string("u%d", F.col("id") % 900)).alias("url"),
                                       (F.lit(20_000) - F.col("id")).alias("seq"), F.col("id").alias("name"))
