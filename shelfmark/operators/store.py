@@ -106,7 +106,7 @@ def open_store(spark: SparkSession, path: str, **options) -> BucketStore:
     return BucketStore(spark, path, source.STORE, **options)
 
 
-def insert_if_absent(new: DataFrame, path: str, seq: str) -> None:
+def insert_if_absent(new: DataFrame, path: str, seq: str, broadcast_bytes: int = BROADCAST_BYTES) -> None:
     """Append the absent rows. Running it again with the same rows adds none.
 
     Only buckets that may hold one of the new URLs are opened. One writer per store: two at a time
@@ -115,9 +115,9 @@ def insert_if_absent(new: DataFrame, path: str, seq: str) -> None:
     held = open_store(new.sparkSession, path)
     # Settled on URL and number alone; whole rows are joined back only for URLs that are absent.
     first = saved(new.groupBy("url").agg(F.min(seq).alias(seq)), "first-rows")
-    fresh = saved(held.drop_known(first), "absent-rows")
+    fresh = saved(held.drop_known(first, broadcast_bytes), "absent-rows")
     if not fresh.isEmpty():
-        rows = first_per_url(new.join(fresh, ["url", seq], "left_semi"), seq)
+        rows = first_per_url(join_sized(new, fresh, ["url", seq], "left_semi", broadcast_bytes=broadcast_bytes), seq)
         held.append(source.in_store_form(rows), fresh)
 
 

@@ -214,6 +214,19 @@ def test_many_stored_urls_are_not_broadcast(spark, tmp_path):
     assert sorted(r.id for r in left.collect()) == list(range(150_000, 150_010))
 
 
+def test_many_new_urls_are_not_broadcast(spark, tmp_path, monkeypatch):
+    plans = []
+
+    def append(self, rows, urls=None):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        assert rows.count() == 150_000
+    monkeypatch.setattr(store.BucketStore, "append", append)
+    url = F.concat(F.lit("https://s.example/" + "x" * 100 + "/"), (F.col("id") % 150_000).cast("string")).alias("url")
+    new = spark.range(150_010).select(url, F.lit("n").alias("name"), F.col("id").alias("seq"))
+    store.insert_if_absent(new, str(tmp_path / "new-urls"), "seq")
+    assert len(plans) == 1 and "Broadcast" not in plans[0]
+
+
 def test_first_row_of_a_url_that_comes_very_often(spark):
     rows = spark.range(20_000).select(F.when(F.col("id") < 15_000, "hot").otherwise(F.format_string("u%d", F.col("id") % 900)).alias("url"),
                                       (F.lit(20_000) - F.col("id")).alias("seq"), F.col("id").alias("name"))
