@@ -159,3 +159,15 @@ def test_urls(spark):
         urls.is_short_link(F.lit("http://goXexample/Ab"), "go.example")).first()
     assert row[:] == ("https://s.example/a.html", "https://o//h/x", "https://h/x", "rel", "https://o/p",
                       "https://s.example/a.html?x=1.html&page=3", "rel?page=3", True, False)
+
+
+def test_title_case_of_every_letter(spark):
+    """Whole texts are cased as run by run, whatever letters they have."""
+    letters = [c for c in map(chr, range(1, 0x2000)) if c.upper() != c or c.lower() != c]
+    around = [a + c + b for c in letters for a, b in (("", ""), ("a", "B"), (" ", "b"), ("5", "b"), ("-B", "."))] + ["\ue000 a", "x\ue000 y"]
+    runs = F.regexp_extract_all("s", F.lit(f"([{text._CASED}]+|[^{text._CASED}]+)"), F.lit(1))
+    rows = spark.createDataFrame([(v,) for v in around], "s string")
+    by_run = F.array_join(F.transform(runs, text.upper_first), "")
+    assert rows.where(~by_run.eqNullSafe(text.title_case(F.col("s")))).collect() == []
+    plan = rows.select(text.title_case(F.col("s")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "initcap" in plan
