@@ -284,3 +284,17 @@ def test_typed_prices_settle_their_own_separators(spark):
         assert row["current_price"] == Decimal(current)
         assert row["old_price"] == (Decimal(old) if old else None)
         assert row["discount_pct"] == off
+
+
+def test_heavy_rows_are_dealt_to_all_cores(spark, tmp_path):
+    """Files of few row groups leave most splits empty."""
+    from shelfmark.catalogue import QUERIES
+    part = spark.createDataFrame([(n, "t", "n", "b") for n in range(400)], "p_partkey long, p_type string, p_name string, p_brand string")
+    docs = spark.createDataFrame([(n, "some text") for n in range(400)], "doc_id long, text string")
+    part.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for n in range(60):  # as many splits as cores, nearly all rows in one
+        (docs if n == 0 else docs.limit(0)).coalesce(1).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    for name in ("spec_lines_whole", "name_normalize"):
+        at = QUERIES[name](spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).distinct()
+        assert at.count() >= cores, name
