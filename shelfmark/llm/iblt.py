@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 PHRASE_WORDS = 12
 #: Differing digests that a sketch is to recover, and sizes up to which no sample is taken.
-BUCKET = 8
+BUCKET = 6
 SAMPLED_FROM = 64
 #: One digest in so many is in the sample.
 SAMPLE = 8
@@ -42,8 +42,8 @@ _PHRASE = r"(?:\S++(?<![.!?])[ \t]++){0,%d}\S++\s*+" % (PHRASE_WORDS - 1)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it in ``body``."""
-    return F.transform(F.array(value), body)[0]
+    """Evaluate ``value`` once and use it in ``body``, as the finish of a fold over nothing: that copies no value."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, body)
 
 
 def phrases(text: Column) -> Column:
@@ -54,7 +54,7 @@ def phrases(text: Column) -> Column:
 
 def parts(digests: Column) -> Column:
     """Distinct phrase digests, sorted."""
-    return F.array_sort(F.array_distinct(digests))
+    return F.sort_array(F.array_distinct(digests))
 
 
 def _check(key: Column) -> Column:
@@ -62,32 +62,33 @@ def _check(key: Column) -> Column:
 
 
 def _places(key: Column, cells: int) -> list[Column]:
-    third = cells // 3
-    return [(F.pmod(F.xxhash64(key, F.lit(3 * cells + n)), F.lit(third)) + n * third).cast("int").alias(f"p{n}")
-            for n in range(3)]
+    """The place of a digest in each third of the cells, counted from the third's first."""
+    return [F.pmod(F.xxhash64(key, F.lit(3 * cells + n)), F.lit(cells // 3)).cast("int").alias(f"p{n}") for n in range(3)]
 
 
-def _placed(key: Column, n: Column, cells: int) -> Column:
-    return F.struct(n.alias("n"), key.alias("k"), _check(key).alias("c"), *_places(key, cells))
+def _placed(key: Column, n: Column, check: Column, cells: int) -> Column:
+    return F.struct(n.alias("n"), key.alias("k"), check.alias("c"), *_places(key, cells))
 
 
-def _added(cell: Column, at: Column, entries: Column, third: int, sign: int) -> Column:
-    """A cell after adding (or taking out) the entries that have their place of this third in it."""
+def _added(cells: Column, entries: Column, third: int, sign: int, cell: Callable[[Column], Column] = lambda c: c) -> Column:
+    """The cells of a third after adding (or taking out) the entries; cells that no entry is placed in stay as they are."""
     def step(s, e):
-        return F.struct((s["n"] + sign * e["n"]).alias("n"), s["k"].bitwiseXOR(e["k"]).alias("k"), s["c"].bitwiseXOR(e["c"]).alias("c"))
-    return F.aggregate(F.filter(entries, lambda e: e[f"p{third}"] == at), cell, step)
+        n = s["n"] + e["n"] if sign > 0 else s["n"] - e["n"]
+        return F.struct(n.alias("n"), s["k"].bitwiseXOR(e["k"]).alias("k"), s["c"].bitwiseXOR(e["c"]).alias("c"))
+
+    def of(places):
+        return F.transform(cells, lambda c, at: F.when(F.array_contains(places, at), F.aggregate(
+            F.filter(entries, lambda e: e[f"p{third}"] == at), cell(c), step)).otherwise(cell(c)))
+    return _let(F.transform(entries, lambda e: e[f"p{third}"]), of)
 
 
 def sketch(keys: Column, cells: int) -> Column:
     """``cells`` structs (n, k, c)."""
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
-    entries = F.transform(keys, lambda k: _placed(k, F.lit(1), cells))
-    size = cells // 3
-
-    def third(some: Column, n: int) -> Column:
-        return F.transform(F.sequence(F.lit(n * size), F.lit((n + 1) * size - 1)), lambda at: _added(zero, at, some, n, 1))
+    entries = F.transform(keys, lambda k: _placed(k, F.lit(1), _check(k), cells))
 
-    return _let(entries, lambda some: F.concat(*(third(some, n) for n in range(3))))
+    third = F.sequence(F.lit(1), F.lit(cells // 3))
+    return _let(entries, lambda some: F.concat(*(_added(third, some, n, 1, lambda _: zero) for n in range(3))))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -107,13 +108,13 @@ def peel(cells: Column, size: int) -> Column:
     def step(state: Column, third: int) -> Column:
         own = state[f"t{third}"]
         single = F.filter(own, lambda c: (F.abs(c["n"]) == 1) & (_check(c["k"]) == c["c"]))
-        found = F.transform(single, lambda c: _placed(c["k"], c["n"], size))
+        found = F.transform(single, lambda c: _placed(c["k"], c["n"], c["c"], size))
 
         def without(some: Column, n: int) -> Column:
             if n == third:
-                return F.transform(own, lambda c: F.when(
-                    F.exists(some, lambda e: (e["k"] == c["k"]) & (e["c"] == c["c"])), zero).otherwise(c))
-            return F.transform(state[f"t{n}"], lambda c, at: _added(c, at + n * part, some, n, -1))
+                return F.transform(own, lambda c: F.when((F.abs(c["n"]) == 1) & F.exists(
+                    some, lambda e: (e["k"] == c["k"]) & (e["c"] == c["c"])), zero).otherwise(c))
+            return _added(state[f"t{n}"], some, n, -1)
 
         return _let(found, lambda some: F.when(F.size(some) == 0, state).otherwise(F.struct(
             *(without(some, n).alias(f"t{n}") for n in range(3)),
