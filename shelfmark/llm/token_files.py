@@ -50,15 +50,19 @@ class PieceEncoder:
     For tokenizers whose pattern drops white space, so that no token reaches over a blank. Names of added
     tokens inside a piece are left to the library: they have their own id, as by its default. New pieces
     are encoded many at a time, with a mark between them whose id nothing else can have. Pieces of
-    printable ASCII without apostrophes go to the library's BPE model directly, letters, digits and signs
+    printable ASCII without apostrophes and of accented letters of Latin-1 go to the library's BPE model directly, letters, digits and signs
     apart, provided that the whole tokenizer gives the same ids for the probes.
     """
 
     _MARK = "\x01"
     _AT_ONCE = 256
-    _PLAIN = re.compile("[!-&(-~]+")
-    _PARTS = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
-    _PROBES = ["word", "Word,", "AbC", "a1b22c", "x.y/z", "!?", "...", "(a)", "99%%", "U.S.A.", "a-b_c", "@#$", "Qu\"x", "k+1=2;", "~`|<>"]
+    _PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
+    _PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+    #: The signs by which a byte-level vocabulary spells the UTF-8 bytes of the accented small letters.
+    _SPELT = {0xC0 + b - 0x80: "Ã" + chr(0x122 + b - 0x80 if b <= 0xA0 else 0x143 if b == 0xAD else b)
+              for b in range(0x9F, 0xC0) if b != 0xB7}
+    _PROBES = ["word", "Word,", "AbC", "a1b22c", "x.y/z", "!?", "...", "(a)", "99%%", "U.S.A.", "a-b_c", "@#$", "Qu\"x", "k+1=2;", "~`|<>",
+               "Été,", "naïve", "Straße1ø.", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", *"ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"]
 
     def __init__(self, path: str):
         import os
@@ -97,7 +101,8 @@ class PieceEncoder:
         parts, known = [lower] if lower.isalpha() else self._PARTS.findall(lower), self.parts
         for part in parts:
             if part not in known:
-                known[part] = b"".join([self.coded[t.id] for t in self.tokenizer.model.tokenize(part)])
+                spelt = part if part.isascii() else part.translate(self._SPELT)
+                known[part] = b"".join([self.coded[t.id] for t in self.tokenizer.model.tokenize(spelt)])
         return known[lower] if len(parts) == 1 else b"".join([known[part] for part in parts])
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -124,7 +129,7 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if not self.piecewise:
             return self._ids([t or "" for t in texts])
-        pieces = [re.sub("[\t\r\n]", " ", t).split(" ") if t else [] for t in texts]
+        pieces = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
         new = list(set(chain.from_iterable(pieces)).difference(self.known))
         if self.before:
             get = self.before.get
