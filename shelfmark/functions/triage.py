@@ -43,5 +43,6 @@ def page_kind(url: Column, low: Column, *,
 
 def product_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """The pages whose kind is ``product``, with the same columns."""
-    low = pages.withColumn("_low", F.lower(html))
-    return low.where(page_kind(F.col(url), F.col("_low")) == "product").drop("_low")
+    # a lambda, as a column would be put in for each of the words: every one would lower the whole page again
+    kind = F.transform(F.array(F.lower(html)), lambda low: page_kind(F.col(url), low))[0]
+    return pages.where(kind == "product")

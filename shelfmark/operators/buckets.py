@@ -22,8 +22,9 @@ BUCKETS = 8
 SLOTS = 256
 PROBES = 3
 _BITS = 2048
-#: Tasks that write the buckets of an append, at most.
+#: Tasks that write the buckets of an append, at most, and rows of a bucket from which a second one helps.
 WRITERS = 1000
+SHARE_ROWS = 50_000
 _LAYOUT = T.StructType([T.StructField("buckets", T.IntegerType()), T.StructField("slots", T.IntegerType())])
 
 
@@ -100,13 +101,18 @@ class BucketStore:
         return df if stored is None else join_sized(df, stored, [self.url], "left_anti", broadcast_bytes=broadcast_bytes)
 
     def append(self, rows: DataFrame, urls: DataFrame | None = None) -> None:
-        """Add rows whose URLs are known to be absent and distinct; ``urls`` are theirs, if they lie ready."""
+        """Add rows whose URLs are known to be absent and distinct; ``urls`` are theirs, if they lie ready.
+
+        Ready URLs are counted, and the buckets of a large append are written by several tasks each.
+        """
         url, slot = F.col(self.url), _slot(F.col(self.url), self.buckets, self.slots)
         ((rows if urls is None else urls).select(slot.alias("slot"), F.explode(F.array(*_probes(url))).alias("bit"))
          .groupBy("slot").agg(F.substring(F.bitmap_construct_agg("bit"), 1, _BITS // 8).alias("bitmap"))
          .coalesce(1 + self.buckets * self.slots // (1 << 16)).write.mode("append").parquet(f"{self.path}/filters"))
+        each = 1 if urls is None else max(1, min(urls.count() // SHARE_ROWS, WRITERS) // self.buckets)
+        dealt = ["bucket"] if each == 1 else ["bucket", F.pmod(F.xxhash64(url, F.lit("share")), F.lit(each))]
         (rows.select(*self.schema.fieldNames(), F.floor(slot / self.slots).cast("int").alias("bucket"))
-         .repartition(min(self.buckets, WRITERS), "bucket")
+         .repartition(min(self.buckets * each, WRITERS), *dealt)
          .write.mode("append").partitionBy("bucket").parquet(f"{self.path}/rows"))
 
     def compact(self, target: str) -> BucketStore:

@@ -15,6 +15,7 @@ from shelfmark.operators import gate, store
 from shelfmark.operators.markup import ExtractConfig
 from shelfmark.operators.products import extract_products
 from shelfmark.schema import PAGES
+from shelfmark.session import saved
 from shelfmark.sources.products import in_store_form
 
 
@@ -48,17 +49,15 @@ def start_extract(pages: DataFrame, store_path: str, checkpoint: str, *,
         todo = held.drop_known(batch)
         if triage_pages:
             todo = triage.product_pages(todo)
-        made = extract_products(todo, keep=(seq,), config=config, locale=locale).persist()  # parsed once
-        try:
-            if failed_path is not None:
-                write_batch(gate.failed_pages(made, seq), failed_path, batch_id)
-            good = gate.valid_products(made.where(F.col("_error").isNull())).drop("_error")
-            fresh = in_store_form(store.first_per_url(good, seq).drop(seq))
-            if on_saved is not None:
-                on_saved(fresh, batch_id)
-            held.append(fresh)
-        finally:
-            made.unpersist()
+        # parsed once and ranked once, however often the rows are read from there on
+        made = saved(extract_products(todo, keep=(seq,), config=config, locale=locale), "parsed-rows")
+        if failed_path is not None:
+            write_batch(gate.failed_pages(made, seq), failed_path, batch_id)
+        good = gate.valid_products(made.where(F.col("_error").isNull())).drop("_error")
+        fresh = saved(in_store_form(store.first_per_url(good, seq).drop(seq)), "fresh-rows")
+        if on_saved is not None:
+            on_saved(fresh, batch_id)
+        held.append(fresh, fresh.select("url"))
 
     return (pages.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

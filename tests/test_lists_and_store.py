@@ -7,7 +7,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.operators import discovery, store, urllists
+from shelfmark import session
+from shelfmark.operators import buckets, discovery, store, urllists
 from shelfmark.plans import lifecycle
 from shelfmark.sources import categories, pages as page_files, products as source, urllists as files
 
@@ -318,3 +319,24 @@ def test_bucketed_pages_are_not_shuffled(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE landed_pages")
+
+
+def test_large_append_is_written_by_several_tasks_a_bucket(spark, tmp_path, monkeypatch):
+    rows = spark.range(400).select(F.format_string("u%d", "id").alias("url"), F.lit("n").alias("name"))
+    monkeypatch.setattr(buckets, "SHARE_ROWS", 25)      # 16 shares of 25 rows in 2 buckets
+    held = store.open_store(spark, str(tmp_path / "large"), buckets=2)
+    new = source.in_store_form(rows)
+    held.append(new, new.select("url"))
+    assert len(list((tmp_path / "large" / "rows").glob("bucket=0/*.parquet"))) > 1
+    assert sorted(r["url"] for r in held.read().collect()) == sorted(f"u{n}" for n in range(400))
+    assert held.drop_known(rows).isEmpty()
+
+
+def test_files_are_read_in_pieces_that_fill_the_cores(spark):
+    name, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for given, kept in (("128MB", str(32 << 20)), ("16m", "16m"), (str(1 << 30) + "b", str(32 << 20))):
+            spark.conf.set(name, given)
+            assert session.tune(spark).conf.get(name) == kept
+    finally:
+        spark.conf.set(name, before)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import random
 from decimal import Decimal
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions import triage
-from shelfmark.operators import gate, products
+from shelfmark.operators import gate, markup, products
 from shelfmark.operators.blocks import CONTRACT_LIMITS, SpecLimits
-from shelfmark.operators.markup import ExtractConfig, candidates, parse_pages
+from shelfmark.operators.markup import ExtractConfig, PageNodes, candidates, parse_pages
 
 JSON = '<script type="application/json">%s</script>'
 RADIO = '<div class="product-intro__size-radio%s"%s>%s</div>'
@@ -298,3 +299,62 @@ def test_heavy_rows_are_dealt_to_all_cores(spark, tmp_path):
     for name in ("spec_lines_whole", "name_normalize"):
         at = QUERIES[name](spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).distinct()
         assert at.count() >= cores, name
+
+
+class LibraryNodes(PageNodes):
+    """The nodes by the library's own loop alone."""
+    goahead = HTMLParser.goahead
+
+
+BITS = ["<", ">", "</", "/>", '"', " ", "&", "&amp;", "&#65;", "<script>", "</script>", "</ script>", "</SCRIPT >", "</scriptx>", "<style>",
+        "</style>", "<!--", "-->", "<![CDATA[", "]]>", "<?pi ?>", "<!doctype x>", "<title>", "</title>", "<br/>", "<br>", "<p class=a>", "<DIV  ID=\"X\" a>",
+        '<p class="a b" class="c" disabled>', "</DIV >", "</>", '<a href="?a=1&b=2">', "\n", "\x00", "é", "<h1>", "</h1>", "<x-y z>", "text",
+        '<p id="a>b" title="x<y">', "<1", "<![bad[x]]>", '<span class="price-current">', "</span>", "</p>", "SKU: 1"]
+
+
+def test_short_way_builds_the_same_nodes():
+    def nodes(kind, html):
+        try:
+            page = kind(html)
+        except Exception as broken:
+            return repr(broken)
+        return page.tag, page.attr, page.up, page.end, page.at, page.raw, page.shown, page.trimmed
+    rnd = random.Random(3)
+    made = ["".join(rnd.choices(BITS, k=rnd.randint(1, 14))) for _ in range(4000)]
+    for html in [*made, *(p[0] for p in PAGES.values()), ""]:
+        assert nodes(PageNodes, html) == nodes(LibraryNodes, html), html
+
+
+def test_plain_tags_take_the_short_way(monkeypatch):
+    def refuse(self, i):
+        raise AssertionError("the library's method was called")
+    for name in ("parse_starttag", "parse_endtag"):
+        monkeypatch.setattr(HTMLParser, name, refuse)
+    page = PageNodes('<body><div class="a b" id="x"><p>one &amp; two</p><br></div></body>')
+    assert page.text(0) == "one & two" and page.by_tag == {"body": [1], "div": [2], "p": [3], "br": [5]}
+
+
+def test_remembered_attributes_stay_bounded():
+    for n in range(2 * markup._MOST):
+        list(PageNodes(f'<p class="c{n}">').select(("p", "class", "like", "c")))
+    assert len(markup._ATTRS) <= markup._MOST and len(markup._SEEN) <= markup._MOST
+
+
+def test_triage_lowers_a_page_once(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>SKU PRICE</p>"), (2, "u", None), (3, "captcha", "sku price")], "page_id long, url string, html string")
+    kept = triage.product_pages(pages)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(html#") == 1
+    assert [r["page_id"] for r in kept.collect()] == [1]
+
+
+def test_names_are_cleaned_once_for_both_lengths(spark):
+    long = "big blue, shirt " * 8
+    df = spark.createDataFrame([([None, "", long, "b"],), ([None, ""],), (None,)], "name_c array<string>")
+    named = products.with_name(df).select("name", "name_whole")
+    plan = named._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("initcap(") == 1
+    whole = "Big Blue Shirt " * 8
+    assert [tuple(r) for r in named.collect()] == [
+        ("Big Blue Shirt Big Blue Shirt Big Blue Shirt Big Blue Shirt Big Blue Shirt Big", whole.strip()),
+        ("Unknown Product", None), ("Unknown Product", None)]

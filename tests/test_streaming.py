@@ -94,3 +94,14 @@ def test_a_batch_that_runs_again_replaces_its_failures(spark, tmp_path):
     failed = spark.read.parquet(f"{path}-failed").collect()
     assert [(r["url"], r["seq"]) for r in failed] == [("bad", 9)] and failed[0]["error"].startswith("AssertionError")
     assert read_store(spark, path).count() == 4
+
+
+def test_a_batch_is_parsed_and_ranked_once(spark, tmp_path, monkeypatch):
+    landed = str(tmp_path / "landed")
+    rows = [(n, f"u{n}", PAGE % ("thing", n)) for n in range(1, 4)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(landed)
+    plans = []
+    landing.start_extract(landing.read_landing(spark, landed), str(tmp_path / "store"), str(tmp_path / "cp"), on_saved=lambda df, n: plans.append(
+        df._jdf.queryExecution().optimizedPlan().toString())).awaitTermination()
+    assert len(plans) == 1 and "Window" not in plans[0] and "MapInArrow" not in plans[0]
+    assert read_store(spark, str(tmp_path / "store")).count() == 3
