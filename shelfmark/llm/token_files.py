@@ -25,10 +25,10 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from shelfmark.llm.eliasfano import EliasFano
@@ -36,52 +36,65 @@ from shelfmark.session import work_path
 
 #: Ids after which a file is closed.
 FILE_TOKENS = 8 << 20
-#: Distinct pieces of text whose ids a worker remembers, twice over, and the longest of them.
-CACHED_PIECES = 400_000
-LONGEST_PIECE = 64
+#: Bytes of text that are encoded at a time, at least, unless a task has less: pieces that repeat in them are encoded once.
+BLOCK_BYTES = 8 << 20
+#: Distinct parts of pieces whose ids a worker remembers, twice over, and the longest of them.
+CACHED_PARTS = 400_000
+LONGEST_PART = 64
 
 _MAGIC = b"IDF1"
 _HEAD = "<4sBQq3Q"
 
 
+def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``values[start:start + size]`` of the numbers in ``order``, one after the other, and their bounds."""
+    sizes = sizes[order]
+    bounds = np.append(0, np.cumsum(sizes))
+    places = np.repeat(starts[order] - bounds[:-1], sizes)
+    places += np.arange(len(places))
+    return values[places], bounds
+
+
 class PieceEncoder:
-    """Encodes texts piece by piece between blanks, remembering the pieces it has met.
+    """Encodes a block of texts piece by piece between blanks, each distinct piece once.
 
     For tokenizers whose pattern drops white space, so that no token reaches over a blank. Names of added
-    tokens inside a piece are left to the library: they have their own id, as by its default. New pieces
+    tokens inside a piece are left to the library: they have their own id, as by its default. Pieces
     are encoded many at a time, with a mark between them whose id nothing else can have. Pieces of
-    printable ASCII without apostrophes and of accented letters of Latin-1 go to the library's BPE model directly, letters, digits and signs
-    apart, provided that the whole tokenizer gives the same ids for the probes.
+    printable ASCII without apostrophes and of accented letters of Latin-1 are cut into their letters, digits and
+    signs here, and each distinct part goes to the library's BPE model without the normalizer and the pattern,
+    provided that the whole tokenizer gives the same ids for the probes.
     """
 
     _MARK = "\x01"
     _AT_ONCE = 256
+    _PARTS_AT_ONCE = 1024
     _PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
-    _PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-    #: The signs by which a byte-level vocabulary spells the UTF-8 bytes of the accented small letters.
-    _SPELT = {0xC0 + b - 0x80: "Ã" + chr(0x122 + b - 0x80 if b <= 0xA0 else 0x143 if b == 0xAD else b)
-              for b in range(0x9F, 0xC0) if b != 0xB7}
+    #: Of each byte of a lower-case plain piece: 1 in a letter, 2 a digit, 0 a sign.
+    _BYTE_KINDS = np.array([1 if 97 <= n <= 122 or n >= 128 else 2 if 48 <= n <= 57 else 0 for n in range(256)], np.uint8)
     _PROBES = ["word", "Word,", "AbC", "a1b22c", "x.y/z", "!?", "...", "(a)", "99%%", "U.S.A.", "a-b_c", "@#$", "Qu\"x", "k+1=2;", "~`|<>",
-               "Été,", "naïve", "Straße1ø.", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", *"ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"]
+               "Été,", "naïve", "Straße1ø.", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", *"ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ",
+               *(f"a{chr(n)}b" for n in range(33, 127) if n != 39)]
 
     def __init__(self, path: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
+        #: Its model alone, for parts in lower case with a blank between them.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         #: Names that stand for one id wherever they are in a text, as the library has it by default.
         self.names = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.starts = {sign for name in self.names for sign in name[:1] + name[:1].upper()}
         self.piecewise = not any(re.search(r"\s", name) for name in self.names)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         mark = self.tokenizer.encode(self._MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-        self.parts: dict[str, bytes] = {}
-        self.coded = [n.to_bytes(self.width, "little") for n in range(self.tokenizer.get_vocab_size())]
-        self.direct = all(self._direct(p) == self._ids([p])[0].tobytes() for p in self._PROBES)
+        self.direct = all(self._direct(p) == ids.tobytes() for p, ids in zip(self._PROBES, self._ids(self._PROBES)))
 
     @classmethod
     def of_worker(cls, path: str) -> PieceEncoder:
@@ -97,55 +110,104 @@ class PieceEncoder:
         return kept[path]
 
     def _direct(self, piece: str) -> bytes:
-        lower = piece.lower()
-        parts, known = [lower] if lower.isalpha() else self._PARTS.findall(lower), self.parts
-        for part in parts:
-            if part not in known:
-                spelt = part if part.isascii() else part.translate(self._SPELT)
-                known[part] = b"".join([self.coded[t.id] for t in self.tokenizer.model.tokenize(spelt)])
-        return known[lower] if len(parts) == 1 else b"".join([known[part] for part in parts])
+        return self._by_model(pc.utf8_lower(pa.array([piece])))[0].tobytes()
+
+    def _by_model(self, lower: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain pieces in lower case, none of them empty, and the bounds of each piece's."""
+        lower = lower.cast(pa.string())
+        _, ends, text = lower.buffers()
+        bounds = np.frombuffer(ends, np.int32)[lower.offset:lower.offset + len(lower) + 1]
+        kinds = self._BYTE_KINDS[np.frombuffer(text, np.uint8)[bounds[0]:bounds[-1]]]
+        first = np.append(True, (kinds[1:] != kinds[:-1]) | (kinds[1:] == 2))
+        first[bounds[:-1] - bounds[0]] = True
+        starts = np.append(np.flatnonzero(first) + bounds[0], bounds[-1]).astype(np.int32)
+        parts = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), text).dictionary_encode()
+        found = self._known(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        ids = np.frombuffer(b"".join(found), self.kind)
+        coded, ends = gather(ids, np.cumsum(sizes) - sizes, sizes, parts.indices.to_numpy())
+        return coded, ends[np.searchsorted(starts, bounds)]
+
+    def _known(self, parts: list[str]) -> list[bytes]:
+        """The ids of distinct parts, of which the model gets those that were not met of late."""
+        found = list(map(self.known.get, parts))
+        if None in found:
+            old = [(p, self.before.get(p)) for p, ids in zip(parts, found) if ids is None]
+            self.known.update((p, ids) for p, ids in old if ids is not None)
+            new = [p for p, ids in old if ids is None]
+            groups = [new[n:n + self._PARTS_AT_ONCE] for n in range(0, len(new), self._PARTS_AT_ONCE)]
+            for group, coded in zip(groups, self.model.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+                raw, width = np.array(coded.ids, self.kind).tobytes(), self.width
+                ends = np.cumsum(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(group))) * width
+                self.known.update(zip(group, map(raw.__getitem__, map(slice, [0, *ends.tolist()], ends.tolist()))))
+            found = list(map(self.known.__getitem__, parts))
+            for part in new:
+                if len(part) > LONGEST_PART:
+                    del self.known[part]
+        if len(self.known) > CACHED_PARTS:
+            self.known, self.before = {}, self.known
+        return found
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        if self.direct:
-            plain = [p for p in filter(self._PLAIN.fullmatch, pieces)
-                     if self.starts.isdisjoint(p) or not any(name in p.lower() for name in self.names)]
-            self.known.update(zip(plain, map(self._direct, plain)))
-            pieces = [p for p in pieces if p not in self.known]
-        alone = pieces if self.mark is None else [p for p in pieces if self._MARK in p]
-        self.known.update(zip(alone, (x.tobytes() for x in self._ids(alone))))
-        rest = pieces if not alone else [p for p in pieces if p not in self.known]
+    def _by_library(self, pieces: list[str]) -> list[np.ndarray]:
+        alone = [n for n, p in enumerate(pieces) if self.mark is None or self._MARK in p]
+        found = dict(zip(alone, self._ids([pieces[n] for n in alone])))
+        rest = [n for n in range(len(pieces)) if n not in found] if alone else range(len(pieces))
         groups = [rest[n:n + self._AT_ONCE] for n in range(0, len(rest), self._AT_ONCE)]
-        for group, ids in zip(groups, self._ids([f" {self._MARK} ".join(g) for g in groups])):
-            raw, width = ids.tobytes(), self.width
+        for group, ids in zip(groups, self._ids([f" {self._MARK} ".join([pieces[n] for n in g]) for g in groups])):
             ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
             starts = np.append(0, ends[:-1] + 1)
             if len(ends) != len(group):
                 raise ValueError("the mark between pieces was not kept apart")
-            self.known.update(zip(group, (raw[a * width:b * width] for a, b in zip(starts.tolist(), ends.tolist()))))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+            found.update(zip(group, (ids[a:b] for a, b in zip(starts.tolist(), ends.tolist()))))
+        return [found[n] for n in range(len(pieces))]
+
+    def _plain(self, pieces: pa.Array) -> np.ndarray:
+        """Which pieces may go to the model."""
+        if not self.direct:
+            return np.zeros(len(pieces), bool)
+        plain = pc.match_substring_regex(pieces, f"^{self._PLAIN.pattern}$")
+        for name in self.names:
+            plain = pc.and_not(plain, pc.match_substring(pc.utf8_lower(pieces), name))
+        return plain.to_numpy(zero_copy_only=False)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the bounds of each text's."""
+        texts = texts.fill_null("")
         if not self.piecewise:
-            return self._ids([t or "" for t in texts])
-        pieces = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-        new = list(set(chain.from_iterable(pieces)).difference(self.known))
-        if self.before:
-            get = self.before.get
-            self.known.update((p, ids) for p, ids in zip(new, map(get, new)) if ids is not None)
-            self._learn([p for p in new if p not in self.known])
-        else:
-            self._learn(new)
-        get = self.known.__getitem__
-        out = [np.frombuffer(b"".join(map(get, p)), self.kind) for p in pieces]
-        if len(self.known) > CACHED_PIECES:
-            self.known, self.before, self.parts = {"": b""}, self.known, {}
-        else:
-            for piece in new:
-                if len(piece) > LONGEST_PIECE:
-                    del self.known[piece]
-        return out
+            found = self._ids(texts.to_pylist())
+            return np.concatenate([np.empty(0, self.kind), *found]), np.append(0, np.cumsum([len(x) for x in found], dtype=np.int64))
+        split = pc.ascii_split_whitespace(texts)
+        pieces = split.flatten().dictionary_encode()
+        plain = self._plain(pieces.dictionary)
+        starts, sizes, ids = np.zeros(len(plain), np.int64), np.zeros(len(plain), np.int64), [np.empty(0, self.kind)]
+        if plain.any():
+            coded, bounds = self._by_model(pc.utf8_lower(pieces.dictionary.filter(pa.array(plain))))
+            starts[plain], sizes[plain] = bounds[:-1], np.diff(bounds)
+            ids.append(coded)
+        if not plain.all():
+            found = self._by_library(pieces.dictionary.filter(pa.array(~plain)).to_pylist())
+            sizes[~plain] = [len(x) for x in found]
+            starts[~plain] = sum(map(len, ids)) + np.cumsum(sizes[~plain]) - sizes[~plain]
+            ids += found
+        coded, bounds = gather(np.concatenate(ids), starts, sizes, pieces.indices.to_numpy())
+        ends = split.offsets.to_numpy()
+        return coded, bounds[ends - ends[0]]
+
+
+def blocks(batches: Iterator[pa.RecordBatch], least: int = BLOCK_BYTES) -> Iterator[list[pa.Array]]:
+    """The columns of some batches in a row, put together until they hold so many bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= least:
+            yield [pa.concat_arrays(column) for column in zip(*(b.columns for b in held))]
+            held, size = [], 0
+    if held:
+        yield [pa.concat_arrays(column) for column in zip(*(b.columns for b in held))]
 
 
 def filesystem(path: str):
@@ -211,11 +273,12 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, id:
             return pa.RecordBatch.from_pydict({"part": [task.partitionId()], "number": [number],
                                                "file": [name], "n_docs": [len(ids)], "n_tokens": [size]})
 
-        for batch in batches:
-            found = encoder.encode(batch.column(1).to_pylist())
-            for doc, row in zip(batch.column(0).to_pylist(), found):
+        for docs, texts in blocks(batches):
+            found, bounds = encoder.encode(texts)
+            bounds = bounds.tolist()
+            for doc, start, stop in zip(docs.to_pylist(), bounds, bounds[1:]):
                 doc_ids.append(doc)
-                ids.append(np.append(row, row.dtype.type(end_id)))
+                ids.append(np.append(found[start:stop], found.dtype.type(end_id)))
                 size += len(ids[-1])
                 if size >= file_tokens:
                     yield close()

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
@@ -41,6 +42,52 @@ def test_accented_pieces_go_to_the_model():
     assert not any(map(encoder._PLAIN.fullmatch, ["a×b", "÷", "e\u0301", "l'été", "ǅ", "ª"]))
 
 
+class _Counted:
+    """A tokenizer that keeps the words it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.words = inner, []
+
+    def encode_batch(self, texts, **options):
+        self.words += " ".join(texts).split()
+        return self.inner.encode_batch(texts, **options)
+
+
+def test_block_sends_each_part_once(monkeypatch):
+    from tokenizers import Tokenizer
+    whole = Tokenizer.from_file(WORDS)
+    encoder = token_files.PieceEncoder(WORDS)
+    encoder.known, encoder.model = {}, _Counted(encoder.model)
+    texts = ["Été, the The THE été 1a1", None, "", "the,été\vthe\f" + "x" * 100] * 50
+
+    def same():
+        ids, bounds = encoder.encode(pa.array(["cut off", *texts]).slice(1))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+    same()
+    assert sorted(encoder.model.words) == sorted(["été", ",", "the", "1", "a", "x" * 100])
+    same()
+    assert encoder.model.words[6:] == ["x" * 100]  # too long to be remembered
+    monkeypatch.setattr(token_files, "CACHED_PARTS", 3)
+    same()
+    assert not encoder.known and len(encoder.before) == 5
+    same()
+    assert encoder.model.words[7:] == ["x" * 100] * 2
+
+
+def test_block_encodes_like_whole_texts():
+    from tokenizers import Tokenizer
+    whole, encoder, r = Tokenizer.from_file(WORDS), token_files.PieceEncoder(WORDS), random.Random(5)
+    signs = ["a", "B", "é", "É", "ß", "e\u0301", "J\u030c", "\u212a", "İ", "ǅ", "ΑΣ", "'", "'s", "'LL", " ", "  ", "\n", "\v", "\f", "\x1c", "\x85", "\xa0",
+             "9", "½", "!", "<", "|>", "</w>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "\x01", "\x00", "東", "🙂", "×", "_", "the", "ing"]
+    for _ in range(100):
+        texts = [None if r.random() < 0.05 else "".join(r.choices(signs, k=r.randint(0, 40))) for _ in range(r.randint(0, 20))]
+        ids, bounds = encoder.encode(pa.array(texts, pa.string()))
+        assert len(bounds) == len(texts) + 1 and bounds[-1] == len(ids)
+        for text, a, b in zip(texts, bounds, bounds[1:]):
+            assert ids[a:b].tolist() == whole.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
 def test_huge_blank_run():
     encoding = bpe.load(RANKS, public_tokenizers.PATTERN)
     for text in (" " * 1_500_000 + "word", "word" + "\n" * 1_500_000):
